@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality
 
 QUERIES = {
+    "op6_quality_rules": quality.op6_quality_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
