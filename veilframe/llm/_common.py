@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: white space of the `[^\x20\x09-\x0D]+` word rule, besides the space itself
 _SPACES = "\t\n\x0b\x0c\r"
 #: bound on memo tables kept by a Python worker (entries); a full table is emptied and refilled
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 250_000
 
 _own_dir: str | None = None
 

@@ -17,7 +17,7 @@ import regex
 from ._common import MEMO_ENTRIES
 
 #: characters of text encoded together; bounds a worker's memory, one longer text makes a window of its own
-WINDOW_CHARS = 16_000_000
+WINDOW_CHARS = 6_000_000
 #: pieces and matches above this length are not remembered
 LONGEST_KEPT = 64
 

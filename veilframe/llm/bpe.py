@@ -256,8 +256,8 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """(id, ids): whole texts as little-endian uint32 ids.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, decoded: bool = False) -> DataFrame:
+    """(id, ids): whole texts as little-endian uint32 ids. With ``decoded`` also the bytes that these ids give back.
 
     A null text counts as empty and gives no ids; a null id is kept; each repeated row is encoded; other
     columns of ``docs`` are not read.  An empty table gives no rows.
@@ -265,14 +265,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batches):
-        enc, _ = _encoder(path, pattern)
+        enc, bpe = _encoder(path, pattern)
         for keys, _, ids in enc.windows(batches):
             for at in range(0, len(keys), SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + SLICE], key_type), pa.array(ids[at : at + SLICE], pa.binary())], ["id", "ids"])
+                some = ids[at : at + SLICE]
+                columns = [pa.array(keys[at : at + SLICE], key_type), pa.array(some, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in some], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "bytes"][: len(columns)])
 
     source = id_text(docs, id_col, text_col)
     kind, key_type = source.schema["id"].dataType.simpleString(), to_arrow_type(source.schema["id"].dataType)
-    return source.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, ids binary" + ", bytes binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -292,7 +296,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(documents(spark, sf_dir)))
+    both = encode(documents(spark, sf_dir), decoded=True)
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
