@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, html_text, quality, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_html_text": html_text.op8_html_text,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
