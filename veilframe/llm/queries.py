@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, quality, warc
+from . import bpe, html_text, near_dup, quality, warc
 
 QUERIES = {
+    "op2_near_dup": near_dup.op2_near_dup,
     "op3_warc": warc.op3_warc,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_html_text": html_text.op8_html_text,
