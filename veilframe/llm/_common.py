@@ -10,8 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: white space of the `[^\x20\x09-\x0D]+` word rule, besides the space itself
-_SPACES = "\t\n\x0b\x0c\r"
 #: bound on memo tables kept by a Python worker (entries); a full table is emptied and refilled
 MEMO_ENTRIES = 250_000
 
@@ -67,35 +65,34 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def split_words(text: str) -> list[str]:
-    r"""The words ``[^\x20\x09-\x0D]+`` of a text."""
-    for c in _SPACES:
-        if c in text:
-            text = text.replace(c, " ")
-    return list(filter(None, text.split(" ")))
+def split_words(text: str) -> list[bytes]:
+    r"""The words ``[^\x20\x09-\x0D]+`` of a text in UTF-8; bytes.split() splits at just these bytes."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+def lower_words(text: str) -> list[bytes]:
+    """``split_words`` after lower-casing A-Z only, which is what bytes.lower() does."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only."""
-    if text.isascii():
-        return text.lower()
-    raw = text.encode("utf-8", "surrogatepass")
-    return raw.lower().decode("utf-8", "surrogatepass")  # bytes.lower() touches A-Z only
+_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def term_words(text: str) -> list[bytes]:
+    r"""The words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of a text with A-Z lower-cased, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; the same in every process."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_HASHES, ascii_lower, documents, drop_table, id_text, mix64, split_words, stage_table
+from ._common import WORD_HASHES, documents, drop_table, id_text, lower_words, mix64, stage_table
 from .components import components
 
 PERMUTATIONS, BAND = 64, 4
@@ -39,7 +39,7 @@ ROUND_FACTOR = 8
 
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of lower-cased words."""
-    found = split_words(ascii_lower(text))
+    found = lower_words(text)
     if not found:
         return np.zeros(0, np.uint64)
     hashes = WORD_HASHES.of(found)

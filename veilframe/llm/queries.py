@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, near_dup, quality, warc
+from . import bpe, decontaminate, html_text, near_dup, quality, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_warc": warc.op3_warc,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_html_text": html_text.op8_html_text,
     "op9_byte_bpe": bpe.op9_byte_bpe,
