@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 MEMO_ENTRIES = 250_000
 
 _own_dir: str | None = None
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +41,15 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    try:
+        spark.conf.set(_CLEAN_UP, "true")  # the shuffle files of this write go when it is done
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
@@ -83,25 +91,55 @@ def term_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered; the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-WORD_HASHES = WordHashes()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mixer on uint64 arrays (wraps)."""
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
         return x ^ (x >> np.uint64(32))
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the base and of its inverse."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _tables:
+        if size > 1 << 22:
+            for k in [k for k in _tables if k > 1 << 22]:
+                del _tables[k]
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                both.append(np.multiply.accumulate(x))
+        _tables[size] = tuple(both)
+    return _tables[size]
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch values[start:end], the same wherever it stands: one prefix sum of a polynomial."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(values) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * inverse[: len(values)], out=prefix[1:])
+        return mix64((prefix[ends] - prefix[starts]) * power[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    r"""64-bit hashes of the words ``[^\x20\x09-\x0D]+`` of UTF-8 text."""
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True, append=True))
+    return range_hashes(_BYTE_VALUES[data], edges[::2], edges[1::2])
+
+
+_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, near_dup, quality, warc
+from . import bpe, decontaminate, html_text, near_dup, quality, substring_dedup, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_warc": warc.op3_warc,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_html_text": html_text.op8_html_text,
