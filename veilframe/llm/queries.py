@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, near_dup, quality, substring_dedup, warc
+from . import bpe, decontaminate, html_text, near_dup, pii, quality, substring_dedup, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_html_text": html_text.op8_html_text,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
