@@ -78,11 +78,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def lower_words(text: str) -> list[bytes]:
-    """``split_words`` after lower-casing A-Z only, which is what bytes.lower() does."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 

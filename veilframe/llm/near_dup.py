@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD_HASHES, documents, drop_table, id_text, lower_words, mix64, stage_table
+from ._common import documents, drop_table, id_text, mix64, stage_table, word_hashes
 from .components import components
 
 PERMUTATIONS, BAND = 64, 4
@@ -39,10 +39,9 @@ ROUND_FACTOR = 8
 
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of lower-cased words."""
-    found = lower_words(text)
-    if not found:
+    hashes = word_hashes(text.encode("utf-8", "surrogatepass").lower())  # bytes.lower() touches A-Z only
+    if not len(hashes):
         return np.zeros(0, np.uint64)
-    hashes = WORD_HASHES.of(found)
     with np.errstate(over="ignore"):
         if len(hashes) < words:  # the whole sequence is one shingle, told from those of other lengths
             words, seed = len(hashes), np.uint64(0x51ED270B * len(hashes))
