@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 
@@ -18,74 +17,58 @@ from ._common import MEMO_ENTRIES
 
 #: characters of text encoded together; bounds a worker's memory, one longer text makes a window of its own
 WINDOW_CHARS = 6_000_000
-#: pieces and matches above this length are not remembered
+#: pieces and matches above this length are forgotten after their window
 LONGEST_KEPT = 64
 
 
 class PieceEncoder:
-    """Texts to ids as little-endian uint32 bytes; ``encode_matches`` encodes matches of ``pattern``."""
+    """Texts to ids as little-endian uint32 bytes; ``encode_matches`` gives such bytes for matches of ``pattern``."""
 
-    def __init__(self, pattern: str, encode_matches: Callable[[list[str]], list]):
+    def __init__(self, pattern: str, encode_matches: Callable[[list[str]], list[bytes]]):
         self._find = regex.compile(pattern).findall
         self._encode_matches = encode_matches
         self._matches: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
-    def _learn(self, matches: set[str], extra: dict[str, bytes]) -> None:
-        """Encode unknown matches; long ones go to ``extra``, which lives as long as the window."""
-        known = self._matches
-        todo = [m for m in matches if m not in known]
-        if len(known) + len(todo) > MEMO_ENTRIES:
-            known.clear()
-            todo = list(matches)
-        for m, ids in zip(todo, self._encode_matches(todo)):
-            (known if len(m) <= LONGEST_KEPT else extra)[m] = np.asarray(ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces, matches, missing = self._pieces, set(), set()
-        window = []
+        window, every = [], set()
         for text in texts:
             head, *rest = text.split(" ")
             if not head or head[-1].isspace():
                 head, rest = text, []
-            got = list(map(pieces.get, rest))
-            try:
-                tail = b"".join(got)
-            except TypeError:  # some are None
-                tail = None
-                missing.update(p for p, x in zip(rest, got) if x is None)
-            window.append((head, rest, got, tail))
+            every.update(rest)
+            window.append([head, rest])
+        if len(self._pieces) > MEMO_ENTRIES:
+            self._pieces = {}
+        if len(self._matches) > MEMO_ENTRIES:
+            self._matches = {}
+        pieces, matches = self._pieces, self._matches
+        missing = every.difference(pieces)
         irregular = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        regular = [p for p in missing if p not in irregular]
-        found = self._find(" " + " ".join(regular)) if regular else []
-        matches.update(found)
-        shaped = []
-        for (head, rest, got, tail), text in zip(window, texts):
-            if tail is None and not irregular.isdisjoint(rest):
-                head, tail = text, b""
-            head = self._find(head)
-            matches.update(head)
-            shaped.append((head, rest, got, tail))
-        extra: dict[str, bytes] = {}
-        self._learn(matches, extra)
-        known = self._matches
-        ids = extra.__getitem__ if not known else (lambda m: known[m] if m in known else extra[m])
-        fresh: dict[str, bytes] = {}
-        i = 0
-        for p in regular:
-            j = i + 1
-            while j < len(found) and found[j][0] != " ":
-                j += 1
-            fresh[p] = ids(found[i]) if j == i + 1 else b"".join(map(ids, found[i:j]))
-            i = j
-        out = []
-        for head, rest, got, tail in shaped:
-            if tail is None:
-                tail = b"".join([fresh[p] if x is None else x for p, x in zip(rest, got)])
-            out.append(b"".join(map(ids, head)) + tail)
-        if len(pieces) + len(fresh) > MEMO_ENTRIES:
-            pieces.clear()
-        pieces.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_KEPT)
+        missing -= irregular
+        found = self._find(" " + " ".join(missing)) if missing else []
+        wanted = set(found)
+        for row, text in zip(window, texts):
+            if irregular and not irregular.isdisjoint(row[1]):
+                row[:] = text, []
+            row[0] = self._find(row[0])
+            wanted.update(row[0])
+        todo = list(wanted.difference(matches))
+        matches.update(zip(todo, self._encode_matches(todo)))
+        i, last = 0, len(found)
+        for p in missing:  # a piece's matches run up to the next one that starts with a space
+            ids = matches[found[i]]
+            i += 1
+            while i < last and found[i][0] != " ":
+                ids += matches[found[i]]
+                i += 1
+            pieces[p] = ids
+        of_piece, of_match = pieces.__getitem__, matches.__getitem__
+        out = [b"".join(map(of_match, head)) + b"".join(map(of_piece, rest)) for head, rest in window]
+        for memo, keys in ((pieces, missing), (matches, todo)):
+            for k in keys:
+                if len(k) > LONGEST_KEPT:
+                    del memo[k]
         return out
 
     def windows(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[bytes]]]:

@@ -145,8 +145,8 @@ class RankQueueBPE:
         at = np.searchsorted(self._pair_keys, keys)
         return np.where(self._pair_keys[at] == keys, self._pair_ranks[at], -1)
 
-    def encode_together(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of many short pre-tokens, which share one queue.
+    def encode_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, end of each piece's ids) of many short pre-tokens, which share one queue.
 
         A leaf word of the bitmap covers 64 ranks and has one bucket.  When find-first-set names a leaf,
         each pre-token with entries there merges its lowest rank, leftmost position, all in one step:
@@ -213,25 +213,26 @@ class RankQueueBPE:
             fresh = fresh[at[fresh] >= 0]
             if len(fresh):
                 push(fresh)
-        ids = token[alive]
-        return np.split(ids, np.cumsum(np.bincount(own[alive], minlength=len(pieces)))[:-1])
+        return token[alive], np.cumsum(np.bincount(own[alive], minlength=len(pieces)))
 
-    def encode_matches(self, matches: list[str]) -> list:
-        """Ids of each pre-token."""
-        out: list = [None] * len(matches)
-        short = []
+    def encode_matches(self, matches: list[str]) -> list[bytes]:
+        """Ids of each pre-token, as little-endian uint32."""
+        out, short, at = [b""] * len(matches), [], []
         for k, m in enumerate(matches):
             piece = m.encode("utf-8", "replace")
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[k] = [whole]
+                out[k] = whole.to_bytes(4, "little")
             elif len(piece) > TOGETHER_BYTES:
-                out[k] = self.encode_bytes(piece)
+                out[k] = np.array(self.encode_bytes(piece), "<u4").tobytes()
             else:
-                short.append((k, piece))
+                short.append(piece)
+                at.append(k)
         if short:
-            for (k, _), ids in zip(short, self.encode_together([p for _, p in short])):
-                out[k] = ids
+            ids, ends = self.encode_together(short)
+            flat, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            for k, a, b in zip(at, [0, *ends], ends):
+                out[k] = flat[a:b]
         return out
 
     def decode(self, ids: bytes) -> bytes:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, near_dup, pii, quality, substring_dedup, warc
+from . import bpe, decontaminate, html_text, near_dup, pii, quality, substring_dedup, token_files, warc
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_warc": warc.op3_warc,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,

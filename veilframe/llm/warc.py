@@ -12,18 +12,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from bisect import bisect_left
 from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_folder, stage_table
+from ._files import Appender, Ranges
 
 #: captures in one compressed index block
 BLOCK_LINES = 512
@@ -91,30 +90,6 @@ def parse_record(data: bytes) -> tuple:
     return name("WARC-Record-ID"), fields.get("WARC-Target-URI"), n, digest, kind, name("WARC-Refers-To")
 
 
-class _Appender:
-    """Writes files under names of their own: a repeated task never touches what another has written."""
-
-    def __init__(self, folder: str, suffix: str):
-        self.fs, self.root = fs.FileSystem.from_uri(folder)
-        self.fs.create_dir(self.root, recursive=True)
-        self.folder, self.suffix, self.out = folder, suffix, None
-
-    def add(self, data: bytes) -> tuple[str, int, int]:
-        if self.out is not None and self.at >= ARCHIVE_BYTES:
-            self.close()
-        if self.out is None:
-            self.name, self.at = f"{uuid.uuid4().hex}{self.suffix}", 0
-            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
-        self.out.write(data)
-        self.at += len(data)
-        return f"{self.folder}/{self.name}", self.at - len(data), len(data)
-
-    def close(self) -> None:
-        if self.out is not None:
-            self.out.close()
-            self.out = None
-
-
 def _rows(rows: list[tuple], kinds: str) -> pa.RecordBatch:
     fields = [x.split() for x in kinds.split(", ")]
     columns = list(zip(*rows)) or [()] * len(fields)
@@ -141,7 +116,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     ordered = ordered.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
     def archive(batches):
-        to = _Appender(f"{folder}/archives", ".warc.gz")
+        to = Appender(f"{folder}/archives", ".warc.gz", ARCHIVE_BYTES)
         for batch in batches:
             rows = []
             for page_id, url, html, refers, k in zip(*(c.to_pylist() for c in batch.columns)):
@@ -153,7 +128,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     entries = stage_table(ordered.mapInArrow(archive, _ENTRY), "captures")
 
     def index(batches):
-        to = _Appender(f"{folder}/index", ".cdx.gz")
+        to = Appender(f"{folder}/index", ".cdx.gz", ARCHIVE_BYTES)
         held: list[tuple] = []
 
         def block():
@@ -175,30 +150,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return stage_table(in_order.mapInArrow(index, _DIRECTORY), "directory")
 
 
-class _Ranges:
-    """Range reads with one open file at a time."""
-
-    def __init__(self):
-        self.name, self.file = None, None
-
-    def read(self, name: str, offset: int, length: int) -> bytes:
-        if name != self.name:
-            self.close()
-            system, path = fs.FileSystem.from_uri(name)
-            self.name, self.file = name, system.open_input_file(path)
-        return self.file.read_at(length, offset)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-            self.file = None
-
-
 def _gunzip(data: bytes) -> bytes:
     return zlib.decompress(data, 31)
 
 
-def _captures(ranges: _Ranges, file: str, offset: int, length: int) -> list[tuple[str, str, int, int]]:
+def _captures(ranges: Ranges, file: str, offset: int, length: int) -> list[tuple[str, str, int, int]]:
     lines = _gunzip(ranges.read(file, offset, length)).decode().split("\n")[:-1]
     return [(k, f, int(o), int(n)) for k, f, o, n in (x.split("\t") for x in lines)]
 
@@ -207,7 +163,7 @@ def _captures(ranges: _Ranges, file: str, offset: int, length: int) -> list[tupl
 _READ_BYTES = 8 << 20
 
 
-def _records(ranges: _Ranges, captures: list[tuple[str, str, int, int]]):
+def _records(ranges: Ranges, captures: list[tuple[str, str, int, int]]):
     """Records of captures, neighbours in one read."""
     for name, of_file in groupby(sorted(captures, key=lambda c: c[1:]), key=lambda c: c[1]):
         run: list[tuple[int, int]] = []
@@ -230,7 +186,7 @@ def read_archives(directory: DataFrame) -> DataFrame:
     """All captures through the index: directory rows to blocks to record ranges, in parallel over blocks."""
 
     def run(batches):
-        index, data = _Ranges(), _Ranges()
+        index, data = Ranges(), Ranges()
         for batch in batches:
             for _, _, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 rows = list(_records(data, _captures(index, file, offset, length)))
@@ -251,7 +207,7 @@ def look_up(directory: DataFrame, urls: list[str]) -> DataFrame:
         hit = hit | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
 
     def run(batches):
-        index, data = _Ranges(), _Ranges()
+        index, data = Ranges(), Ranges()
         for batch in batches:
             for first, last, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 captures, found = _captures(index, file, offset, length), []
