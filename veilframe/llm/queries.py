@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, near_dup, pii, quality, substring_dedup, token_files, warc
+from . import bpe, decontaminate, html_text, licences, near_dup, pii, quality, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_licences": licences.op7_licences,
     "op8_html_text": html_text.op8_html_text,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_pii": pii.op10_pii,
