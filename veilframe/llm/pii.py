@@ -300,6 +300,10 @@ def _listed(spans: str):
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(documents(spark, sf_dir))
     order = F.array(*map(F.lit, KINDS))
@@ -307,7 +311,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("every", keyed)
     return found.select(
         "doc_id",
-        *[F.size(F.filter("rules", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in RULE_KINDS],
+        *[_count("rules", k).alias(f"n_{k}") for k in RULE_KINDS],
         F.sha2(_listed("rules").cast("binary"), 256).alias("base_sha256"),
         _listed("every").alias("spans"),
     )
