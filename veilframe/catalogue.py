@@ -1,6 +1,539 @@
-"""Registered queries of the verification operators and the DuckDB SQL that must give the same rows."""
+"""Registered queries of the verification operators and the DuckDB SQL that must give the same rows.
+
+Customers are the cases.  Their analogues are made by rule: nation shifted by key mod 3, segment kept
+for even keys, balance raised for keys divisible by 5, and every seventh keeps the real name.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import cases as C
+from .operators import gate as G
+from .operators import invariance as I
+from .operators import leaks as L
+from .operators import proposals as P
+from .operators import swaps as W
+from .operators import uniqueness as U
+from .plans import audit as A
+from .sources.tables import table
+
+SCHEMA = C.CaseSchema.of({"name": C.IDENTIFYING, "nation": C.CONTEXTUAL, "segment": C.DECISION, "balance": C.DECISION})
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _story(name: str, nation: str, segment: str):
+    return F.concat(F.lit("Customer "), F.col(name), F.lit(" of nation "), F.col(nation).cast("string"), F.lit(" buys "), F.lower(segment), F.lit(" goods in bulk."))
+
+
+def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    c = c.select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal")).cast("bigint").alias("balance"))
+    return C.as_cases(c.withColumn("narrative", _story("name", "nation", "segment")), SCHEMA)
+
+
+def analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("case_id")
+    c = originals(spark, sf_dir).select(
+        "case_id",
+        F.when(k % 7 == 0, F.col("name")).otherwise(F.concat(F.lit("Person "), (k % 97).cast("string"))).alias("name"),
+        ((F.col("nation") + k % 3) % 25).alias("nation"),
+        F.when(k % 2 == 0, F.col("segment")).otherwise(F.lit("BUILDING")).alias("segment"),
+        F.when(k % 5 == 0, F.col("balance") + 3000).otherwise(F.col("balance")).alias("balance"),
+    )
+    return C.as_cases(c.withColumn("narrative", _story("name", "nation", "segment")), SCHEMA)
+
+
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return originals(spark, sf_dir).drop("case_id", "name", "narrative")
+
+
+_STORY = "'Customer ' || name || ' of nation ' || CAST(nation AS VARCHAR) || ' buys ' || lower(segment) || ' goods in bulk.'"
+_WITH = f"""o0 AS (SELECT c_custkey AS case_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment, CAST(round(c_acctbal) AS BIGINT) AS balance FROM customer),
+a0 AS (SELECT case_id, CASE WHEN case_id % 7 = 0 THEN name ELSE 'Person ' || CAST(case_id % 97 AS VARCHAR) END AS name, (nation + case_id % 3) % 25 AS nation,
+  CASE WHEN case_id % 2 = 0 THEN segment ELSE 'BUILDING' END AS segment, CASE WHEN case_id % 5 = 0 THEN balance + 3000 ELSE balance END AS balance FROM o0),
+o AS (SELECT *, {_STORY} AS narrative FROM o0), a AS (SELECT *, {_STORY} AS narrative FROM a0)"""
+_FOLD = "replace(lower(strip_accents({})), 'ß', 'ss')"
+_TOK = "regexp_extract_all(" + _FOLD + ", '[\\p{{L}}\\p{{N}}]+')"
+_RUN = "(' ' || array_to_string({}, ' ') || ' ')"
+
+# ---- text
+
+
+@_query(f"SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents")
+def fold_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@_query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS token FROM conversations) GROUP BY token")
+def token_counts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.explode(X.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH b AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark), d AS (SELECT doc_id, {_RUN.format(_TOK.format('text'))} AS h FROM documents)
+SELECT doc_id, item_id FROM d JOIN b ON len(t) > 0 AND contains(h, {_RUN.format('t')})"""
+)
+def contains_run(spark, sf_dir):
+    """Whole items inside documents: candidate pairs share the item's first five tokens, then the run decides."""
+    five = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 4), lambda p: F.array_join(F.slice(t, p, 5), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t")).where(F.size("t") >= 5)
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize(F.col("text")).alias("n")).where(F.size("n") >= 5)
+    starts = docs.select("doc_id", F.explode(F.array_distinct(five(F.col("t")))).alias("g"))
+    hits = starts.join(items.select("item_id", "n", F.array_join(F.slice("n", 1, 5), " ").alias("g")), "g").select("doc_id", "item_id", "n")
+    return hits.join(docs, "doc_id").where(X.contains_run(F.col("t"), F.col("n"))).select("doc_id", "item_id")
+
+
+_SWAPS = {"the": "das", "customer": "client", "of the": "vom", "order": "request"}
+
+
+@_query()
+def swap_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.substitute(F.col("text"), _SWAPS).alias("swapped"))
+
+
+@_query()
+def swap_counts(spark, sf_dir):
+    hits = table(spark, sf_dir, "conversations").select(F.explode(X.substitution_counts(F.col("text"), _SWAPS)).alias("word", "n"))
+    return hits.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+# ---- cases
+
+
+@_query(f"WITH {_WITH} SELECT case_id, name, nation FROM o")
+def role_projection(spark, sf_dir):
+    return C.project(originals(spark, sf_dir), SCHEMA, C.IDENTIFYING, C.CONTEXTUAL)
+
+
+@_query(f"WITH {_WITH} SELECT case_id, segment, balance FROM o")
+def decision_view(spark, sf_dir):
+    return C.decision_view(originals(spark, sf_dir), SCHEMA)
+
+
+@_query(f"WITH {_WITH} SELECT case_id, nation, segment, balance FROM o")
+def retag(spark, sf_dir):
+    return C.decision_view(originals(spark, sf_dir), SCHEMA.retag({"nation": C.DECISION}))
+
+
+@_query(f"WITH {_WITH} SELECT case_id, name, nation, upper(segment) || '!' AS segment, balance + 1 AS balance, 'none' AS narrative FROM o")
+def with_values(spark, sf_dir):
+    o = originals(spark, sf_dir)
+    return C.with_narrative(C.with_values(o, SCHEMA, {"segment": F.concat(F.upper("segment"), F.lit("!")), "balance": F.col("balance") + 1}), F.lit("none"))
+
+
+@_query(
+    f"""WITH {_WITH} SELECT case_id, CAST(-1 AS BIGINT) AS pos, '(narrative)' AS source, narrative AS text FROM o
+UNION ALL SELECT case_id, 0, 'name', name FROM o UNION ALL SELECT case_id, 1, 'nation', CAST(nation AS VARCHAR) FROM o
+UNION ALL SELECT case_id, 2, 'segment', segment FROM o UNION ALL SELECT case_id, 3, 'balance', CAST(balance AS VARCHAR) FROM o"""
+)
+def text_sources(spark, sf_dir):
+    return C.text_sources(originals(spark, sf_dir), SCHEMA).select("case_id", F.col("pos").cast("bigint").alias("pos"), "source", "text")
+
+
+@_query(
+    f"""WITH {_WITH} SELECT o.case_id, 'name' AS field, a.name AS analogue, o.name AS original FROM o JOIN a USING (case_id) WHERE o.name <> a.name
+UNION ALL SELECT o.case_id, 'segment', a.segment, o.segment FROM o JOIN a USING (case_id) WHERE o.segment <> a.segment"""
+)
+def string_pairs(spark, sf_dir):
+    return C.string_pairs(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA).drop("pos")
+
+
+_CANON = """'{"f":[{"n":"balance","r":"decision_relevant","t":"bigint","z":false,"v":"' || CAST(balance AS VARCHAR) || '"},{"n":"name","r":"identifying","t":"string","z":false,"v":"' || name
+|| '"},{"n":"nation","r":"contextual","t":"bigint","z":false,"v":"' || CAST(nation AS VARCHAR) || '"},{"n":"segment","r":"decision_relevant","t":"string","z":false,"v":"' || segment || '"}],"s":"' || narrative || '"}'"""
+
+
+@_query(f"WITH {_WITH} SELECT case_id, sha256({_CANON}) AS digest FROM o")
+def case_digest(spark, sf_dir):
+    return C.with_digest(originals(spark, sf_dir), SCHEMA).select("case_id", "digest")
+
+
+@_query(f"WITH {_WITH} SELECT count(*) AS same FROM o")
+def digest_order_independent(spark, sf_dir):
+    o = originals(spark, sf_dir)
+    other = C.with_digest(o, C.CaseSchema(SCHEMA.roles[::-1]), "other")
+    return C.with_digest(other, SCHEMA).where("digest = other").agg(F.count("*").alias("same"))
+
+
+@_query()
+def keyed_digest(spark, sf_dir):
+    return C.with_keyed_digest(originals(spark, sf_dir), SCHEMA, b"a key of this query").select("case_id", "digest")
+
+
+@_query(f"WITH {_WITH} SELECT case_id, narrative || chr(10) || chr(10) || 'name: ' || name || chr(10) || 'nation: ' || CAST(nation AS VARCHAR) || chr(10) || 'segment: ' || segment || chr(10) || 'balance: ' || CAST(balance AS VARCHAR) AS text FROM o")
+def render_case(spark, sf_dir):
+    o = originals(spark, sf_dir)
+    return o.select("case_id", C.render(o, SCHEMA).alias("text"))
+
+
+@_query(
+    f"""WITH {_WITH} SELECT case_id, '{{"fields":[{{"name":"name","role":"identifying","value":"' || name || '"}},{{"name":"nation","role":"contextual","value":"' || CAST(nation AS VARCHAR)
+|| '"}},{{"name":"segment","role":"decision_relevant","value":"' || segment || '"}},{{"name":"balance","role":"decision_relevant","value":"' || CAST(balance AS VARCHAR) || '"}}],"narrative":"' || narrative || '"}}' AS json FROM o"""
+)
+def case_json(spark, sf_dir):
+    o = originals(spark, sf_dir)
+    return o.select("case_id", C.to_json(o, SCHEMA).alias("json"))
+
+
+# ---- invariance
+
+POLICIES: dict[str, I.Policy] = {
+    "credit": lambda f: F.when(f("balance") > 5000, "grant").when(f("segment") == "BUILDING", "review").otherwise("deny"),
+    "segment_only": lambda f: F.when(f("segment").isin("BUILDING", "MACHINERY"), "heavy").otherwise("light"),
+}
+_CREDIT = "CASE WHEN {0}balance > 5000 THEN 'grant' WHEN {0}segment = 'BUILDING' THEN 'review' ELSE 'deny' END"
+_SEG = "CASE WHEN {0}segment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'light' END"
+_RESULTS = f"""r AS (SELECT case_id, 'credit' AS policy, {_CREDIT.format('o.')} AS original_outcome, {_CREDIT.format('a.')} AS analogue_outcome FROM o JOIN a USING (case_id)
+UNION ALL SELECT case_id, 'segment_only', {_SEG.format('o.')}, {_SEG.format('a.')} FROM o JOIN a USING (case_id)),
+res AS (SELECT *, original_outcome = analogue_outcome AS equivalent FROM r)"""
+
+
+@_query(f"WITH {_WITH}, {_RESULTS} SELECT case_id, policy, original_outcome, analogue_outcome, equivalent FROM res")
+def invariance_results(spark, sf_dir):
+    return I.check_invariance(originals(spark, sf_dir), analogues(spark, sf_dir), POLICIES).drop("error")
+
+
+@_query(
+    f"""WITH {_WITH}, {_RESULTS} SELECT case_id, count(*) AS n_policies, bool_and(equivalent) AS passed, coalesce(string_agg(CASE WHEN NOT equivalent THEN policy END, ',' ORDER BY policy), '') AS failures FROM res GROUP BY case_id"""
+)
+def invariance_report(spark, sf_dir):
+    return I.invariance_report(I.check_invariance(originals(spark, sf_dir), analogues(spark, sf_dir), POLICIES)).drop("summary")
+
+
+@_query(f"WITH {_WITH} SELECT o.case_id, abs(o.balance - a.balance) <= 2000 AS equivalent FROM o JOIN a USING (case_id)")
+def invariance_custom_eq(spark, sf_dir):
+    near = lambda x, y: F.abs(x.cast("bigint") - y.cast("bigint")) <= 2000
+    return I.check_invariance(originals(spark, sf_dir), analogues(spark, sf_dir), {"amount": lambda f: f("balance")}, near).select("case_id", "equivalent")
+
+
+@_query(f"WITH {_WITH} SELECT o.case_id, CASE WHEN o.balance < 0 OR a.balance < 0 THEN 'ValueError: negative' END AS error, o.balance >= 0 AND a.balance >= 0 AND o.balance // 1000 = a.balance // 1000 AS equivalent FROM o JOIN a USING (case_id)")
+def invariance_error_rows(spark, sf_dir):
+    def thousands(balance):
+        if balance < 0:
+            raise ValueError("negative")
+        return balance // 1000
+
+    found = I.check_invariance(originals(spark, sf_dir), analogues(spark, sf_dir), {"thousands": I.python_policy(thousands, "balance")})
+    return found.select("case_id", "error", "equivalent")
+
+
+def _probes(spark, sf_dir):
+    tries = spark.createDataFrame([("balance", "0"), ("balance", "6000"), ("segment", "BUILDING"), ("segment", "FURNITURE")], "field string, v string")
+    return I.sensitivity_probe(originals(spark, sf_dir), SCHEMA, POLICIES, tries, analogues(spark, sf_dir))
+
+
+_PROBE = f"""pool AS (SELECT o.case_id, 1 AS pos, 'nation' AS field, CAST(NULL AS BIGINT) AS balance_v, CAST(NULL AS VARCHAR) AS segment_v, 1 AS kind FROM o JOIN a USING (case_id) WHERE o.nation <> a.nation
+UNION SELECT o.case_id, 0, 'name', NULL, NULL, 1 FROM o JOIN a USING (case_id) WHERE o.name <> a.name
+UNION SELECT o.case_id, 3, 'balance', v, NULL, 2 FROM o JOIN a USING (case_id), (SELECT unnest([0, 6000, NULL]) AS v0) t, LATERAL (SELECT coalesce(v0, a.balance) AS v) WHERE v <> o.balance
+UNION SELECT o.case_id, 2, 'segment', NULL, v, 3 FROM o JOIN a USING (case_id), (SELECT unnest(['BUILDING', 'FURNITURE', NULL]) AS v0) t, LATERAL (SELECT coalesce(v0, a.segment) AS v) WHERE v <> o.segment),
+tried AS (SELECT p.*, o.balance, o.segment, coalesce(balance_v, o.balance) AS nb, coalesce(segment_v, o.segment) AS ns FROM pool p JOIN o USING (case_id)),
+flags AS (SELECT case_id, pos, field, {_CREDIT.format('')} <> {_CREDIT.format('').replace('balance', 'nb').replace('segment', 'ns')} AS credit, {_SEG.format('')} <> {_SEG.format('').replace('segment', 'ns')} AS segment_only FROM tried),
+fields AS (SELECT case_id, unnest(['name', 'nation', 'segment', 'balance']) AS field, unnest([0, 1, 2, 3]) AS pos, unnest(['identifying', 'contextual', 'decision_relevant', 'decision_relevant']) AS role FROM o),
+probe AS (SELECT f.case_id, q.policy, f.pos, f.field, f.role, count(g.case_id) AS probed_values, coalesce(sum(CASE WHEN q.policy = 'credit' THEN g.credit::INT ELSE g.segment_only::INT END), 0)::BIGINT AS n_flips
+FROM fields f CROSS JOIN (SELECT unnest(['credit', 'segment_only']) AS policy) q LEFT JOIN flags g ON g.case_id = f.case_id AND g.field = f.field GROUP BY ALL)"""
+
+
+def _fields_where(condition: str) -> str:
+    return f"WITH {_WITH}, {_PROBE} SELECT case_id, policy, coalesce(string_agg(CASE WHEN {condition} THEN field END, ',' ORDER BY pos), '') AS fields FROM probe GROUP BY case_id, policy"
+
+
+@_query(f"WITH {_WITH}, {_PROBE} SELECT case_id, policy, field, probed_values, n_flips FROM probe")
+def probe_flips(spark, sf_dir):
+    return _probes(spark, sf_dir).select("case_id", "policy", "field", "probed_values", "n_flips")
+
+
+@_query(_fields_where("n_flips > 0 AND role <> 'decision_relevant'"))
+def probe_misclassified(spark, sf_dir):
+    return I.sensitivity_report(_probes(spark, sf_dir)).select("case_id", "policy", F.col("misclassified").alias("fields"))
+
+
+@_query(_fields_where("n_flips = 0 AND probed_values > 0 AND role = 'decision_relevant'"))
+def probe_inert(spark, sf_dir):
+    return I.sensitivity_report(_probes(spark, sf_dir)).select("case_id", "policy", F.col("inert").alias("fields"))
+
+
+@_query(_fields_where("probed_values = 0"))
+def probe_unprobed(spark, sf_dir):
+    return I.sensitivity_report(_probes(spark, sf_dir)).select("case_id", "policy", F.col("unprobed").alias("fields"))
+
+
+# ---- leaks
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(X.STOPWORDS)) + "]"
+_SRC = "SELECT case_id, '(narrative)' AS source, NULL AS role, -1 AS pos, narrative AS text FROM {0} UNION ALL SELECT case_id, 'name', 'identifying', 0, name FROM {0} UNION ALL SELECT case_id, 'nation', 'contextual', 1, CAST(nation AS VARCHAR) FROM {0} UNION ALL SELECT case_id, 'segment', 'decision_relevant', 2, segment FROM {0} UNION ALL SELECT case_id, 'balance', 'decision_relevant', 3, CAST(balance AS VARCHAR) FROM {0}"
+
+
+def _leak_sql(select: str, allow: str = "[]", fail_at: int = 2) -> str:
+    ok = "(list_contains(okt, t) OR list_contains(stop, t))"
+    return f"""WITH {_WITH}, os AS (SELECT *, {_TOK.format('text')} AS o FROM ({_SRC.format('o')})), asrc AS (SELECT *, {_TOK.format('text')} AS t FROM ({_SRC.format('a')})),
+side AS (SELECT case_id, ' ' || string_agg(array_to_string(t, ' '), ' | ') || ' ' AS s, list_distinct(flatten(list(t))) AS u FROM asrc WHERE len(t) > 0 GROUP BY case_id),
+okay AS (SELECT case_id, list_distinct(list_concat(flatten(list(o)), {allow}::VARCHAR[])) AS okt FROM os WHERE role = 'decision_relevant' GROUP BY case_id),
+b AS (SELECT os.*, s, u, okt, {_STOP} AS stop, source <> '(narrative)' AND contains(s, {_RUN.format('o')}) AS whole FROM os JOIN side USING (case_id) JOIN okay USING (case_id) WHERE len(o) > 0),
+l AS (SELECT *, list_transform(range(1, len(o) + 1), lambda p: coalesce(list_max(list_filter(range(1, len(o) - p + 2), lambda n: contains(s, ' ' || array_to_string(o[p:p+n-1], ' ') || ' '))), 0)) AS ln FROM b),
+ph AS (SELECT *, list_reduce(range(1, len(o) + 1), lambda st, p: CASE WHEN p < st.nxt THEN st WHEN ln[p] >= 2 AND len(list_filter(o[p:p+ln[p]-1], lambda t: NOT list_contains(stop, t) AND length(t) >= 2)) >= 2
+  THEN {{'nxt': p + ln[p], 'runs': list_append(st.runs, o[p:p+ln[p]-1])}} ELSE {{'nxt': p + 1, 'runs': st.runs}} END, {{'nxt': 1::BIGINT, 'runs': []::VARCHAR[][]}}).runs AS runs FROM l),
+f AS (SELECT case_id, source, 'field_value' AS kind, array_to_string(o, ' ') AS text, CASE WHEN role = 'identifying' THEN 3 ELSE 2 END AS severity, role = 'decision_relevant' OR len(list_filter(o, lambda t: NOT {ok})) = 0 AS allowed FROM ph WHERE whole
+UNION ALL SELECT case_id, source, 'identifying_token', t, 3, list_contains(okt, t) FROM (SELECT *, unnest(list_distinct(o)) AS t FROM ph WHERE NOT whole AND role = 'identifying') WHERE list_contains(u, t) AND NOT list_contains(stop, t) AND length(t) >= 2
+UNION ALL SELECT DISTINCT case_id, source, 'phrase', array_to_string(r, ' '), 2, len(list_filter(r, lambda t: NOT {ok} AND length(t) >= 2)) = 0 FROM (SELECT *, unnest(runs) AS r FROM ph WHERE NOT whole AND role IS DISTINCT FROM 'identifying')
+UNION ALL SELECT case_id, source, 'token', t, 1, list_contains(okt, t) FROM (SELECT *, unnest(list_distinct(o)) AS t FROM ph WHERE NOT whole AND role IS DISTINCT FROM 'identifying')
+  WHERE list_contains(u, t) AND NOT list_contains(stop, t) AND length(t) >= 2 AND NOT list_contains(flatten(runs), t)),
+rep AS (SELECT o.case_id, count(f.case_id) AS n_findings, count(CASE WHEN NOT allowed AND severity >= {fail_at} THEN 1 END) AS n_blocking FROM o LEFT JOIN f ON f.case_id = o.case_id GROUP BY o.case_id)
+{select}"""
+
+
+def _findings(spark, sf_dir, **options):
+    return L.find_leaks(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA, **options)
+
+
+def _of_kind(kind: str) -> str:
+    return _leak_sql(f"SELECT case_id, source, text, CAST(severity AS BIGINT) AS severity, allowed FROM f WHERE kind = '{kind}'")
+
+
+def _kind(spark, sf_dir, kind):
+    return _findings(spark, sf_dir).where(F.col("kind") == kind).select("case_id", "source", "text", F.col("severity").cast("bigint").alias("severity"), "allowed")
+
+
+@_query(_of_kind("field_value"))
+def leak_whole_value(spark, sf_dir):
+    return _kind(spark, sf_dir, "field_value")
+
+
+@_query(_of_kind("identifying_token"))
+def leak_identifying_token(spark, sf_dir):
+    return _kind(spark, sf_dir, "identifying_token")
+
+
+@_query(_of_kind("phrase"))
+def leak_phrase(spark, sf_dir):
+    return _kind(spark, sf_dir, "phrase")
+
+
+@_query(_of_kind("token"))
+def leak_token(spark, sf_dir):
+    return _kind(spark, sf_dir, "token")
+
+
+_REPORT = "SELECT case_id, n_findings, n_blocking, n_blocking = 0 AS direct_passed FROM rep"
+
+
+@_query(_leak_sql(_REPORT))
+def leak_blocking(spark, sf_dir):
+    return L.leak_report(analogues(spark, sf_dir), _findings(spark, sf_dir))
+
+
+@_query(_leak_sql(_REPORT, "['customer', 'of', 'nation', 'buys', 'goods', 'in', 'bulk', 'building']"))
+def leak_allowlist(spark, sf_dir):
+    return L.leak_report(analogues(spark, sf_dir), _findings(spark, sf_dir, allow=["Customer of nation", "buys", "goods in bulk", "building"]))
+
+
+@_query(_leak_sql(_REPORT, fail_at=1))
+def leak_fail_at_low(spark, sf_dir):
+    return L.leak_report(analogues(spark, sf_dir), _findings(spark, sf_dir), L.LOW)
+
+
+# ---- uniqueness
+
+_QIS = ("nation", "segment")
+
+
+@_query(f"WITH {_WITH}, p AS (SELECT nation, segment, count(*) AS k FROM o GROUP BY ALL) SELECT a.case_id, coalesce(p.k, 0) AS k, coalesce(p.k, 0) > 0 AND coalesce(p.k, 0) < 10 AS flagged FROM a LEFT JOIN p ON p.nation = a.nation AND p.segment = a.segment")
+def k_analogue(spark, sf_dir):
+    k = U.count_matches(analogues(spark, sf_dir), population(spark, sf_dir), _QIS)
+    return k.withColumn("flagged", (F.col("k") > 0) & (F.col("k") < 10))
+
+
+@_query(
+    f"""WITH {_WITH}, j AS (SELECT a.case_id, a.nation, a.segment, a.nation = o.nation AS sn, a.segment = o.segment AS ss FROM a JOIN o USING (case_id)),
+p11 AS (SELECT nation, segment, count(*) AS k FROM o GROUP BY ALL), p10 AS (SELECT nation, count(*) AS k FROM o GROUP BY ALL), p01 AS (SELECT segment, count(*) AS k FROM o GROUP BY ALL)
+SELECT j.case_id, concat_ws(',', CASE WHEN sn THEN 'nation' END, CASE WHEN ss THEN 'segment' END) AS shared,
+coalesce(CASE WHEN sn AND ss THEN p11.k WHEN sn THEN p10.k WHEN ss THEN p01.k ELSE (SELECT count(*) FROM o) END, 0) AS k
+FROM j LEFT JOIN p11 ON p11.nation = j.nation AND p11.segment = j.segment LEFT JOIN p10 ON p10.nation = j.nation LEFT JOIN p01 ON p01.segment = j.segment"""
+)
+def k_shared(spark, sf_dir):
+    return U.count_shared(originals(spark, sf_dir), analogues(spark, sf_dir), population(spark, sf_dir), _QIS).select("case_id", F.array_join("shared", ",").alias("shared"), "k")
+
+
+@_query(f"WITH {_WITH}, p AS (SELECT nation, segment, count(*) AS k FROM o GROUP BY ALL) SELECT o.case_id, p.k FROM o JOIN p USING (nation, segment)")
+def k_original(spark, sf_dir):
+    return U.count_matches(originals(spark, sf_dir), population(spark, sf_dir), _QIS)
+
+
+@_query("WITH p AS (SELECT p_size // 5 AS b, count(*) AS k FROM part GROUP BY ALL) SELECT p_partkey AS case_id, k FROM part JOIN p ON p.b = p_size // 5")
+def k_banded_matcher(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), "p_size")
+    return U.count_matches(parts, parts.drop("case_id"), ["p_size"], bands={"p_size": lambda c: F.floor(c / 5)})
+
+
+@_query("SELECT a.p_partkey AS case_id, (SELECT count(*) FROM part b WHERE abs(b.p_size - a.p_size) <= 2) AS k FROM part a")
+def k_theta_matcher(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), "p_size")
+    return U.count_matches(parts, parts.drop("case_id"), ["p_size"], {"p_size": lambda r, c: F.abs(r - c) <= 2})
+
+
+@_query(f"WITH {_WITH}, p AS (SELECT segment, count(*) AS k FROM o GROUP BY ALL) SELECT a.case_id, coalesce(p.k, 0) AS k FROM a LEFT JOIN p USING (segment)")
+def k_subset_qis(spark, sf_dir):
+    return U.count_matches(analogues(spark, sf_dir), population(spark, sf_dir), ["segment"])
+
+
+@_query(f"WITH {_WITH}, p AS (SELECT nation, segment, count(*) AS k FROM o WHERE case_id % 3 <> 0 GROUP BY ALL) SELECT a.case_id, coalesce(p.k, 0) AS k FROM a LEFT JOIN p USING (nation, segment)")
+def k_missing_key(spark, sf_dir):
+    o = originals(spark, sf_dir)
+    has = F.when(F.col("case_id") % 3 == 0, F.array(F.lit("nation"))).otherwise(F.array(F.lit("nation"), F.lit("segment")))
+    return U.count_matches(analogues(spark, sf_dir), o.select("nation", "segment", has.alias("_present")), _QIS)
+
+
+_UNIQ = f"""j AS (SELECT a.case_id, a.nation, a.segment, o.nation AS on_, o.segment AS os_, a.nation = o.nation AS sn, a.segment = o.segment AS ss FROM a JOIN o USING (case_id)),
+p11 AS (SELECT nation, segment, count(*) AS k FROM o GROUP BY ALL), p10 AS (SELECT nation, count(*) AS k FROM o GROUP BY ALL), p01 AS (SELECT segment, count(*) AS k FROM o GROUP BY ALL),
+ks AS (SELECT j.case_id, coalesce(p11.k, 0) AS ka, coalesce(CASE WHEN sn AND ss THEN p11.k WHEN sn THEN p10.k WHEN ss THEN p01.k ELSE (SELECT count(*) FROM o) END, 0) AS kh, q.k AS ko
+FROM j LEFT JOIN p11 ON p11.nation = j.nation AND p11.segment = j.segment LEFT JOIN p10 ON p10.nation = j.nation LEFT JOIN p01 ON p01.segment = j.segment LEFT JOIN p11 q ON q.nation = on_ AND q.segment = os_),
+uq AS (SELECT case_id, (ka > 0 AND ka < 10)::INT + (kh < 10)::INT AS n_flagged FROM ks)"""
+
+
+@_query(
+    f"""WITH {_WITH}, {_UNIQ} SELECT case_id, 'analogue' AS scope, ka AS k, ka > 0 AND ka < 10 AS flagged FROM ks
+UNION ALL SELECT case_id, 'shared_with_original', kh, kh < 10 FROM ks UNION ALL SELECT case_id, 'original', ko, false FROM ks"""
+)
+def uniqueness_scopes(spark, sf_dir):
+    return U.estimate_uniqueness(originals(spark, sf_dir), analogues(spark, sf_dir), population(spark, sf_dir), SCHEMA, _QIS, 10).select("case_id", "scope", "k", "flagged")
+
+
+@_query(_leak_sql("SELECT rep.case_id, n_findings, n_blocking, CAST(n_flagged AS BIGINT) AS n_flagged, n_blocking = 0 AND n_flagged = 0 AS passed FROM rep JOIN uq USING (case_id)").replace("rep AS (", _UNIQ + ",\nrep AS ("))
+def leak_audit(spark, sf_dir):
+    audit = A.audit_leaks(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA, population(spark, sf_dir), _QIS, 10)
+    return audit.select("case_id", "n_findings", "n_blocking", "n_flagged", "passed")
+
+
+# ---- swaps
+
+_SEGMENTS = {"BUILDING": "HOUSING", "MACHINERY": "TOOLS", "automobile": "CARS"}
+
+
+def _swapper(spark, sf_dir, **options):
+    names = {r[0]: f"Name {r[0][-3:]}" for r in originals(spark, sf_dir).where("case_id <= 100").select("name").collect()}  # a hundred table entries
+    return W.RuleBasedTransformer({"name": names, "segment": _SEGMENTS}, **options).transform(originals(spark, sf_dir), SCHEMA)
+
+
+_SWAP_SQL = "CASE lower(segment) WHEN 'building' THEN 'HOUSING' WHEN 'machinery' THEN 'TOOLS' WHEN 'automobile' THEN 'CARS' ELSE segment END"
+
+
+@_query(
+    f"""WITH {_WITH}, s AS (SELECT case_id, case_id <= 100 AS hit, name, nation, segment FROM o)
+SELECT case_id, CASE WHEN hit THEN 'Name ' || right(name, 3) ELSE name END AS name, {_SWAP_SQL} AS segment,
+'Customer ' || CASE WHEN hit THEN 'Name ' || right(name, 3) ELSE name END || ' of nation ' || CAST(nation AS VARCHAR) || ' buys ' || CASE WHEN segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN {_SWAP_SQL} ELSE lower(segment) END || ' goods in bulk.' AS narrative FROM s"""
+)
+def swap_transform(spark, sf_dir):
+    return _swapper(spark, sf_dir, require_identifying=False).select("case_id", "name", "segment", "narrative")
+
+
+@_query(f"WITH {_WITH} SELECT case_id, 'no swap for identifying: name' AS error FROM o WHERE case_id > 100")
+def swap_missing_identifying(spark, sf_dir):
+    return _swapper(spark, sf_dir).where("error is not null").select("case_id", "error")
+
+
+@_query(
+    """WITH p AS (SELECT s_nationkey AS case_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Alias A' ELSE 'alias a' END AS analogue, s_name AS original FROM supplier WHERE s_suppkey % 4 < 2)
+SELECT case_id, lower(analogue) AS analogue, array_to_string(list_sort(list(DISTINCT lower(original))), ',') AS originals FROM p GROUP BY case_id, lower(analogue) HAVING count(DISTINCT lower(original)) > 1"""
+)
+def mapping_conflict(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 < 2")
+    pairs = s.select(F.col("s_nationkey").alias("case_id"), F.when(F.col("s_suppkey") % 2 == 0, "Alias A").otherwise("alias a").alias("analogue"), F.col("s_name").alias("original"))
+    return W.mapping_conflicts(pairs).select("case_id", "analogue", F.array_join("originals", ",").alias("originals"))
+
+
+@_query(
+    """SELECT o_orderkey AS case_id, CASE o_orderkey % 4 WHEN 0 THEN 'the reply is not JSON' WHEN 1 THEN 'field names differ: [''priority'']' END AS error,
+CASE WHEN o_orderkey % 4 >= 2 THEN 'A case of ' || o_orderstatus END AS narrative, CAST(CASE WHEN o_orderkey % 4 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_mapped FROM orders"""
+)
+def proposal_parse(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
+    good = F.to_json(F.struct(F.struct(F.lit("X").alias("status"), F.col("o_orderpriority").alias("priority")).alias("fields"), F.concat(F.lit("A case of "), "o_orderstatus").alias("narrative")))
+    reply = F.when(k == 0, "no json").when(k == 1, '{"fields": {"status": "X"}}').otherwise(good)
+    fields = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    found = P.parse_replies(o.select(F.col("o_orderkey").alias("case_id"), reply.alias("reply"), fields.alias("fields"), F.lit("").alias("narrative")))
+    return found.select("case_id", "error", "narrative", "n_mapped")
+
+
+# ---- gate
+
+
+def _records(spark, sf_dir):
+    return G.new_records(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA)
+
+
+def _signoffs(spark, sf_dir):
+    """An order signs its customer's case off: the latest counts, priority 1 rejects, keys ending in 3 sign an older analogue."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.max("o_orderkey").alias("k"), F.max_by("o_orderpriority", "o_orderkey").alias("p"))
+    r = _records(spark, sf_dir).select("case_id", "analogue_digest")
+    digest = F.when(F.col("k") % 10 == 3, F.lit("older")).otherwise(F.col("analogue_digest"))
+    return o.join(r, "case_id").select("case_id", F.lit("reviewer").alias("reviewer"), (F.substring("p", 1, 1) != "1").alias("approved"), digest.alias("analogue_digest"), F.lit("").alias("note"), F.col("k").cast("string").alias("signed_at"))
+
+
+_SIGNED = """sg AS (SELECT o_custkey AS case_id, max(o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1),
+st AS (SELECT o.case_id, CASE WHEN k IS NULL THEN 'missing' WHEN k % 10 = 3 THEN 'stale' WHEN p[1] <> '1' THEN 'approved' ELSE 'rejected' END AS signoff FROM o LEFT JOIN sg USING (case_id))"""
+
+
+@_query(f"WITH {_WITH}, {_SIGNED} SELECT case_id, signoff FROM st")
+def signoff_status(spark, sf_dir):
+    return G.signoff_status(_records(spark, sf_dir), _signoffs(spark, sf_dir)).select("case_id", "signoff")
+
+
+def _cleared(spark, sf_dir):
+    return A.verify(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA, POLICIES, _records(spark, sf_dir), _signoffs(spark, sf_dir), population(spark, sf_dir), _QIS, 10, allow=["Customer of nation", "buys", "goods in bulk", "building"])
+
+
+_REASONS = _leak_sql(
+    """SELECT case_id, concat_ws('; ', CASE WHEN fails <> '' THEN 'invariance failed: ' || fails END, CASE WHEN n_blocking > 0 THEN 'direct leaks: ' || n_blocking END,
+CASE WHEN n_flagged > 0 THEN 'uniqueness flags: ' || n_flagged END, CASE WHEN signoff <> 'approved' THEN 'sign-off ' || signoff END) AS reasons FROM rep JOIN uq USING (case_id) JOIN st USING (case_id) JOIN iv USING (case_id)""",
+    "['customer', 'of', 'nation', 'buys', 'goods', 'in', 'bulk', 'building']",
+).replace("rep AS (", f"{_UNIQ}, {_SIGNED}, {_RESULTS}, iv AS (SELECT case_id, coalesce(string_agg(CASE WHEN NOT equivalent THEN policy END, ',' ORDER BY policy), '') AS fails FROM res GROUP BY case_id),\nrep AS (")
+
+
+@_query(_REASONS)
+def clearance_reasons(spark, sf_dir):
+    return _cleared(spark, sf_dir).select("case_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query(f"SELECT case_id FROM ({_REASONS}) WHERE reasons = ''")
+def cleared_cases(spark, sf_dir):
+    return _cleared(spark, sf_dir).where("status = 'cleared'").select("case_id")
+
+
+@_query(
+    f"""WITH {_WITH} SELECT case_id, '{G.NOTICE}' || chr(10) || chr(10) || 'Grant credit?' || chr(10) || chr(10) || narrative || chr(10) || chr(10) || 'name: ' || name || chr(10) || 'nation: ' || CAST(nation AS VARCHAR)
+|| chr(10) || 'segment: ' || segment || chr(10) || 'balance: ' || CAST(balance AS VARCHAR) AS text FROM a"""
+)
+def release_text(spark, sf_dir):
+    return G.release_text(analogues(spark, sf_dir), SCHEMA, F.lit("Grant credit?"))
+
+
+_BACK = {"HOUSING": "BUILDING", "Name 001": "Customer One"}
+
+
+@_query(f"WITH {_WITH} SELECT case_id, 'Name 001 asked about ' || CASE WHEN segment = 'BUILDING' THEN 'BUILDING' ELSE lower(segment) END || '; Customer One is known.' AS answer FROM o".replace("'Name 001 asked", "'Customer One asked"))
+def back_map(spark, sf_dir):
+    answer = F.concat(F.lit("name 001 asked about "), F.when(F.col("segment") == "BUILDING", "housing").otherwise(F.lower("segment")), F.lit("; Customer One is known."))
+    return originals(spark, sf_dir).select("case_id", G.back_map(answer, _BACK).alias("answer"))
+
+
+@_query(f"WITH {_WITH} SELECT case_id, CASE WHEN segment = 'BUILDING' THEN '001,housing' ELSE 'name' END AS residue FROM o")
+def residue(spark, sf_dir):
+    text = F.when(F.col("segment") == "BUILDING", "Housing-001 costs one").otherwise("the name of a customer")
+    return originals(spark, sf_dir).select("case_id", F.array_join(G.residue(text, _BACK), ",").alias("residue"))
+
+
+@_query(f"WITH {_WITH}, {_SIGNED} SELECT case_id, sha256({_CANON}) AS original_digest, signoff FROM o JOIN st USING (case_id)")
+def shareable_view(spark, sf_dir):
+    return G.shareable(G.signoff_status(_records(spark, sf_dir), _signoffs(spark, sf_dir))).select("case_id", "original_digest", "signoff")
