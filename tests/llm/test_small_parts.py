@@ -1,0 +1,186 @@
+"""Parts that need no session: automaton, index, grammar, queue, tagger, parser, bounds."""
+
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from veilframe.llm import bpe, html_text, near_dup, pii, repair, substring_dedup, token_files, warc
+from veilframe.llm._common import range_hashes, split_words, term_words, word_hashes
+from veilframe.llm.automaton import SuffixAutomaton
+from veilframe.llm.char_tagger import CharTagger
+from veilframe.llm.fm_index import FMIndex
+
+ODD = ["", " ", "<|endoftext|> x", " a  b\n\n c\t", "it's we'll 12 34ab", "日本語テキスト 日本", " x   y ", "a" * 700, "é ñ\r\n  ", "ab" * 2000 + " z", " x  y", "x\n y \n"]
+
+
+def test_words_and_their_hashes():
+    text = "The  cat\tthe\ncat É1_x \x0b\x0c\r the"
+    assert [w.decode() for w in split_words(text)] == re.findall(r"[^\x20\x09-\x0D]+", text)
+    h = word_hashes(text.encode()).tolist()
+    assert (h[0] == h[2], h[1] == h[3], h[2] == h[5]) == (False, True, True)
+    assert [w.decode() for w in term_words("Héy YOU_x-1\x7f2")] == ["hÉy".replace("É", "é"), "you", "x", "1", "2"]
+    v = np.arange(10, dtype=np.uint64) % 3
+    a = range_hashes(v, np.array([0, 3, 1]), np.array([3, 6, 4]))
+    assert a[0] == a[1] != a[2]
+
+
+@given(st.lists(st.text(alphabet="ab \n'1é!", max_size=60), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_bpe_matches_the_public_library(texts):
+    encoder, queue = bpe._encoder(*bpe.default_vocabulary())
+    public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=queue.ranks, special_tokens={})
+    for text, ids in zip(texts + ODD, encoder.encode(texts + ODD)):
+        assert np.frombuffer(ids, "<u4").tolist() == public.encode_ordinary(text)
+        assert queue.decode(ids) == text.encode()
+
+
+def test_one_long_pretoken_and_many_short_ones_agree():
+    _, queue = bpe._encoder(*bpe.default_vocabulary())
+    rng = random.Random(4)
+    pieces = [bytes(rng.choice(b"aabcthe in") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    ids, ends = queue.encode_together(pieces)
+    for piece, part in zip(pieces, np.split(ids, ends[:-1])):
+        alone = queue.encode_bytes(piece)
+        assert part.tolist() == alone or alone == [queue.ranks.get(piece)]
+
+
+def test_token_ids_match_the_tokenizers_library():
+    path, pattern = token_files.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    encoder, _ = token_files._encoder(path, pattern)
+    for text, ids in zip(ODD, encoder.encode(ODD)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.lists(st.integers(3, 9), max_size=80), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_grammar_blocks_round_trip(docs):
+    ids = [np.array(d * 30, "<u4").tobytes() for d in docs]
+    data, tokens = token_files.pack([None, *range(1, len(docs))], ids, 2, 10)
+    block = token_files.Block(data)
+    whole = [i + np.array([2], "<u4").tobytes() for i in ids]
+    assert block.all_ids().tobytes() == b"".join(whole) and tokens == sum(map(len, whole)) // 4
+    assert [block.document(k).tobytes() for k in range(len(docs))] == whole
+    assert block.keys[0] is None
+    grammar = repair.Grammar(np.zeros((0, 2), np.int64), 10)
+    assert grammar.expand(np.array([3, 4])).tolist() == [3, 4]
+
+
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=4), st.lists(st.integers(0, 2), max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_matching_statistics(sequences, text):
+    automaton, factors = SuffixAutomaton(), set()
+    for s in sequences:
+        automaton.add(s)
+        factors |= {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    expected = [max([0] + [n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in factors]) for i in range(len(text))]
+    assert automaton.matches(text) == expected
+
+
+@given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=25), min_size=1, max_size=8), st.lists(st.integers(1, 5), min_size=1, max_size=4))
+@settings(max_examples=80, deadline=None)
+def test_fm_index_counts_and_locates(runs, pattern):
+    text = np.array([x for r in runs for x in (*r, 0)])
+    index = FMIndex(text)
+    low, high = index.search(np.array([pattern]))
+    expected = [i for i in range(len(text) - len(pattern) + 1) if text[i : i + len(pattern)].tolist() == pattern]
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == expected
+
+
+def test_equal_windows_share_their_anchor():
+    rng = random.Random(2)
+    shared = [f"w{rng.randrange(99)}" for _ in range(70)]
+    found = []
+    for k in (3, 8):
+        text = " ".join([f"x{k}{i}" for i in range(40)] + shared + [f"y{k}{i}" for i in range(40)])
+        _, anchor, _, first, count = substring_dedup.runs(text.encode())
+        own = {}
+        for a, f, c in zip(anchor.tolist(), first.tolist(), count.tolist()):
+            own |= {w: a for w in range(f, f + c)}
+        found.append([own[w] for w in range(40, 61)])
+    assert found[0] == found[1]
+
+
+def test_signature_estimates_similarity():
+    a = near_dup.shingle_set(" ".join(f"w{i}" for i in range(2000)), 3)
+    b = near_dup.shingle_set(" ".join(f"w{i}" for i in range(200, 2200)), 3)
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs((near_dup.signature(a) == near_dup.signature(b)).mean() - true) < 0.12
+    assert len(near_dup.shingle_set("one two", 3)) == 1 and len(near_dup.shingle_set(" \n", 3)) == 0
+
+
+def test_rules_are_the_stated_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.@-1 9+(2é") for _ in range(rng.randrange(40)))
+        expected = [("email", m.start(), m.end()) for m in email.finditer(text)]
+        expected += [("ip", m.start(), m.end()) for m in pii._IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        expected += [("card", m.start(), m.end()) for m in pii._CARD.finditer(text) if 12 <= len(pii._digits(m[0])) <= 19 and pii.luhn(pii._digits(m[0]))]
+        expected += [("phone", m.start(), m.end()) for m in pii._PHONE.finditer(text) if 9 <= len(pii._digits(m[0])) <= 15]
+        assert pii.rule_spans(text) == sorted(expected, key=lambda s: (s[1], pii.RULE_KINDS.index(s[0])))
+
+
+def test_tagger_gradients():
+    tagger = CharTagger(("x",), hidden=3)
+    rng = np.random.default_rng(1)
+    idx, gold = rng.integers(0, 20, (2, 6)), np.array([[0, 1, 2, 0, 0, 1], [1, 2, 2, 0, 1, 0]])
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    _, g = tagger._gradients(idx, gold)
+    for key in ("out", "hf", "hb", "step", "bf"):
+        at = tuple(int(rng.integers(n)) for n in tagger.p[key].shape)
+        if key == "step":
+            at = (1, 2)
+        tagger.p[key][at] += 1e-2
+        up = tagger._gradients(idx, gold)[0]
+        tagger.p[key][at] -= 2e-2
+        down = tagger._gradients(idx, gold)[0]
+        tagger.p[key][at] += 1e-2
+        assert abs((up - down) / 2e-2 - g[key][at]) < 2e-2
+
+
+def test_tagger_on_held_out_text():
+    tagger, hit, wrong, missed = pii.trained_tagger(), 0, 0, 0
+    for idx, gold in pii.training_batches(3, 64, seed=99):
+        tags = tagger.best_paths(tagger.scores(idx), np.full(len(idx), pii.TIME))
+        same = (tags > 0) & (gold > 0) & ((tags - 1) // 2 == (gold - 1) // 2)
+        hit, wrong, missed = hit + same.sum(), wrong + ((tags > 0) & (gold == 0)).sum(), missed + ((tags == 0) & (gold > 0)).sum()
+    assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.94
+    (rules, added), (none, nothing) = pii.find_spans(tagger, ['my token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" here', "plain words only"])
+    assert not rules and [k for k, _, _ in added] == ["secret"] and not none and not nothing
+    assert pii.redact("a b@c.de d", [("email", 2, 8)]) == "a [EMAIL] d"
+
+
+PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=x>Menu</a></nav><header>Top</header><div class="cookie-notice">We use cookies</div>
+<article><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>
+ text of some length that goes on for a while.<p>Short.</p><aside>Aside</aside><form>Name <input></form></article><div id="comments"><p>Nice post, a reader says at length indeed.</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_main_text():
+    assert html_text.extract(PAGE) == "Head & line\nFirst bold text of some length that goes on for a while.\nShort."
+    assert [html_text.extract(x) for x in (None, "", "<p", "<nav>x</nav>")] == ["", "", "", ""] or html_text.extract("<nav>x</nav>") == ""
+    plain = "<body><div class='menu'>a</div><div><p>" + "word " * 50 + "</p><p>tail</p></div></body>"
+    assert html_text.extract(plain).endswith("word\ntail")
+    assert len(html_text.extract("<article><p>" + "long text " * 200_000 + "</p></article>")) == 1_999_999
+
+
+@pytest.mark.parametrize("url,key", [("http://www.a.b.com/x?q=1#f", "com,b,a)/x?q=1"), (None, ""), ("", ""), ("http://h.org", "org,h)/"), ("http://[bad", "http://[bad")])
+def test_url_keys(url, key):
+    assert warc.url_key(url) == key
+
+
+def test_warc_records():
+    data = warc.record_bytes("7", "http://a/\r\nx", "é".encode(), None)
+    assert warc.parse_record(data)[0] == "7" and warc.parse_record(data)[2] == 2 and warc.parse_record(data)[4] == "response"
+    again = warc.parse_record(warc.record_bytes("6", None, "é".encode(), "7"))
+    assert again == ("6", None, 2, warc.parse_record(data)[3], "revisit", "7")
+    with pytest.raises(ValueError):
+        warc.parse_record(data.replace("é".encode(), "è".encode()))
