@@ -17,18 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b")
     both = stage_table(both.select("a", "b").union(both.select("b", "a")).distinct(), "edges")
     labels = stage_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "labels")
+    state = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")))
+    before = state.first()
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("to").alias("low"))
-        best = stage_table(labels.join(seen, labels.node == seen.a).select("node", "to", F.least("to", "low").alias("low")), "seen")
-        hooks = best.select("node", F.col("low").alias("new")).union(best.where("low < to").select(F.col("to").alias("node"), F.col("low").alias("new")))
-        hooked = stage_table(hooks.groupBy("node").agg(F.min("new").alias("to")), "hooked")
+        best = labels.join(seen, labels.node == seen.a).select("node", "to", F.least("to", "low").alias("low"))
+        both_hooks = F.array(F.struct("node", F.col("low").alias("new")), F.struct(F.col("to").alias("node"), F.col("low").alias("new")))
+        hooked = stage_table(best.select(F.inline(both_hooks)).groupBy("node").agg(F.min("new").alias("to")), "hooked")
         parent = hooked.select(F.col("node").alias("p"), F.col("to").alias("up"))
         jumped = stage_table(hooked.join(parent, F.col("to") == F.col("p")).select("node", F.col("up").alias("to")), "jumped")
-        old = labels.select("node", F.col("to").alias("was"))
-        changed = jumped.join(old, "node").where("to <> was").limit(1).count()
-        for t in (labels, best, hooked):
+        after = jumped.agg(F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first()
+        for t in (labels, hooked):
             drop_table(t)
         labels = jumped
-        if not changed:
+        if after == before:  # a round changed no label
             drop_table(both)
             return labels.select("node", F.col("to").alias("component"))
+        before = after

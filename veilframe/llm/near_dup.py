@@ -6,8 +6,8 @@ similarity 0.85 shares none of the 32 bands with a probability of 6e-11.
 
 Buckets are not expanded into pairs.  Texts with equal sets are one class.  Each bucket has a pivot, its member
 that meets most others, and members are first compared to that alone.  What a pivot does not reach is then
-compared with the bucket's members of other components: at once in small buckets; in large ones only after an exact bound from shingles
-that no other member has.  Every comparison is confirmed on full sets.
+compared with the bucket's members of other components: at once in small buckets, in large ones only where a bound
+on the intersection leaves a link possible (``_large_pairs``).  Every link is confirmed on full sets.
 
 Defined results: a document without words (null, empty, blank) has an empty set and is linked with
 nothing; a null id is linked with nothing, its component is null and it is kept; rows that repeat an id are judged
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, drop_table, id_text, mix64, stage_table, word_hashes
@@ -33,8 +33,6 @@ _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 SMALL_BUCKET = 32
 #: signature values of 128 that a pair shares at least; at similarity 0.85 fewer come with a probability under 1e-10
 LEAST_SHARED = 76
-#: comparisons of large buckets that one round makes at most, times the rows of those buckets
-ROUND_FACTOR = 8
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -138,23 +136,20 @@ def _sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 class _Check:
-    """Confirms pairs on full sets; keeps the sets it has made."""
+    """Confirms pairs on full sets."""
 
-    def __init__(self, source: DataFrame, classes: DataFrame, words: int, percent: int):
-        self.source, self.classes, self.words, self.percent = source, classes, words, percent
+    def __init__(self, classes: DataFrame, sets: DataFrame, percent: int):
+        self.classes, self.sets, self.percent = classes, sets, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with 100 * intersection >= percent * union, as a staged table."""
         likely = stage_table(_alike(pairs, self.classes), "likely")
-        ends = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
-        sets = stage_table(_sets(self.source, ends.join(self.classes.select("rep", "digest"), "rep"), self.words).dropDuplicates(["rep"]), "sets")
-        a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+        a = self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+        b = self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
         out = stage_table(likely.join(a, "a").join(b, "b").where(both * 100 >= union * self.percent).select("a", "b"), "links")
         drop_table(likely)
-        drop_table(sets)
         return out
 
 
@@ -179,32 +174,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage_table(rows.join(meets, "rep"), "ranked")
     top = F.max(F.struct("meets", "rep", "n"))
     pivots = stage_table(rows.groupBy("key").agg(top.alias("top")).select("key", F.col("top.rep").alias("pivot"), F.col("top.n").alias("pivot_n")), "pivots")
-    check = _Check(source, classes, words, percent)
+    in_buckets = meets.select("rep").join(classes.select("rep", "digest"), "rep")
+    sets = stage_table(_sets(source, in_buckets, words).dropDuplicates(["rep"]), "sets")
+    check = _Check(classes, sets, percent)
     first = rows.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & _size_ok("n", "pivot_n", percent))
     edges = check.links(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     comp = components(edges)
 
     # what is outside its bucket's pivot's component still has to meet the other components there
     placed = stage_table(_with_component(rows, comp), "placed")
-    homes = pivots.join(placed.select("rep", "comp").distinct(), F.col("pivot") == F.col("rep")).select("key", F.col("comp").alias("home"))
+    homes = pivots.join(placed.select("rep", "comp").distinct(), F.col("pivot") == F.col("rep")).select("key", "pivot", F.col("comp").alias("home"))
     homes = stage_table(homes, "homes")
     member = stage_table(placed.join(homes, "key"), "member")
-    outside = member.where("comp <> home")
-    o = outside.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "members", "home")
+    o = member.where("comp <> home").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "members")
     m = member.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("home").alias("home_b"))
     small = o.where(F.col("members") <= SMALL_BUCKET).join(m, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home_b")) | (F.col("a") < F.col("b"))) & _size_ok("na", "nb", percent))
-    found = [edges, check.links(small.select("a", "b").distinct())]
-    large = _large_pairs(source, classes, member, words, percent)
-    while large is not None:
-        pairs, rest = large
-        found.append(check.links(pairs))
-        large = rest()
-    if len(found) > 1:
-        every = found[0]
-        for e in found[1:]:
-            every = every.union(e)
-        comp = components(every)
-    for t in (counts, meets, pivots, placed, homes, member):
+    pairs = small.select("a", "b").distinct()
+    if member.where(f"members > {SMALL_BUCKET} and comp <> home").limit(1).count():
+        pairs = pairs.union(_large_pairs(member, sets, percent)).distinct()
+    more = check.links(pairs)
+    if more.limit(1).count():
+        comp = components(edges.union(more))
+    for t in (counts, meets, pivots, placed, homes, member, sets):
         drop_table(t)
     of_class = stage_table(classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "classed")
     by_digest = sketches.select("id", "digest", "n").join(of_class, "digest", "left")
@@ -212,44 +203,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return by_digest.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _large_pairs(source: DataFrame, classes: DataFrame, member: DataFrame, words: int, percent: int):
-    """(pairs, next round) for buckets above ``SMALL_BUCKET``, or None where no pair is left.
+def _large_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of buckets above ``SMALL_BUCKET`` that may still be links; a is outside the pivot's component.
 
-    A member x with u shingles that nobody else in such buckets has shares at most n - u with anyone.  Its
-    partners' sizes are thereby bounded from above, and x only meets members in those size bins (width 2 %).
+    With i(x) shingles in common with the pivot and off(x) the others, a and b share at most min(i(a), i(b)) plus
+    what off(a) and off(b) share, and a link needs a fixed share of both sizes.  So either b is small enough
+    for i(a) alone, found by size bins (width 2 %), or the two meet in one of the rarest shingles of off(a):
+    as many may be left out as a link needs in common, less one.
     """
-    big = member.where(F.col("members") > SMALL_BUCKET)
-    pending = big.where("comp <> home")
-    if pending.limit(1).count() == 0:
-        return None
-    ends = big.select("rep").distinct()
-    sets = stage_table(_sets(source, ends.join(classes.select("rep", "digest"), "rep"), words).dropDuplicates(["rep"]), "bigsets")
-    lone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.count("*").alias("df")).where("df = 1")
-    lone = lone.groupBy("rep").agg(F.count("*").alias("u"))
-    room = stage_table(big.join(lone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))), "room")
-    drop_table(sets)
     share = percent / (100 + percent)  # of both sizes together, that the intersection has at least
+    big = member.where(F.col("members") > SMALL_BUCKET).select("pivot", "rep", "n", "comp", "home").distinct()
+    open_ = big.where("comp <> home").select("pivot").distinct()
+    big = big.join(open_, "pivot", "left_semi")
+    own = sets.select("rep", F.col("shingles").alias("mine"))
+    pivot = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("theirs"))
+    split = big.join(own, "rep").join(pivot, "pivot").select("pivot", "rep", "n", "comp", (F.col("comp") != F.col("home")).alias("outside"), F.size(F.array_intersect("mine", "theirs")).alias("i"), F.array_except("mine", "theirs").alias("off"))
+    split = stage_table(split, "split")
+    least = split.groupBy("pivot").agg(F.min("n").alias("least"))
+
     bin_of = lambda c: F.floor(F.log(c) / F.log(F.lit(1.02)))
-    highest = F.col("most") / share - F.col("n") + 1e-6
-    lowest = F.col("n") * percent / 100.0 - 1e-6
-    seekers = room.where("comp <> home").withColumns({"lo": lowest, "hi": highest}).where("hi >= lo and hi >= 1")
-    seekers = seekers.withColumn("bin", F.explode(F.sequence(bin_of(F.greatest("lo", F.lit(1.0))), bin_of(F.col("hi")))))
-    seekers = stage_table(seekers.select("key", "bin", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca")), "seekers")
-    targets = stage_table(room.select("key", bin_of(F.col("n")).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), "targets")
-    per_bin = targets.groupBy("key", "bin").agg(F.count("*").alias("here"))
-    work, n_rows = seekers.groupBy("key", "bin").agg(F.count("*").alias("ask")).join(per_bin, ["key", "bin"]).agg(F.sum(F.col("ask") * F.col("here"))).first()[0] or 0, targets.count()
-    drop_table(room)
-    if not work:
-        return None
-    parts = max(1, -(-work // max(1, ROUND_FACTOR * n_rows)))
-    possible = F.least("ma", "mb") >= share * (F.col("na") + F.col("nb")) - 1e-6
-
-    def at(k: int):
-        turn = seekers.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k)
-        pairs = turn.join(targets, ["key", "bin"]).where((F.col("ca") != F.col("cb")) & possible & _size_ok("na", "nb", percent))
-        return pairs.select("a", "b").distinct(), lambda: at(k + 1) if k + 1 < parts else None
-
-    return at(0)
+    seekers = split.where("outside").withColumns({"lo": F.greatest(F.col("n") * percent / 100.0 - 1e-6, F.lit(1.0)), "hi": F.col("i") / share - F.col("n") + 1e-6}).where("hi >= lo")
+    seekers = seekers.select("pivot", F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    targets = split.select("pivot", bin_of(F.col("n")).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+    enough = F.least("ia", "ib") >= share * (F.col("na") + F.col("nb")) - 1e-6
+    by_size = seekers.join(targets, ["pivot", "bin"]).where((F.col("ca") != F.col("cb")) & enough & _size_ok("na", "nb", percent)).select("a", "b")
+
+    off = stage_table(split.select("pivot", "rep", "n", "comp", "outside", "i", F.size("off").alias("n_off"), F.explode("off").alias("s")), "off")
+    shared = stage_table(off.groupBy("pivot", "s").agg(F.count("*").alias("df")), "df")
+    asked = off.where("outside").join(shared, ["pivot", "s"]).join(least, "pivot")
+    spare = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("least")) - F.col("i") - 1e-6))
+    rarest = Window.partitionBy("pivot", "rep").orderBy("df", "s")
+    asked = asked.withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= F.col("n_off") - spare + 1) & (F.col("df") > 1))
+    asked = asked.select("pivot", "s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    met = off.select("pivot", "s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    by_rare = asked.join(met, ["pivot", "s"]).where((F.col("ca") != F.col("cb")) & _size_ok("na", "nb", percent)).select("a", "b")
+    out = stage_table(by_size.union(by_rare).distinct(), "large")
+    for t in (split, off, shared):
+        drop_table(t)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
