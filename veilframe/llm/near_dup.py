@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, drop_table, id_text, mix64, stage_table, word_hashes
@@ -31,6 +31,8 @@ _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2
 _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 #: bucket members up to which all members of other components are compared at once
 SMALL_BUCKET = 32
+#: members above which a group of shingles is frequent
+FREQUENT = 4
 #: signature values of 128 that a pair shares at least; at similarity 0.85 fewer come with a probability under 1e-10
 LEAST_SHARED = 76
 
@@ -219,8 +221,6 @@ def _large_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivot = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("theirs"))
     split = big.join(own, "rep").join(pivot, "pivot").select("pivot", "rep", "n", "comp", (F.col("comp") != F.col("home")).alias("outside"), F.size(F.array_intersect("mine", "theirs")).alias("i"), F.array_except("mine", "theirs").alias("off"))
     split = stage_table(split, "split")
-    least = split.groupBy("pivot").agg(F.min("n").alias("least"))
-
     bin_of = lambda c: F.floor(F.log(c) / F.log(F.lit(1.02)))
     seekers = split.where("outside").withColumns({"lo": F.greatest(F.col("n") * percent / 100.0 - 1e-6, F.lit(1.0)), "hi": F.col("i") / share - F.col("n") + 1e-6}).where("hi >= lo")
     seekers = seekers.select("pivot", F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
@@ -228,17 +228,56 @@ def _large_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     enough = F.least("ia", "ib") >= share * (F.col("na") + F.col("nb")) - 1e-6
     by_size = seekers.join(targets, ["pivot", "bin"]).where((F.col("ca") != F.col("cb")) & enough & _size_ok("na", "nb", percent)).select("a", "b")
 
-    off = stage_table(split.select("pivot", "rep", "n", "comp", "outside", "i", F.size("off").alias("n_off"), F.explode("off").alias("s")), "off")
-    shared = stage_table(off.groupBy("pivot", "s").agg(F.count("*").alias("df")), "df")
-    asked = off.where("outside").join(shared, ["pivot", "s"]).join(least, "pivot")
-    spare = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("least")) - F.col("i") - 1e-6))
-    rarest = Window.partitionBy("pivot", "rep").orderBy("df", "s")
-    asked = asked.withColumn("at", F.row_number().over(rarest)).where((F.col("at") <= F.col("n_off") - spare + 1) & (F.col("df") > 1))
-    asked = asked.select("pivot", "s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    met = off.select("pivot", "s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    by_rare = asked.join(met, ["pivot", "s"]).where((F.col("ca") != F.col("cb")) & _size_ok("na", "nb", percent)).select("a", "b")
+    by_rare = _by_rare_shingles(split, share, percent)
     out = stage_table(by_size.union(by_rare).distinct(), "large")
-    for t in (split, off, shared):
+    drop_table(split)
+    return out
+
+
+def _by_rare_shingles(split: DataFrame, share: float, percent: int) -> DataFrame:
+    """Pairs (a, b) that share enough off-pivot shingles.
+
+    Off-pivot shingles with the same members are one group with a weight.  For partners of each size (bins of 2 %), of a's groups, rarest first, a tail that weighs
+    less than a link needs is left out.  A partner shares one of the other groups; where it shares only frequent
+    ones (above ``FREQUENT`` members), that is one heavy enough alone, or two of them at once.
+    """
+    off = stage_table(split.select("pivot", "rep", F.explode("off").alias("s")), "off")
+    of_s = off.groupBy("pivot", "s").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("df > 1")
+    of_s = stage_table(of_s.select("pivot", "s", "df", F.xxhash64("pivot", "df", "who").alias("g")), "groups")
+    weighed = off.join(of_s, ["pivot", "s"]).groupBy("pivot", "rep", "g").agg(F.first("df").alias("df"), F.count("*").alias("w"))
+    profile = weighed.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "g", "w"))).alias("gs"))
+    about = split.select("pivot", "rep", "n", "comp", "outside", "i", F.floor(F.log("n") / F.log(F.lit(1.02))).alias("bin"))
+    profile = stage_table(profile.join(about, ["pivot", "rep"]), "profiles")
+    bins = profile.groupBy("pivot", "bin").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    bins = bins.groupBy("pivot").agg(F.collect_list(F.struct("bin", "least", "most")).alias("bins"))  # a few dozen at most
+    bins = stage_table(bins, "bins")
+
+    total = lambda gs: F.aggregate(gs, F.lit(0).cast("bigint"), lambda x, g: x + g["w"])
+    need = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("least")) - F.col("i") - 1e-6))
+    asks = profile.where("outside").join(bins, "pivot").select("pivot", "rep", "n", "comp", "i", "gs", F.inline("bins"))
+    asks = asks.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+    asks = asks.withColumn("need", need).where(total(F.col("gs")) >= F.col("need"))
+    asks = asks.withColumn("front", F.filter("gs", lambda g, j: total(F.slice("gs", j + 1, F.size("gs"))) >= F.col("need")))
+    frequent = lambda g: g["df"] > FREQUENT
+    single = F.transform(F.filter("front", lambda g: ~frequent(g) | (g["w"] >= F.col("need"))), lambda g: g["g"])
+    double = F.when(F.exists("front", lambda g: frequent(g) & (g["w"] < F.col("need"))), F.transform(F.filter("gs", frequent), lambda g: g["g"]))
+    asks = asks.select("pivot", "bin", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("i").alias("ia"), total(F.col("gs")).alias("wa"), single.alias("single"), F.coalesce(double, F.array().cast("array<bigint>")).alias("double"))
+    asks = stage_table(asks, "asks")
+    b_side = profile.select("pivot", "bin", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("i").alias("ib"), total(F.col("gs")).alias("wb"), F.explode("gs").alias("x")).select("pivot", "bin", "b", "nb", "cb", "ib", "wb", F.col("x.g").alias("g"))
+    b_side = stage_table(b_side, "held")
+    reach = F.least("wa", "wb") >= share * (F.col("na") + F.col("nb")) - F.least("ia", "ib") - 1e-6
+    fits = (F.col("ca") != F.col("cb")) & reach & _size_ok("na", "nb", percent)
+    one = asks.select("pivot", "bin", "a", "na", "ca", "ia", "wa", F.explode("single").alias("g")).join(b_side, ["pivot", "bin", "g"]).where(fits).select("a", "b")
+
+    def pairs_of(gs: str):
+        ordered = F.array_sort(gs)
+        return F.explode(F.flatten(F.transform(ordered, lambda x, j: F.transform(F.slice(ordered, j + 2, F.size(ordered)), lambda y: F.xxhash64(x, y)))))
+
+    wanted = asks.select("pivot", F.explode("double").alias("g")).distinct()
+    held = b_side.join(wanted, ["pivot", "g"], "left_semi").groupBy("pivot", "bin", "b").agg(*[F.first(c).alias(c) for c in ("nb", "cb", "ib", "wb")], F.collect_list("g").alias("gs"))
+    two = asks.select("pivot", "bin", "a", "na", "ca", "ia", "wa", pairs_of("double").alias("gg")).join(held.select("pivot", "bin", "b", "nb", "cb", "ib", "wb", pairs_of("gs").alias("gg")), ["pivot", "bin", "gg"]).where(fits).select("a", "b")
+    out = stage_table(one.union(two).distinct(), "rare")
+    for t in (off, of_s, profile, bins, asks, b_side):
         drop_table(t)
     return out
 
