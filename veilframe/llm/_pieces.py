@@ -46,8 +46,13 @@ class PieceEncoder:
         missing = every.difference(pieces)
         irregular = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
         missing -= irregular
-        found = self._find(" " + " ".join(missing)) if missing else []
+        # a word, or a word and a full stop or comma, needs no pattern
+        plain = [p for p in missing if p.isalpha()]
+        ended = [p for p in missing if p[-1] in ".," and p[:-1].isalpha()]
+        mixed = missing.difference(plain, ended)
+        found = self._find(" " + " ".join(mixed)) if mixed else []
         wanted = set(found)
+        wanted.update([" " + p for p in plain], [" " + p[:-1] for p in ended], ".,")
         for row, text in zip(window, texts):
             if irregular and not irregular.isdisjoint(row[1]):
                 row[:] = text, []
@@ -56,7 +61,9 @@ class PieceEncoder:
         todo = list(wanted.difference(matches))
         matches.update(zip(todo, self._encode_matches(todo)))
         i, last = 0, len(found)
-        for p in missing:  # a piece's matches run up to the next one that starts with a space
+        pieces.update([(p, matches[" " + p]) for p in plain])
+        pieces.update([(p, matches[" " + p[:-1]] + matches[p[-1]]) for p in ended])
+        for p in mixed:  # a piece's matches run up to the next one that starts with a space
             ids = matches[found[i]]
             i += 1
             while i < last and found[i][0] != " ":
