@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,10 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     global _own_dir
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="veilframe-")
+        path = tempfile.mkdtemp(prefix="veilframe-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dir = "file://" + path
         spark.sparkContext.setCheckpointDir(_own_dir)
     return _own_dir
 
