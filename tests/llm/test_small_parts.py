@@ -184,3 +184,35 @@ def test_warc_records():
     assert again == ("6", None, 2, warc.parse_record(data)[3], "revisit", "7")
     with pytest.raises(ValueError):
         warc.parse_record(data.replace("é".encode(), "è".encode()))
+
+
+def test_tagger_reads_whole_texts():
+    tagger, mail = pii.trained_tagger(), "anna [at] mail.example.com"
+    (rules, added), (_, far), (_, none) = pii.find_spans(tagger, [mail, f"{'plain words ' * 600}{mail} {'and more ' * 40}", "plain [words] only"])
+    assert rules == [] and added == [("email", 0, len(mail))] and none == []
+    assert [(k, a) for k, a, _ in far] == [("email", 7200)]
+    texts = ["", "x 1", ("plain words " * 900 + mail + ", ") * 2, "9" * 9000, f"see {mail} at once " * 700]
+    for text, got in zip(texts, pii.tag_spans(tagger, texts)):
+        assert got == pii.tag_spans(tagger, [text])[0]
+
+
+def test_long_spans_are_found_whole(monkeypatch):
+    class Digits:  # tags runs of letters and digits as secrets
+        def scores(self, idx):
+            e = np.zeros((*idx.shape, 1 + 2 * len(pii.KINDS)), np.float32)
+            e[..., -1] = np.where(idx < 36, 5, -5)
+            return e
+
+        def best_paths(self, e, sizes):
+            on = (e[..., -1] > 0) & (np.arange(e.shape[1]) < sizes[:, None])
+            begins = on & ~np.concatenate([np.zeros((len(on), 1), bool), on[:, :-1]], 1)
+            return np.where(begins, 2 * len(pii.KINDS) - 1, np.where(on, 2 * len(pii.KINDS), 0)).astype(np.int8)
+
+    text = "- " * 1000 + "a1b2" * 3000 + " -" * 1000
+    assert pii.tag_spans(Digits(), [text]) == [[("secret", 2000, 14000)]]
+
+
+def test_needed_marks_leave_out_no_text_that_fits():
+    for text in ("a [at] b.cd", "a(AT)b(dot)cd", "a{ at }b {dot} cd", "a@b.cd", "1.2.3.4", "a1b2c3d4e5f6g7h8"):
+        assert pii._NEEDED.search(text) and any(pii._fits(k, text) for k in pii.KINDS)
+    assert not pii._NEEDED.search("at dot [that] (dot)")

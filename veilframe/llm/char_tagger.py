@@ -62,10 +62,34 @@ class CharTagger:
         return out
 
     def scores(self, idx: np.ndarray) -> np.ndarray:
-        """Tag scores (rows, time, tags) of windows (rows, time)."""
-        idx = idx.T
-        both = np.concatenate([self._run(idx, "f"), self._run(idx, "b")], 2)
-        return (both @ self.p["out"] + self.p["bias"]).transpose(1, 0, 2)
+        """Tag scores (rows, time, tags) of windows (rows, time); both directions run at once, a gate's values lie together."""
+        h, n, t_max = self.hidden, len(idx), idx.shape[1]
+        kind = self.p["out"].dtype
+        scale = np.array([0.5, 0.5, 0.5, 1], kind)[:, None, None]  # a sigmoid is a tanh of half its argument
+        split = lambda w: w.reshape(-1, 4, h).transpose(1, 0, 2) * scale
+        wx = [np.ascontiguousarray(split(self.p[f"x{d}"] + self.p[f"b{d}"])) for d in "fb"]
+        wh = np.ascontiguousarray(np.stack([split(self.p[f"h{d}"]) for d in "fb"]))
+        state, cell = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
+        out, z, given = np.empty((2, t_max, n, h), kind), np.empty((2, 4, n, h), kind), np.empty((2, 4, n, h), kind)
+        idx = np.ascontiguousarray(idx.T)
+        for t in range(t_max):
+            at = (t, t_max - 1 - t)
+            for d in (0, 1):
+                np.take(wx[d], idx[at[d]], axis=1, out=given[d], mode="clip")
+            np.matmul(state[:, None], wh, out=z)
+            z += given
+            np.tanh(z, out=z)
+            z[:, :3] += 1
+            z[:, :3] *= 0.5
+            cell *= z[:, 1]
+            z[:, 0] *= z[:, 3]
+            cell += z[:, 0]
+            np.tanh(cell, out=state)
+            state *= z[:, 2]
+            for d in (0, 1):
+                out[d, at[d]] = state[d]
+        e = out[0].reshape(-1, h) @ self.p["out"][:h] + out[1].reshape(-1, h) @ self.p["out"][h:] + self.p["bias"]
+        return e.reshape(t_max, n, -1).transpose(1, 0, 2)
 
     def _crf(self, e: np.ndarray, gold: np.ndarray):
         """Loss and its gradients for scores (time, rows, tags) and tags (time, rows)."""
@@ -133,23 +157,25 @@ class CharTagger:
         """Viterbi tags (rows, time) for scores (rows, time, tags); rows beyond their size stay outside."""
         n, t_max, k = e.shape
         step = self.p["step"] + self.forbidden
+        free = [0, *range(1, k, 2)]  # tags that may follow any other
+        to_free, begun, going = step[:, free][:, :, None], step[range(1, k, 2), range(2, k, 2)][:, None], step[range(2, k, 2), range(2, k, 2)][:, None]
+        best = np.ascontiguousarray(e.transpose(1, 2, 0))  # (time, tags, rows), summed up in place
         begin = self.p["start"].copy()
         begin[2::2] = -1e4
-        best, back = begin + e[:, 0], np.zeros((t_max, n, k), np.int8)
+        best[0] += begin[:, None]
         for t in range(1, t_max):
-            x = best[:, :, None] + step
-            back[t] = x.argmax(1)
-            new = x.max(1) + e[:, t]
-            over = sizes <= t
-            if over.any():
-                new[over] = -1e4 + best[over] * 0
-                new[over, 0] = best[over].max(1)
-                back[t, over] = best[over].argmax(1)[:, None]
-            best = new
-        tags = np.zeros((n, t_max), np.int64)
-        rows = np.arange(n)
-        tags[:, -1] = best.argmax(1)
-        for t in range(t_max - 1, 0, -1):
-            tags[:, t - 1] = back[t, rows, tags[:, t]]
-        tags[np.arange(t_max)[None, :] >= sizes[:, None]] = 0
+            before, new = best[t - 1], best[t]
+            x = (before[:, None] + to_free).max(0)
+            new[0] += x[0]
+            new[1::2] += x[1:]
+            new[2::2] += np.maximum(before[1::2] + begun, before[2::2] + going)
+            new -= new[0].copy()  # keeps sums small; only differences count
+        tags = np.zeros((n, t_max), np.int8)
+        after = np.concatenate([step.T, np.zeros((1, k), step.dtype)])  # the last row: nothing follows
+        tag = np.full(n, k)
+        for t in range(t_max - 1, -1, -1):
+            tag = (best[t] + after[tag].T).argmax(0)
+            tag[sizes <= t] = k
+            tags[:, t] = tag
+        tags[tags == k] = 0
         return tags

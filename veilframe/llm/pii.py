@@ -1,11 +1,11 @@
 r"""Personal data: rules for the plain forms, and a character tagger that adds what they miss.
 
 The rules find e-mail, IP, card and phone spans.  A bidirectional LSTM with a CRF, trained in numpy on made-up text with
-labelled spans, adds other spellings (obfuscated e-mail, oddly spaced numbers) and secrets.  A span of any kind
-holds a digit or an at-sign by definition, so the tagger reads the stretches around those: windows of
-``TIME`` characters that overlap by half.  Scores of overlapping windows are blended, the nearer to a window's middle
-the heavier, and one Viterbi path over the whole stretch settles them globally.  A found span
-must also fit its kind (digit counts, Luhn, parts) and overlap no rule span.
+labelled spans, adds other spellings (obfuscated e-mail, oddly spaced numbers) and secrets.  It reads whole
+texts in windows of ``TIME`` characters that overlap by half.  Scores of overlapping windows are blended, the nearer
+to a window's middle the heavier, and a Viterbi path settles them globally.  A found span
+must also fit its kind (digit counts, Luhn, parts) and overlap no rule span.  No text fits a kind that
+has neither a digit nor an at-sign, plain or bracketed; documents without any need not be tagged.
 
 Defined results: a null or empty text has no spans; a null id is kept; each repeated row is judged alike; an
 empty table gives no rows; other columns are ignored.
@@ -28,8 +28,6 @@ RULE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*RULE_KINDS, "secret")
 #: characters of a tagger window
 TIME = 64
-#: characters read on either side of a digit or at-sign; a span is at most this long on either side of its nearest one
-MARGIN = 32
 #: training: batches of made-up windows, and windows in each
 BATCHES, ROWS = 260, 48
 
@@ -179,59 +177,93 @@ def trained_tagger() -> CharTagger:
 
 
 _WEIGHT = (1 + np.minimum(np.arange(TIME), np.arange(TIME)[::-1])).astype(np.float32)
-_ANCHOR = re.compile(r"[0-9@](?:[^0-9@]{0,%d}[0-9@])*" % (2 * MARGIN))
-#: characters of stretches tagged together
-_TOGETHER = 60_000
+#: what every text that ``_fits`` accepts holds somewhere; a text without it has no span that could be kept
+_NEEDED = re.compile(r"[0-9@]|[\[({]\s*at\s*[\])}]", re.IGNORECASE)
+#: characters of a part, and of the overlap in which two parts are joined outside of spans; multiples of half a window
+PART, OVERLAP = 4096, 256
+#: characters of parts tagged together
+_TOGETHER = 300_000
 
 
 def tag_spans(tagger: CharTagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the tagger finds in each text."""
+    """Spans that the tagger finds in each text, all of which is read.
+
+    Long texts are tagged in overlapping parts; where two parts have no place in common at which both are outside
+    of spans, they are tagged again as one, so that a span of any length is found whole.
+    """
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    stretches = []  # (text, start, end)
-    for k, text in enumerate(texts):
-        for m in _ANCHOR.finditer(text):
-            start, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-            for at in range(start, end, 4096):  # very long stretches in overlapping parts
-                stretches.append((k, at, min(end, at + 4096 + TIME)))
-                if at + 4096 + TIME >= end:
-                    break
-    stretches.sort(key=lambda s: s[2] - s[1])
-    while stretches:
-        some, chars = [], 0
-        while stretches and (not some or chars + stretches[-1][2] - stretches[-1][1] <= _TOGETHER):
-            some.append(stretches.pop())
-            chars += some[-1][2] - some[-1][1]
-        _tag_together(tagger, texts, some, found)
-    return [sorted(set(f), key=lambda s: (s[1], s[2])) for f in found]
-
-
-def _tag_together(tagger: CharTagger, texts: list[str], some: list[tuple[int, int, int]], found: list) -> None:
+    parts = {k: [(a, min(len(t), a + PART + OVERLAP)) for a in range(0, max(1, len(t) - OVERLAP), PART)] for k, t in enumerate(texts) if _NEEDED.search(t)}
+    while parts:
+        tags = _tag_parts(tagger, texts, [(k, a, b) for k, own in parts.items() for a, b in own])
+        again = {}
+        for k, own in parts.items():
+            cuts = [_cut(tags[k, *x], tags[k, *y], x, y) for x, y in zip(own, own[1:])]
+            if None in cuts:
+                merged = own[:1]
+                for cut, part in zip(cuts, own[1:]):
+                    if cut is None:
+                        merged[-1] = merged[-1][0], part[1]
+                    else:
+                        merged.append(part)
+                again[k] = merged
+                continue
+            edges = [0, *cuts, len(texts[k])]
+            line = np.concatenate([tags[k, a, b][x - a : y - a] for (a, b), x, y in zip(own, edges, edges[1:])])
+            found[k] = _spans(line, texts[k])
+        parts = again
+    return found
+
+
+def _cut(left: np.ndarray, right: np.ndarray, x: tuple[int, int], y: tuple[int, int]) -> int | None:
+    """The place nearest the middle of the overlap of parts x and y at which both are outside of spans."""
+    outside = np.flatnonzero((left[y[0] - x[0] :] == 0) & (right[: x[1] - y[0]] == 0))
+    return y[0] + int(outside[np.abs(outside - (x[1] - y[0]) // 2).argmin()]) if len(outside) else None
+
+
+def _spans(line: np.ndarray, text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for t in np.flatnonzero(line % 2 == 1).tolist():
+        end = t + 1
+        while end < len(line) and line[end] == line[t] + 1:
+            end += 1
+        kind = KINDS[(line[t] - 1) // 2]
+        if _fits(kind, text[t:end]):
+            out.append((kind, t, end))
+    return out
+
+
+def _tag_parts(tagger: CharTagger, texts: list[str], parts: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], np.ndarray]:
+    """Tags of each part (text, start, end)."""
+    parts, tags = sorted(parts, key=lambda s: s[2] - s[1]), {}
+    while parts:
+        some, longest = [], parts[-1][2] - parts[-1][1]
+        while parts and (not some or (len(some) + 1) * longest <= _TOGETHER):
+            some.append(parts.pop())
+        tags |= zip(some, _tag_together(tagger, texts, some))
+    return tags
+
+
+def _tag_together(tagger: CharTagger, texts: list[str], some: list[tuple[int, int, int]]) -> list[np.ndarray]:
     sizes = np.array([b - a for _, a, b in some])
-    longest = int(sizes.max())
-    padded = max(TIME, -(-longest // (TIME // 2)) * (TIME // 2))
-    blank = int(inputs(" ")[0])
-    idx = np.full((len(some), padded), blank, np.int64)
+    half = TIME // 2
+    padded = max(TIME, -(-int(sizes.max()) // half) * half)
+    idx = np.full((len(some), padded), int(inputs(" ")[0]), np.int64)
     for r, (k, a, b) in enumerate(some):
         idx[r, : b - a] = inputs(texts[k][a:b])
-    starts = np.arange(0, padded - TIME + 1, TIME // 2)
-    row, at = np.nonzero(starts[None, :] < np.maximum(sizes, 1)[:, None])
-    scores = tagger.scores(idx[row[:, None], starts[at][:, None] + np.arange(TIME)]) if len(row) else None
-    n_tags = scores.shape[2]
+    starts = np.arange(0, padded - TIME + 1, half)
+    row, at = np.nonzero(starts[None, :] < sizes[:, None])
+    n_tags = 1 + 2 * len(KINDS)
     total, weight = np.zeros((len(some), padded, n_tags), np.float32), np.full((len(some), padded, 1), 1e-9, np.float32)
-    for s in range(len(starts)):  # rows of one start never overlap each other
-        own = at == s
-        total[row[own], starts[s] : starts[s] + TIME] += scores[own] * _WEIGHT[None, :, None]
-        weight[row[own], starts[s] : starts[s] + TIME] += _WEIGHT[None, :, None]
-    tags = tagger.best_paths(total / weight, sizes)
-    for r, (k, a, _) in enumerate(some):
-        line, t = tags[r], 0
-        for t in np.flatnonzero(line % 2 == 1).tolist():
-            end = t + 1
-            while end < len(line) and line[end] == line[t] + 1:
-                end += 1
-            kind, text = KINDS[(line[t] - 1) // 2], texts[k][a + t : a + end]
-            if _fits(kind, text):
-                found[k].append((kind, a + t, a + end))
+    for first in range(0, len(row), 2048):  # a window's inner state is ten times its text
+        r, s = row[first : first + 2048], starts[at[first : first + 2048]]
+        scores = tagger.scores(idx[r[:, None], s[:, None] + np.arange(TIME)])
+        for parity in (0, 1):  # windows of one parity never overlap each other
+            own = s // half % 2 == parity
+            where = r[own][:, None], s[own][:, None] + np.arange(TIME)
+            total[where] += scores[own] * _WEIGHT[None, :, None]
+            weight[where] += _WEIGHT[None, :, None]
+    lines = tagger.best_paths(total / weight, sizes)
+    return [lines[r, :n] for r, n in enumerate(sizes.tolist())]
 
 
 def find_spans(tagger: CharTagger, texts: list[str]) -> list[tuple[list, list]]:
