@@ -30,3 +30,15 @@ def test_query(spark, small, duck, name):
         assert normal(got) == normal(expected)
     else:
         assert len(got)
+
+
+def test_contains_run_finds_short_items(spark, tmp_path):
+    items = ["the", "red fox", "Fox ran away", "a b c d", "one two three four five", "one two three four five six", "...", "", None, "absent"]
+    docs = ["The", "a red fox", "fox", "the fox ran away. a b c d e", "zero one two three four five six", "one two three four five", "", None, "a b c"]
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = normal(catalogue.contains_run(spark, str(tmp_path)).toPandas())
+    assert got == normal(con.execute(catalogue.ORACLE_SQL["contains_run"]).df()) and len(got) == 8

@@ -88,12 +88,14 @@ def token_counts(spark, sf_dir):
 SELECT doc_id, item_id FROM d JOIN b ON len(t) > 0 AND contains(h, {_RUN.format('t')})"""
 )
 def contains_run(spark, sf_dir):
-    """Whole items inside documents: candidate pairs share the item's first five tokens, then the run decides."""
-    five = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 4), lambda p: F.array_join(F.slice(t, p, 5), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t")).where(F.size("t") >= 5)
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize(F.col("text")).alias("n")).where(F.size("n") >= 5)
-    starts = docs.select("doc_id", F.explode(F.array_distinct(five(F.col("t")))).alias("g"))
-    hits = starts.join(items.select("item_id", "n", F.array_join(F.slice("n", 1, 5), " ").alias("g")), "g").select("doc_id", "item_id", "n")
+    """Whole items inside documents: candidate pairs share the item's first five tokens, or all of a shorter item, then the run decides."""
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1), lambda p: F.array_join(F.slice("t", p, F.col("k")), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize(F.col("text")).alias("n")).where(F.size("n") > 0)
+    items = items.withColumn("k", F.least(F.lit(5), F.size("n")))
+    lengths = F.broadcast(items.select("k").distinct())  # five at most
+    starts = docs.join(lengths, F.size("t") >= F.col("k")).select("doc_id", "k", F.explode(F.array_distinct(grams)).alias("g"))
+    hits = starts.join(items.select("item_id", "n", "k", F.array_join(F.slice("n", F.lit(1), F.col("k")), " ").alias("g")), ["k", "g"]).select("doc_id", "item_id", "n")
     return hits.join(docs, "doc_id").where(X.contains_run(F.col("t"), F.col("n"))).select("doc_id", "item_id")
 
 
