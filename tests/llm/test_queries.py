@@ -118,6 +118,15 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     assert got == similar(sets, 85)
 
 
+def test_an_id_with_two_texts_is_judged_by_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a), (1, b), (2, a), (3, b), (4, b + " more"), (5, a + " more"), (0, c), (1, c), (6, None), (6, a)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = sorted(tuple(r)[::2] for r in near_dup.near_duplicates(df, words=3, percent=85).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (6, 6)]
+    assert sorted(map(tuple, near_dup.keep_first(df, words=3, percent=85).collect()), key=str) == [(0, c), (1, a), (1, b), (6, None)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

@@ -37,6 +37,16 @@ FREQUENT = 4
 LEAST_SHARED = 76
 
 
+def _text_hash(text):
+    """Tells rows of one id apart by their texts; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _class_key(id_col: str):
+    """Key of a class: its smallest id, by which keys are ordered, and a hash of its set, since an id may have several texts."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64("digest").alias("set"))
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of lower-cased words."""
     hashes = word_hashes(text.encode("utf-8", "surrogatepass").lower())  # bytes.lower() touches A-Z only
@@ -77,7 +87,7 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(source: DataFrame, words: int) -> DataFrame:
-    """(id, digest, n, bands, sig) of every row; bands and sig are null for an empty set."""
+    """(id, text_hash, digest, n, bands, sig) of every row; bands and sig are null for an empty set."""
 
     def run(batches):
         for batch in batches:
@@ -95,12 +105,12 @@ def _sketch(source: DataFrame, words: int) -> DataFrame:
                     bands.append(_band_keys(sig))
                     sigs.append((mix64(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    ["id", "digest", "n", "bands", "sig"],
+                    [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    ["id", "text_hash", "digest", "n", "bands", "sig"],
                 )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, digest binary, n bigint, bands array<bigint>, sig binary")
+    return source.select("id", "text", _text_hash("text").alias("text_hash")).mapInArrow(run, f"id {kind}, text_hash bigint, digest binary, n bigint, bands array<bigint>, sig binary")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -121,20 +131,20 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the wanted classes (rep, digest), from the texts."""
+    """(rep, shingles) of the wanted classes (rep), from the texts; an id with several texts may bring classes beyond those."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(found, part.column(2).to_pylist())], pa.bool_())
-                sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(same), sets.filter(same)], ["rep", "shingles"])
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "digest", "shingles"])
 
     kind = source.schema["id"].dataType.simpleString()
-    texts = source.join(wanted.withColumnRenamed("rep", "id"), "id").select("id", "text", "digest")
-    return texts.mapInArrow(run, f"rep {kind}, shingles array<bigint>")
+    texts = source.join(wanted.select("rep.id").distinct(), "id").select("id", "text")
+    sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").where("digest is not null")
+    return sets.select(_class_key("id").alias("rep"), "shingles")
 
 
 class _Check:
@@ -165,10 +175,15 @@ def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component) for each row: the smallest id reachable over links of ``percent`` similarity."""
+    return _judged(docs, id_col, text_col, words, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id) for each row."""
     source = id_text(docs, id_col, text_col)
     sketches = stage_table(_sketch(source, words), "sketches")
     named = sketches.where("n > 0 and id is not null")
-    classes = stage_table(named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).dropDuplicates(["rep"]), "classes")
+    classes = stage_table(named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("rep", _class_key("rep")), "classes")
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
     counts = stage_table(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     rows = stage_table(rows.join(counts, "key"), "members")
@@ -176,8 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage_table(rows.join(meets, "rep"), "ranked")
     top = F.max(F.struct("meets", "rep", "n"))
     pivots = stage_table(rows.groupBy("key").agg(top.alias("top")).select("key", F.col("top.rep").alias("pivot"), F.col("top.n").alias("pivot_n")), "pivots")
-    in_buckets = meets.select("rep").join(classes.select("rep", "digest"), "rep")
-    sets = stage_table(_sets(source, in_buckets, words).dropDuplicates(["rep"]), "sets")
+    sets = stage_table(_sets(source, meets.select("rep"), words).dropDuplicates(["rep"]), "sets")
     check = _Check(classes, sets, percent)
     first = rows.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & _size_ok("n", "pivot_n", percent))
     edges = check.links(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
@@ -199,10 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = components(edges.union(more))
     for t in (counts, meets, pivots, placed, homes, member, sets):
         drop_table(t)
-    of_class = stage_table(classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "classed")
-    by_digest = sketches.select("id", "digest", "n").join(of_class, "digest", "left")
+    of_class = stage_table(classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep")["id"].alias("component")), "classed")
+    by_digest = sketches.select("id", "text_hash", "digest", "n").join(of_class, "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return by_digest.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return by_digest.select("id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _large_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,9 +298,9 @@ def _by_rare_shingles(split: DataFrame, share: float, percent: int) -> DataFrame
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps its smallest id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = stage_table(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("veil_gone")).distinct(), "dropped")
-    return docs.join(gone, docs[id_col] == gone.veil_gone, "left_anti")
+    found = _judged(docs, id_col, text_col, words, percent)
+    gone = stage_table(found.where("id <> component_id").select(F.col("id").alias("veil_gone"), F.col("text_hash").alias("veil_text")).distinct(), "dropped")
+    return docs.join(gone, (docs[id_col] == gone.veil_gone) & (_text_hash(docs[text_col]) == gone.veil_text), "left_anti")
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
