@@ -65,6 +65,17 @@ def test_op1(spark, small, awkward, nothing):
     assert token_files.read_tokens(token_files.write_tokens(nothing)).count() == 0
 
 
+def test_added_tokens_are_read_as_the_library_does(spark):
+    tokenizer, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "<|endoftext", "after"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in token_files.read_tokens(token_files.write_tokens(df)).orderBy("doc_id").collect():
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, np.frombuffer(r.ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)
+    assert at == 24
+
+
 def similar(sets, percent):
     ids = sorted(sets)
     parent = {i: i for i in ids}

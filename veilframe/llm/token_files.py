@@ -32,6 +32,8 @@ FILE_BYTES = 256 << 20
 
 _DIRECTORY = "shard bigint, block bigint, file string, offset bigint, length bigint, documents bigint, tokens bigint"
 _encoders: dict[str, tuple[PieceEncoder, int]] = {}
+#: by path: the library's tokenizer and the contents of its added tokens
+_libraries: dict[str, tuple] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -58,10 +60,18 @@ def _encoder(path: str, pattern: str) -> tuple[PieceEncoder, int]:
             spelled = [m.encode("utf-8", "replace").decode("latin-1").translate(letters) for m in matches]
             return [array("I", [t.id for t in model.tokenize(m)]).tobytes() for m in spelled]
 
+        _libraries[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         _encoders[path] = PieceEncoder(pattern, encode_matches), tokenizer.get_vocab_size()
     return _encoders[path]
 
 
+def _with_added_tokens(path: str, texts: list[str], ids: list[bytes]) -> list[bytes]:
+    """``ids`` with those of texts that hold an added token, such as ``<|endoftext|>``, from the library's own encode."""
+    tokenizer, contents = _libraries[path]
+    whole = lambda t: array("I", tokenizer.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids).tobytes()
+    return [whole(t) if any(c in t for c in contents) else i for t, i in zip(texts, ids)]
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -122,8 +132,8 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batches):
         encoder, size = _encoder(path, pattern)
         shard, to = TaskContext.get().partitionId(), Appender(folder, ".tokens", FILE_BYTES)
-        for block, (keys, _, ids) in enumerate(encoder.windows(batches)):
-            data, tokens = pack(keys, ids, end_id, size)
+        for block, (keys, texts, ids) in enumerate(encoder.windows(batches)):
+            data, tokens = pack(keys, _with_added_tokens(path, texts, ids), end_id, size)
             row = (shard, block, *to.add(data), len(keys), tokens)
             kinds = [pa.string() if " string" in c else pa.int64() for c in _DIRECTORY.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in _DIRECTORY.split(", ")])
