@@ -92,6 +92,26 @@ def test_invariance_and_probe(spark):
     assert {r.unprobed for r in none.collect()} == {"person,team,weeks,reason"}
 
 
+def test_probe_counts_errors_of_python_policies(spark):
+    def decide(weeks, reason):
+        if reason == "other":
+            raise KeyError("a: b")
+        return 12 // weeks
+
+    o = cases(spark, (1, "Ann", "x", 3, "flu", ""), (2, "Bob", "x", 0, "flu", ""), (3, "Kim", "x", 4, "flu", ""))
+    tries = spark.createDataFrame([("weeks", "0"), ("weeks", "4"), ("reason", "other"), ("reason", "cold"), ("team", "y")], "field string, v string")
+    own = {"own": lambda f: F.struct(F.lit("x").alias("outcome"), F.when(f("weeks") == 0, "ZeroDivisionError: z").alias("error"))}
+    found = I.sensitivity_probe(o, SCHEMA, {"python": I.python_policy(decide, "weeks", "reason")} | POLICIES | own, tries)
+    got = {(r.case_id, r.policy, r.field): (r.probed_values, r.n_flips, [tuple(x) for x in r.flips]) for r in found.collect()}
+    assert len(got) == 36
+    assert got[1, "python", "weeks"] == (2, 2, [("0", "<error: ZeroDivisionError>"), ("4", "3")])
+    assert got[1, "python", "reason"] == (2, 1, [("other", "<error: KeyError>")]) and got[1, "python", "team"] == (1, 0, [])
+    assert all(got[2, p, f] == (0, 0, []) for p in ("python", "own") for f in SCHEMA.names) and got[2, "leave", "weeks"] == (1, 0, [])
+    assert got[3, "own", "weeks"] == (1, 1, [("0", "<error: ZeroDivisionError>")])
+    report = {(r.case_id, r.policy): (r.flipping, r.unprobed) for r in I.sensitivity_report(found).collect()}
+    assert report[1, "python"] == ("weeks,reason", "person") and report[2, "python"] == ("", "person,team,weeks,reason")
+
+
 def leaks_by_hand(o, a):
     """Row-wise version of the audit for one pair, with default settings."""
     tok = lambda t: re.findall(r"[^\W_]+", X.fold_text(t))

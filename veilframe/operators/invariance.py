@@ -39,7 +39,18 @@ def python_policy(function: Callable[..., object], *fields: str) -> Policy:
             return None, f"{type(e).__name__}: {e}"
 
     udf = F.udf(run, _RESULT)
-    return lambda field: udf(*[field(f) for f in fields])
+    run_each = F.udf(lambda rows: [run(*row[:-1]) for row in rows], f"array<{_RESULT}>")
+
+    def policy(field: Field) -> Column:
+        return udf(*[field(f) for f in fields])
+
+    def each(values: Column, field_of: Callable[[Column], Field]) -> Column:
+        """Results for each element of an array; Spark takes no Python function inside ``transform``."""
+        row = lambda v: F.struct(*[field_of(v)(f).alias(f"f{k}") for k, f in enumerate(fields)], F.lit(True).alias("end"))
+        return run_each(F.transform(values, row))
+
+    policy.each = each
+    return policy
 
 
 def _result(policy: Policy, field: Field, kinds: Callable[[Column], str]) -> Column:
@@ -82,7 +93,8 @@ def sensitivity_probe(cases: DataFrame, schema: CaseSchema, policies: Mapping[st
 
     Values to try come from ``candidates`` (field, v) first and then from the same case in ``others``; those equal to
     the present one and repeats do not count.  One field changes at a time.  A policy error on a changed
-    case is a flip to ``<error: Type>``; one on the case itself leaves it without probes.
+    case is a flip to ``<error: Type>``; one on the case itself leaves it without probes (no values, no flips).
+    Errors are those of a ``python_policy`` or in the ``error`` of a policy that gives such a struct.
     """
     policies = checked(policies)
     same = equivalence or (lambda x, y: x.eqNullSafe(y))
@@ -101,17 +113,27 @@ def sensitivity_probe(cases: DataFrame, schema: CaseSchema, policies: Mapping[st
         base = base.join(others.select("case_id", F.struct(*schema.names).alias("other")), "case_id", "left")
         for n in schema.names:
             pools[n].append(F.when(F.col("other").isNotNull(), F.array(F.col(f"other.{n}"))).otherwise(F.array().cast(f"array<{kinds[n].simpleString()}>")))
+    of_base = lambda c: base.select(c.alias("x")).schema["x"].dataType.simpleString()
     probes = []
     for k, (n, role) in enumerate(schema.roles):
         pool = F.array_distinct(F.concat(*pools[n])) if pools[n] else F.array().cast(f"array<{kinds[n].simpleString()}>")
         pool = F.filter(pool, lambda v: ~v.eqNullSafe(F.col(n)))
         for name, policy in policies.items():
-            now = policy(lambda f: F.col(f)).cast("string")
-            flips = F.filter(
-                F.transform(pool, lambda v: F.struct(v.cast("string").alias("v"), policy(lambda f: v if f == n else F.col(f)).cast("string").alias("outcome"))),
-                lambda x: ~F.coalesce(same(now, x["outcome"]), F.lit(False)),
-            )
-            probes.append(F.struct(F.lit(name).alias("policy"), F.lit(k).alias("pos"), F.lit(n).alias("field"), F.lit(role).alias("role"), F.size(pool).cast("bigint").alias("probed_values"), F.size(flips).cast("bigint").alias("n_flips"), flips.alias("flips")))
+            now = _result(policy, F.col, of_base)
+            tried = F.when(now["error"].isNull(), pool).otherwise(F.array().cast(f"array<{kinds[n].simpleString()}>"))
+            changed = lambda v, n=n: lambda f: v if f == n else F.col(f)
+            if hasattr(policy, "each"):
+                results = policy.each(tried, changed)
+            else:
+                results = F.transform(tried, lambda v: _result(policy, changed(v), lambda _: of_base(policy(F.col))))
+            # the present outcome travels with each value: a Python result cannot be named inside ``filter``
+            present = F.array_repeat(now["outcome"], F.size(tried))
+            met = F.arrays_zip(F.transform(tried, lambda v: v.cast("string")).alias("v"), results.alias("result"), present.alias("now"))
+            is_flip = lambda x: x["result"]["error"].isNotNull() | ~F.coalesce(same(x["now"], x["result"]["outcome"]), F.lit(False))
+            failed = lambda e: F.concat(F.lit("<error: "), F.substring_index(e, ":", 1), F.lit(">"))
+            outcome = lambda r: F.when(r["error"].isNotNull(), failed(r["error"])).otherwise(r["outcome"])
+            flips = F.transform(F.filter(met, is_flip), lambda x: F.struct(x["v"].alias("v"), outcome(x["result"]).alias("outcome")))
+            probes.append(F.struct(F.lit(name).alias("policy"), F.lit(k).alias("pos"), F.lit(n).alias("field"), F.lit(role).alias("role"), F.size(tried).cast("bigint").alias("probed_values"), F.size(flips).cast("bigint").alias("n_flips"), flips.alias("flips")))
     return base.select("case_id", F.inline(F.array(*probes)))
 
 
