@@ -138,6 +138,13 @@ def test_an_id_with_two_texts_is_judged_by_each(spark):
     assert sorted(map(tuple, near_dup.keep_first(df, words=3, percent=85).collect()), key=str) == [(0, c), (1, a), (1, b), (6, None)]
 
 
+def test_percents_that_signatures_do_not_support_are_refused(nothing):
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(nothing, percent=60)
+    with pytest.raises(ValueError):
+        near_dup.keep_first(nothing, percent=79)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

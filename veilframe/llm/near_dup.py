@@ -35,6 +35,8 @@ SMALL_BUCKET = 32
 FREQUENT = 4
 #: signature values of 128 that a pair shares at least; at similarity 0.85 fewer come with a probability under 1e-10
 LEAST_SHARED = 76
+#: percent from which bands and LEAST_SHARED lose next to no link; smaller ones are refused
+LEAST_PERCENT = 80
 
 
 def _text_hash(text):
@@ -180,6 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, text_hash, n_shingles, component_id) for each row."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"signatures find links from {LEAST_PERCENT} percent on, not {percent}")
     source = id_text(docs, id_col, text_col)
     sketches = stage_table(_sketch(source, words), "sketches")
     named = sketches.where("n > 0 and id is not null")
