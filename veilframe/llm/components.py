@@ -32,5 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped
         if after == before:  # a round changed no label
             drop_table(both)
-            return labels.select("node", F.col("to").alias("component"))
+            out = labels.select("node", F.col("to").alias("component"))
+            out._veil_path = labels._veil_path
+            return out
         before = after

@@ -5,9 +5,10 @@ shingles are kept: 128 signature values for 64 evaluations.  Four values make a
 similarity 0.85 shares none of the 32 bands with a probability of 6e-11.
 
 Buckets are not expanded into pairs.  Texts with equal sets are one class.  Each bucket has a pivot, its member
-that meets most others, and members are first compared to that alone.  What a pivot does not reach is then
-compared with the bucket's members of other components: at once in small buckets, in large ones only where a bound
-on the intersection leaves a link possible (``_large_pairs``).  Every link is confirmed on full sets.
+that meets most others, and members are first compared to that alone.  Where a bucket still holds several
+components, its members join the crowd of the pivot's component.  The shingles that most of a crowd has are its core; its
+members are split into what they have of the core and the rest, and prefixes of the rest, rarest shingles first, bring
+together all pairs that can still be links (``_crowd_pairs``).  Every link is confirmed on full sets (of 64-bit shingle hashes).
 
 Defined results: a document without words (null, empty, blank) has an empty set and is linked with
 nothing; a null id is linked with nothing, its component is null and it is kept; rows that repeat an id are judged
@@ -29,10 +30,6 @@ PERMUTATIONS, BAND = 64, 4
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-#: bucket members up to which all members of other components are compared at once
-SMALL_BUCKET = 32
-#: members above which a group of shingles is frequent
-FREQUENT = 4
 #: signature values of 128 that a pair shares at least; at similarity 0.85 fewer come with a probability under 1e-10
 LEAST_SHARED = 76
 #: percent from which bands and LEAST_SHARED lose next to no link; smaller ones are refused
@@ -144,7 +141,8 @@ def _sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "digest", "shingles"])
 
     kind = source.schema["id"].dataType.simpleString()
-    texts = source.join(wanted.select("rep.id").distinct(), "id").select("id", "text")
+    ids = wanted.select("rep.id").distinct().hint("merge")  # they grow with the corpus
+    texts = source.join(ids, "id").select("id", "text")
     sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").where("digest is not null")
     return sets.select(_class_key("id").alias("rep"), "shingles")
 
@@ -181,130 +179,112 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, text_hash, n_shingles, component_id) for each row."""
+    """(id, text_hash, n_shingles, group, component_id) for each row; ``group`` tells components with one smallest id apart."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"signatures find links from {LEAST_PERCENT} percent on, not {percent}")
     source = id_text(docs, id_col, text_col)
     sketches = stage_table(_sketch(source, words), "sketches")
     named = sketches.where("n > 0 and id is not null")
     classes = stage_table(named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("rep", _class_key("rep")), "classes")
-    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    counts = stage_table(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    rows = stage_table(rows.join(counts, "key"), "members")
-    meets = stage_table(rows.groupBy("rep").agg(F.sum("members").alias("meets")), "meets")
-    rows = stage_table(rows.join(meets, "rep"), "ranked")
+    keys = stage_table(sketches.select("id", "text_hash", "digest", "n"), "keys")
+    drop_table(sketches)
+
+    # most keys have one class: they go before anything but two hashes is moved
+    banded = classes.select(F.col("rep.set").alias("set"), F.explode("bands").alias("key"))
+    counts = stage_table(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    members = banded.join(counts, "key").join(classes.select(F.col("rep.set").alias("set"), "rep", "n"), "set")
+    members = stage_table(members.select("key", "rep", "n", "members"), "members")
+    meets = stage_table(members.groupBy("rep").agg(F.sum("members").alias("meets")), "meets")
+    ranked = stage_table(members.join(meets, "rep"), "ranked")
     top = F.max(F.struct("meets", "rep", "n"))
-    pivots = stage_table(rows.groupBy("key").agg(top.alias("top")).select("key", F.col("top.rep").alias("pivot"), F.col("top.n").alias("pivot_n")), "pivots")
+    pivots = stage_table(ranked.groupBy("key").agg(top.alias("top")).select("key", F.col("top.rep").alias("pivot"), F.col("top.n").alias("pivot_n")), "pivots")
     sets = stage_table(_sets(source, meets.select("rep"), words).dropDuplicates(["rep"]), "sets")
     check = _Check(classes, sets, percent)
-    first = rows.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & _size_ok("n", "pivot_n", percent))
+    first = ranked.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & _size_ok("n", "pivot_n", percent))
     edges = check.links(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     comp = components(edges)
 
-    # what is outside its bucket's pivot's component still has to meet the other components there
-    placed = stage_table(_with_component(rows, comp), "placed")
-    homes = pivots.join(placed.select("rep", "comp").distinct(), F.col("pivot") == F.col("rep")).select("key", "pivot", F.col("comp").alias("home"))
-    homes = stage_table(homes, "homes")
-    member = stage_table(placed.join(homes, "key"), "member")
-    o = member.where("comp <> home").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "members")
-    m = member.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("home").alias("home_b"))
-    small = o.where(F.col("members") <= SMALL_BUCKET).join(m, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home_b")) | (F.col("a") < F.col("b"))) & _size_ok("na", "nb", percent))
-    pairs = small.select("a", "b").distinct()
-    if member.where(f"members > {SMALL_BUCKET} and comp <> home").limit(1).count():
-        pairs = pairs.union(_large_pairs(member, sets, percent)).distinct()
+    # a bucket of two is settled; a larger one is open while it holds more than its pivot's component
+    placed = stage_table(_with_component(ranked.where("members > 2"), comp), "placed")
+    homes = pivots.join(placed.select("rep", "comp").distinct(), F.col("pivot") == F.col("rep")).select("key", F.col("comp").alias("home"))
+    placed_home = stage_table(placed.join(homes, "key"), "homes")
+    open_ = placed_home.where("comp <> home").select("key").distinct()
+    crowd = placed_home.join(open_, "key", "left_semi").groupBy("home", "rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    crowd = stage_table(crowd, "crowd")
+    pairs = _crowd_pairs(crowd, sets, percent)
     more = check.links(pairs)
+    links = edges
     if more.limit(1).count():
-        comp = components(edges.union(more))
-    for t in (counts, meets, pivots, placed, homes, member, sets):
+        drop_table(comp)
+        links = edges.union(more)
+        comp = components(links)
+    found = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("group"))
+    found = stage_table(found, "classed")
+    for t in (classes, counts, members, meets, ranked, pivots, sets, edges, more, comp, placed, placed_home, crowd, pairs):
         drop_table(t)
-    of_class = stage_table(classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep")["id"].alias("component")), "classed")
-    by_digest = sketches.select("id", "text_hash", "digest", "n").join(of_class, "digest", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return by_digest.select("id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    by_digest = keys.join(found, "digest", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("group.id", "id"))
+    return by_digest.select("id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("group")).alias("group"), own.alias("component_id"))
 
 
-def _large_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of buckets above ``SMALL_BUCKET`` that may still be links; a is outside the pivot's component.
+def _crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a crowd, of different components, that may still be links.
 
-    With i(x) shingles in common with the pivot and off(x) the others, a and b share at most min(i(a), i(b)) plus
-    what off(a) and off(b) share, and a link needs a fixed share of both sizes.  So either b is small enough
-    for i(a) alone, found by size bins (width 2 %), or the two meet in one of the rarest shingles of off(a):
-    as many may be left out as a link needs in common, less one.
+    With i(x) shingles of the core (those that more than half of the crowd has) and off(x) the others, a and b share at
+    most min(i(a), i(b)) plus what off(a) and off(b) share, and a link needs a fixed share of both sizes.  So either
+    b is small enough for i(a) alone, found by size bins (width 2 %), or the two meet in the prefixes of off(a) and
+    off(b): the rarest shingles first, without as many at the end as any link of that member needs in common, less one.
     """
     share = percent / (100 + percent)  # of both sizes together, that the intersection has at least
-    big = member.where(F.col("members") > SMALL_BUCKET).select("pivot", "rep", "n", "comp", "home").distinct()
-    open_ = big.where("comp <> home").select("pivot").distinct()
-    big = big.join(open_, "pivot", "left_semi")
-    own = sets.select("rep", F.col("shingles").alias("mine"))
-    pivot = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("theirs"))
-    split = big.join(own, "rep").join(pivot, "pivot").select("pivot", "rep", "n", "comp", (F.col("comp") != F.col("home")).alias("outside"), F.size(F.array_intersect("mine", "theirs")).alias("i"), F.array_except("mine", "theirs").alias("off"))
+    mine = stage_table(crowd.join(sets.select("rep", F.col("shingles").alias("mine")), "rep"), "mine")
+    sizes = crowd.groupBy("home").agg(F.count("*").alias("crowd"))
+    often = mine.select("home", F.explode("mine").alias("s")).groupBy("home", "s").agg(F.count("*").alias("df")).where("df > 1")
+    cores = often.join(sizes, "home").where("2 * df > crowd").groupBy("home").agg(F.collect_list("s").alias("core"))  # at most twice the mean set
+    cores = stage_table(cores, "cores")
+    core = F.coalesce("core", F.array().cast("array<bigint>"))
+    split = mine.join(cores, "home", "left").select("home", "rep", "n", "comp", (F.col("comp") != F.col("home")).alias("outside"), F.size(F.array_intersect("mine", core)).alias("i"), F.array_except("mine", core).alias("off"))
     split = stage_table(split, "split")
+    about = split.drop("off")
+
     bin_of = lambda c: F.floor(F.log(c) / F.log(F.lit(1.02)))
-    seekers = split.where("outside").withColumns({"lo": F.greatest(F.col("n") * percent / 100.0 - 1e-6, F.lit(1.0)), "hi": F.col("i") / share - F.col("n") + 1e-6}).where("hi >= lo")
-    seekers = seekers.select("pivot", F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
-    targets = split.select("pivot", bin_of(F.col("n")).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+    seekers = about.where("outside").withColumns({"lo": F.greatest(F.col("n") * percent / 100.0 - 1e-6, F.lit(1.0)), "hi": F.col("i") / share - F.col("n") + 1e-6}).where("hi >= lo")
+    seekers = seekers.select("home", F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    targets = about.select("home", bin_of(F.col("n")).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
     enough = F.least("ia", "ib") >= share * (F.col("na") + F.col("nb")) - 1e-6
-    by_size = seekers.join(targets, ["pivot", "bin"]).where((F.col("ca") != F.col("cb")) & enough & _size_ok("na", "nb", percent)).select("a", "b")
-
-    by_rare = _by_rare_shingles(split, share, percent)
-    out = stage_table(by_size.union(by_rare).distinct(), "large")
-    drop_table(split)
-    return out
-
-
-def _by_rare_shingles(split: DataFrame, share: float, percent: int) -> DataFrame:
-    """Pairs (a, b) that share enough off-pivot shingles.
-
-    Off-pivot shingles with the same members are one group with a weight.  For partners of each size (bins of 2 %), of a's groups, rarest first, a tail that weighs
-    less than a link needs is left out.  A partner shares one of the other groups; where it shares only frequent
-    ones (above ``FREQUENT`` members), that is one heavy enough alone, or two of them at once.
-    """
-    off = stage_table(split.select("pivot", "rep", F.explode("off").alias("s")), "off")
-    of_s = off.groupBy("pivot", "s").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("df > 1")
-    of_s = stage_table(of_s.select("pivot", "s", "df", F.xxhash64("pivot", "df", "who").alias("g")), "groups")
-    weighed = off.join(of_s, ["pivot", "s"]).groupBy("pivot", "rep", "g").agg(F.first("df").alias("df"), F.count("*").alias("w"))
-    profile = weighed.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "g", "w"))).alias("gs"))
-    about = split.select("pivot", "rep", "n", "comp", "outside", "i", F.floor(F.log("n") / F.log(F.lit(1.02))).alias("bin"))
-    profile = stage_table(profile.join(about, ["pivot", "rep"]), "profiles")
-    bins = profile.groupBy("pivot", "bin").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    bins = bins.groupBy("pivot").agg(F.collect_list(F.struct("bin", "least", "most")).alias("bins"))  # a few dozen at most
-    bins = stage_table(bins, "bins")
-
-    total = lambda gs: F.aggregate(gs, F.lit(0).cast("bigint"), lambda x, g: x + g["w"])
-    need = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("least")) - F.col("i") - 1e-6))
-    asks = profile.where("outside").join(bins, "pivot").select("pivot", "rep", "n", "comp", "i", "gs", F.inline("bins"))
-    asks = asks.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
-    asks = asks.withColumn("need", need).where(total(F.col("gs")) >= F.col("need"))
-    asks = asks.withColumn("front", F.filter("gs", lambda g, j: total(F.slice("gs", j + 1, F.size("gs"))) >= F.col("need")))
-    frequent = lambda g: g["df"] > FREQUENT
-    single = F.transform(F.filter("front", lambda g: ~frequent(g) | (g["w"] >= F.col("need"))), lambda g: g["g"])
-    double = F.when(F.exists("front", lambda g: frequent(g) & (g["w"] < F.col("need"))), F.transform(F.filter("gs", frequent), lambda g: g["g"]))
-    asks = asks.select("pivot", "bin", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("i").alias("ia"), total(F.col("gs")).alias("wa"), single.alias("single"), F.coalesce(double, F.array().cast("array<bigint>")).alias("double"))
-    asks = stage_table(asks, "asks")
-    b_side = profile.select("pivot", "bin", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("i").alias("ib"), total(F.col("gs")).alias("wb"), F.explode("gs").alias("x")).select("pivot", "bin", "b", "nb", "cb", "ib", "wb", F.col("x.g").alias("g"))
-    b_side = stage_table(b_side, "held")
+    by_size = seekers.join(targets, ["home", "bin"]).where((F.col("ca") != F.col("cb")) & enough & _size_ok("na", "nb", percent)).select("a", "b")
+
+    off = stage_table(split.select("home", "rep", F.explode("off").alias("s")), "off")
+    common = off.groupBy("home", "s").agg(F.count("*").alias("df")).where("df > 1")
+    held = off.join(common, ["home", "s"]).groupBy("home", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("gs"))
+    partner = F.greatest(F.col("n") * percent / 100.0, F.col("i"))  # the size of partner that needs least
+    need = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + partner) - F.col("i") - 1e-6).cast("int"))
+    held = held.join(about, ["home", "rep"]).withColumns({"w": F.size("gs"), "need": need}).where("w >= need")
+    held = stage_table(held.withColumn("front", F.transform(F.expr("slice(gs, 1, w - need + 1)"), lambda g: g["s"])).drop("gs", "need"), "held")
+    side = lambda rows, x: rows.select("home", F.explode("front").alias("s"), *[F.col(c).alias(c[0] + x) for c in ("n", "comp", "i", "w")], F.col("rep").alias(x), F.col("outside").alias("o" + x))
     reach = F.least("wa", "wb") >= share * (F.col("na") + F.col("nb")) - F.least("ia", "ib") - 1e-6
-    fits = (F.col("ca") != F.col("cb")) & reach & _size_ok("na", "nb", percent)
-    one = asks.select("pivot", "bin", "a", "na", "ca", "ia", "wa", F.explode("single").alias("g")).join(b_side, ["pivot", "bin", "g"]).where(fits).select("a", "b")
-
-    def pairs_of(gs: str):
-        ordered = F.array_sort(gs)
-        return F.explode(F.flatten(F.transform(ordered, lambda x, j: F.transform(F.slice(ordered, j + 2, F.size(ordered)), lambda y: F.xxhash64(x, y)))))
-
-    wanted = asks.select("pivot", F.explode("double").alias("g")).distinct()
-    held = b_side.join(wanted, ["pivot", "g"], "left_semi").groupBy("pivot", "bin", "b").agg(*[F.first(c).alias(c) for c in ("nb", "cb", "ib", "wb")], F.collect_list("g").alias("gs"))
-    two = asks.select("pivot", "bin", "a", "na", "ca", "ia", "wa", pairs_of("double").alias("gg")).join(held.select("pivot", "bin", "b", "nb", "cb", "ib", "wb", pairs_of("gs").alias("gg")), ["pivot", "bin", "gg"]).where(fits).select("a", "b")
-    out = stage_table(one.union(two).distinct(), "rare")
-    for t in (off, of_s, profile, bins, asks, b_side):
+    once = ~F.col("ob") | (F.col("a") < F.col("b"))
+    by_rare = side(held.where("outside"), "a").join(side(held, "b"), ["home", "s"]).where((F.col("ca") != F.col("cb")) & once & reach & _size_ok("na", "nb", percent)).select("a", "b")
+    out = stage_table(by_size.union(by_rare).distinct(), "crowded")
+    for t in (mine, cores, split, off, held):
         drop_table(t)
     return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps its smallest id; rows with a null id stay."""
-    found = _judged(docs, id_col, text_col, words, percent)
-    gone = stage_table(found.where("id <> component_id").select(F.col("id").alias("veil_gone"), F.col("text_hash").alias("veil_text")).distinct(), "dropped")
-    return docs.join(gone, (docs[id_col] == gone.veil_gone) & (_text_hash(docs[text_col]) == gone.veil_text), "left_anti")
+    """The rows of ``docs`` that stay when each class keeps one row, of its smallest id; rows with a null id or no words stay."""
+    found = _judged(docs, id_col, text_col, words, percent).where("group is not null").select("group", F.struct("id", "text_hash").alias("row"))
+    found = stage_table(found.groupBy("group", "row").agg(F.count("*").alias("times")), "judged")
+    firsts = found.groupBy("group").agg(F.min("row").alias("first"))
+    gone = found.join(firsts, "group").where((F.col("row") != F.col("first")) | (F.col("times") > 1))
+    gone = stage_table(gone.select(F.col("row.id").alias("veil_gone"), F.col("row.text_hash").alias("veil_text"), (F.col("row") == F.col("first")).alias("veil_again")), "dropped")
+    drop_table(found)
+    same = (docs[id_col] == gone.veil_gone) & (_text_hash(docs[text_col]) == gone.veil_text)
+    kept = docs.join(gone, same, "left_anti")
+    again = gone.where("veil_again")
+    if again.limit(1).count():  # rows that repeat both id and text: one of each stays
+        repeated = docs.join(again, same, "left_semi")
+        kept = kept.union(repeated.dropDuplicates([id_col, text_col]))
+    return kept
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
