@@ -60,6 +60,16 @@ def fold(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).when(latin, native).otherwise(F.pandas_udf(_fold_all, "string")(F.when(~latin, text)))
 
 
+def _casefold_all(texts: pd.Series) -> pd.Series:
+    return texts.map(str.casefold, na_action="ignore")
+
+
+def casefold(text: Column) -> Column:
+    """Case-folded text, accents kept (ß is ss); only rows beyond ASCII visit Python."""
+    ascii_only = text.rlike("^[\\x00-\\x7F]*$")
+    return F.when(ascii_only, F.lower(text)).otherwise(F.pandas_udf(_casefold_all, "string")(F.when(~ascii_only, text)))
+
+
 def tokens_of_folded(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(_TOKEN), F.lit(0))
 
@@ -120,21 +130,33 @@ def substitution_counts(text: Column, table: Mapping[str, str]) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(hits, lambda h: h == k))))
 
 
+def swap_words(text: str, lowered: Mapping[str, str]) -> tuple[str, dict[str, int]]:
+    """(new text, hits of each key) for lower-cased keys: a scan over word starts that tries the longest key first."""
+    sizes = sorted({len(k) for k in lowered}, reverse=True)
+    word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    out, hits, at, kept = [], {}, 0, 0
+    while at < len(text):
+        if not word(at - 1):
+            for size in sizes:
+                key = text[at : at + size].lower()
+                if key in lowered and not word(at + size):
+                    out += (text[kept:at], lowered[key])
+                    hits[key] = hits.get(key, 0) + 1
+                    at = kept = at + size
+                    break
+            else:
+                at += 1
+        else:
+            at += 1
+    return "".join(out) + text[kept:], hits
+
+
 def substitute_by_row(text: Column, table: Column) -> Column:
-    """``substitute`` where each row brings its own map<string,string>."""
-
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, tables: pd.Series) -> pd.Series:
-        import re
-
-        out = []
-        for t, m in zip(texts, tables):
-            lowered = substitution_table(dict(m)) if m is not None else {}
-            if t is None or not lowered:
-                out.append(t)
-                continue
-            keys = "|".join(re.escape(k) for k in sorted(lowered, key=lambda k: (-len(k), k)))
-            out.append(re.sub(rf"(?<!\w)({keys})(?!\w)", lambda h: lowered.get(h[0].lower(), h[0]), t, flags=re.I))
-        return pd.Series(out, dtype=object)
+    """struct<text, hits map<key, times>>: ``substitute`` where each row brings its own map<string,string>."""
+
+    @F.pandas_udf("text string, hits map<string,int>")
+    def rewrite(texts: pd.Series, tables: pd.Series) -> pd.DataFrame:
+        rows = [(None, {}) if t is None else swap_words(t, substitution_table(dict(m)) if m is not None else {}) for t, m in zip(texts, tables)]
+        return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "hits": pd.Series([r[1] for r in rows], dtype=object)})
 
     return rewrite(text, table)

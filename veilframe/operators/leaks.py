@@ -1,16 +1,19 @@
 """Direct leaks: original text that reappears in an analogue.
 
 The pair join is the only shuffle of the audit.  Both sides travel as one row for each case with its
-tokens, and all findings of a case come from expressions over those arrays.
+tokens, and all findings of a case come from expressions over those arrays; shared phrases of long
+texts are found by a suffix automaton of the other side, in linear time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phrases
 from ..functions.text import STOPWORDS, fold_text, tokenize
 from .cases import DECISION, IDENTIFYING, NARRATIVE, CaseSchema, text_sources
 
@@ -30,41 +33,24 @@ def _run(o: Column, p: Column, n: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.slice(o, p, n), " "), F.lit(" "))
 
 
-def longest_matches(o: Column, haystack: Column) -> Column:
-    """For each position of ``o``, tokens of the longest run from there that the haystack holds.
+def shared_phrases(o: Column, others: Column, counts: Column, least: int) -> Column:
+    """array<struct<at, len>> (from 1): phrases of tokens ``o`` that one of the token lists ``others`` holds, from the left.
 
-    A match that starts one later is at least as long as the rest of this one, so each
-    position goes on from the length before, less one: linear in probes, and prefixes of a held run are held.
+    ``counts`` flags the tokens that count.  A suffix automaton of the other side makes it linear in both texts.
     """
-    n = F.size(o)
-    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("all"))
 
-    def step(state, p):
-        most = n - p + 1
-        low = F.greatest(state["now"] - 1, F.lit(0))
-        extra = F.aggregate(
-            F.sequence(low + 1, F.greatest(most, low + 1)),
-            F.struct(low.alias("len"), F.lit(True).alias("go")),
-            lambda s, k: F.when(s["go"] & (k <= most) & F.contains(haystack, _run(o, p, k)), F.struct(k.alias("len"), F.lit(True).alias("go"))).otherwise(F.struct(s["len"].alias("len"), F.lit(False).alias("go"))),
-        )
-        return F.struct(extra["len"].alias("now"), F.concat(state["all"], F.array(extra["len"])).alias("all"))
+    @F.pandas_udf("array<struct<at:int,len:int>>")
+    def find(mine: pd.Series, theirs: pd.Series, flags: pd.Series) -> pd.Series:
+        out = []
+        for text, texts, counted in zip(mine, theirs, flags):
+            if text is None or not len(text):
+                out.append([])
+                continue
+            known = dict(zip(text, counted))
+            out.append([{"at": at + 1, "len": size} for at, size in phrases.shared_phrases(list(text), [list(t) for t in texts], known.__getitem__, least)])
+        return pd.Series(out, dtype=object)
 
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)["all"])
-
-
-def shared_phrases(o: Column, lengths: Column, content: Column, least: int) -> Column:
-    """Greedy phrases from the left: array of (at, len). ``content`` flags the tokens that count."""
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,len:int>>").alias("found"))
-
-    def step(s, p):
-        size = F.get(lengths, p - 1)
-        counted = F.size(F.filter(F.slice(content, p, F.greatest(size, F.lit(1))), lambda c: c))
-        taken = F.struct((p + size).alias("next"), F.concat(s["found"], F.array(F.struct(p.alias("at"), size.alias("len")))).alias("found"))
-        skipped = F.struct((p + 1).alias("next"), s["found"].alias("found"))
-        return F.when(p < s["next"], s).when((size >= 2) & (counted >= least), taken).otherwise(skipped)
-
-    n = F.size(o)
-    return F.when(n == 0, F.array().cast("array<struct<at:int,len:int>>")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)["found"])
+    return find(o, others, counts)
 
 
 def find_leaks(
@@ -91,10 +77,10 @@ def find_leaks(
     o = text_sources(originals, schema).withColumn("o", tokenize(F.col("text"))).where(F.size("o") > 0)
     a = text_sources(analogues, analogue_schema or schema).withColumn("t", tokenize(F.col("text"))).where(F.size("t") > 0)
     # several sources in one string, told apart by a bar, which is no token
-    theirs = a.groupBy("case_id").agg(F.concat(F.lit(" "), F.array_join(F.collect_list(F.array_join("t", " ")), " | "), F.lit(" ")).alias("hay"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("a_tokens"))
+    theirs = a.groupBy("case_id").agg(F.concat(F.lit(" "), F.array_join(F.collect_list(F.array_join("t", " ")), " | "), F.lit(" ")).alias("hay"), F.collect_list("t").alias("others"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("a_tokens"))
     decided = F.collect_list(F.when((F.col("role") == DECISION) & F.lit(allow_decision_relevant), F.col("o")))
     mine = o.groupBy("case_id").agg(F.collect_list(F.struct("pos", "source", "role", "o")).alias("sources"), F.array_union(F.array_distinct(F.flatten(decided)), _words(given)).alias("ok_tokens"))
-    both = mine.join(theirs, "case_id").select("case_id", "hay", "a_tokens", "ok_tokens", F.inline("sources"))
+    both = mine.join(theirs, "case_id").select("case_id", "hay", "others", "a_tokens", "ok_tokens", F.inline("sources"))
 
     ok, stop_c, ign_c = F.col("ok_tokens"), _words(stop), _words(ignorable)
     usable = lambda t, ignore: (F.length(t) >= min_token_length) & ~_is_in(ignore, t)
@@ -111,7 +97,9 @@ def find_leaks(
     present = lambda ignore: F.filter(F.array_distinct(o_col), lambda t: usable(t, ignore) & _is_in(F.col("a_tokens"), t))
     of_id = F.transform(present(stop_c), lambda t, k: finding("identifying_token", t, HIGH, _is_in(ok, t), k))
     plain = ~identifying & ~F.col("whole")
-    rows = rows.withColumn("found", F.when(plain, _let(longest_matches(o_col, F.col("hay")), lambda ln: shared_phrases(o_col, ln, F.transform(o_col, lambda t: usable(t, ign_c)), max(1, min_phrase_tokens)))))
+    # one source's tokens are read once: an empty list for those that need no phrases
+    searched = F.when(plain, o_col).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("found", shared_phrases(searched, F.col("others"), F.transform(searched, lambda t: usable(t, ign_c)), max(1, min_phrase_tokens)))
     of_phrase = F.transform("found", lambda f, k: finding("phrase", F.array_join(F.slice(o_col, f["at"], f["len"]), " "), MEDIUM, fine(F.slice(o_col, f["at"], f["len"]), ign_c, True), k))
     covered = F.flatten(F.transform("found", lambda f: F.slice(o_col, f["at"], f["len"])))
     of_token = F.transform(F.array_except(present(ign_c), covered), lambda t, k: finding("token", t, LOW, _is_in(ok, t), F.size("found") + k))
@@ -121,10 +109,6 @@ def find_leaks(
     return every.groupBy("case_id", "pos", "source", "kind", "text").agg(first).select("case_id", "pos", "source", "kind", "text", "x.severity", "x.allowed")
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def leak_report(cases: DataFrame, findings: DataFrame, fail_at: int = MEDIUM) -> DataFrame:
     """(case_id, n_findings, n_blocking, direct_passed) for each case, also those without findings."""
     blocking = (~F.col("allowed")) & (F.col("severity") >= fail_at)
