@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import substitute, substitution_counts
+from ..functions.text import SubstitutionConflict, casefold, substitute, substitution_counts
 from .cases import IDENTIFYING, CaseSchema
 
 
@@ -26,7 +26,7 @@ def mapping_conflicts(pairs: DataFrame) -> DataFrame:
 
 
 class RuleBasedTransformer(Transformer):
-    """Swaps ``{field: {value: analogue value}}``; string keys ignore case.
+    """Swaps ``{field: {value: analogue value}}``; string keys ignore case, two values for one key are refused.
 
     An identifying field without a swap is an error of that case unless ``require_identifying`` is off.  The
     narrative is rewritten by all string swaps together with ``narrative_swaps``, which win.
@@ -46,9 +46,13 @@ class RuleBasedTransformer(Transformer):
             hit, new = F.lit(False), F.col(name)
             if table:
                 text = isinstance(kind, T.StringType)
-                rows = [(k.casefold() if text else k, v) for k, v in table.items()]
-                side = spark.createDataFrame(rows, T.StructType([T.StructField("veil_k", kind), T.StructField("veil_v", kind)])).dropDuplicates(["veil_k"])
-                key = F.lower(name) if text else F.col(name)
+                folded: dict = {}
+                for k, v in table.items():
+                    if folded.setdefault(k.casefold() if text else k, v) != v:
+                        raise SubstitutionConflict(f"{name}: two values for {k!r}")
+                rows = list(folded.items())
+                side = spark.createDataFrame(rows, T.StructType([T.StructField("veil_k", kind), T.StructField("veil_v", kind)]))
+                key = casefold(F.col(name)) if text else F.col(name)
                 side = side.withColumn("veil_hit", F.lit(True))
                 side = side if len(rows) > 100_000 else F.broadcast(side)  # counted
                 out = out.join(side, key == F.col("veil_k"), "left")
@@ -61,11 +65,13 @@ class RuleBasedTransformer(Transformer):
         texts = [n for n in schema.names if isinstance(cases.schema[n].dataType, T.StringType)]
         fields = F.array(*[F.struct(F.col(f"veil_new_{n}").alias("a"), F.col(n).alias("o")) for n in texts]).cast("array<struct<a:string,o:string>>")
         changed = F.filter(fields, lambda x: (x["a"] != "") & (x["o"] != "") & (x["a"] != x["o"]))
-        fired = substitution_counts(F.col("narrative"), self.text_table)
+        # each step is a column of its own: inside lambdas an expression would be computed for every element
+        out = out.withColumn("veil_fired", substitution_counts(F.col("narrative"), self.text_table))
         lowered = {k.lower(): (k, v) for k, v in self.text_table.items()}
-        known = F.array(*[F.struct(F.lit(v).alias("a"), F.lit(k).alias("o"), F.lit(low).alias("k")) for low, (k, v) in lowered.items()]).cast("array<struct<a:string,o:string,k:string>>")
-        in_text = F.transform(F.filter(known, lambda x: F.map_contains_key(fired, x["k"]) & (x["a"] != "")), lambda x: F.struct(x["a"].alias("a"), x["o"].alias("o")))
-        every = F.concat(changed, in_text)
+        of_key = lambda part: F.create_map(*[F.lit(x) for low, pair in lowered.items() for x in (low, pair[part])]).cast("map<string,string>")
+        pairs = F.transform(F.map_keys("veil_fired"), lambda k: F.struct(F.try_element_at(of_key(1), k).alias("a"), F.try_element_at(of_key(0), k).alias("o")))
+        in_text = F.filter(pairs, lambda x: x["a"] != "")
+        out, every = out.withColumn("veil_every", F.concat(changed, in_text)), F.col("veil_every")
         clash = F.exists(every, lambda x: F.exists(every, lambda y: (F.lower(x["a"]) == F.lower(y["a"])) & (F.lower(x["o"]) != F.lower(y["o"]))))
         # the first spelling of an analogue string keeps its place in the mapping
         firsts = F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), lambda y: F.lower(y["a"]) == F.lower(x["a"])))
