@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -46,8 +47,20 @@ class CaseSchema:
     def names(self) -> tuple[str, ...]:
         return tuple(n for n, _ in self.roles)
 
+    def __contains__(self, name: object) -> bool:
+        return name in self.names
+
     def role_of(self, name: str) -> str:
-        return dict(self.roles)[name]
+        """The field's role; an unknown name is a KeyError that lists those there are."""
+        found = dict(self.roles)
+        if name not in found:
+            raise KeyError(f"unknown field {name!r}; there are: {', '.join(self.names)}")
+        return found[name]
+
+    def column(self, df: DataFrame, name: str) -> Column:
+        """The field's column of a table of such cases, by checked name."""
+        self.role_of(name)
+        return df[name]
 
     def with_role(self, *roles: str) -> tuple[str, ...]:
         wanted = {parse_role(r) for r in roles}
@@ -98,12 +111,16 @@ def with_narrative(df: DataFrame, narrative: Column) -> DataFrame:
 
 
 def text_of(column: Column, kind: T.DataType) -> Column:
-    """A value as text; doubles with all digits and a decimal point rather than an exponent."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        exact = column.cast("decimal(38,10)").cast("string")
-        plain = F.regexp_replace(F.regexp_replace(exact, "0+$", ""), "\\.$", ".0")
-        return F.when(F.abs(column) < 1e16, plain).otherwise(column.cast("string"))
-    return column.cast("string")
+    """A value as text. Doubles have all digits that tell them apart: plain from 1e-4 to 1e16, else as 1e-11."""
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return column.cast("string")
+    shortest, size = column.cast("string"), F.abs(column)  # like 1.0E-11
+    mantissa, power = F.regexp_replace(shortest, "(\\.0)?E.*$", ""), F.regexp_extract(shortest, "E(-?\\d+)$", 1)
+    places = F.regexp_replace(F.regexp_replace(power, "-", ""), "^(\\d)$", "0$1")
+    scientific = F.concat(mantissa, F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")), places)
+    plain = F.regexp_replace(F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), "0+$", ""), "\\.$", ".0")
+    named = F.when(F.isnan(column), F.lit("nan")).when(column == float("inf"), F.lit("inf")).when(column == float("-inf"), F.lit("-inf"))
+    return F.when(column.isNull(), F.lit(None).cast("string")).when(named.isNotNull(), named).when(size == 0, shortest).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
 
 
 def to_long(df: DataFrame, schema: CaseSchema) -> DataFrame:
@@ -161,7 +178,23 @@ def render(df: DataFrame, schema: CaseSchema, hide: Iterable[str] = ()) -> Colum
     return F.concat_ws("\n", F.when(F.col("narrative") != "", F.concat(F.col("narrative"), F.lit("\n"))), *lines)
 
 
-def to_json(df: DataFrame, schema: CaseSchema) -> Column:
+def to_json(df: DataFrame, schema: CaseSchema, typed: bool = False) -> Column:
+    """A case as JSON; values are texts, or with ``typed`` JSON numbers, booleans, strings and nulls."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    fields = [F.struct(F.lit(n).alias("name"), F.lit(r).alias("role"), text_of(F.col(n), kinds[n]).alias("value")) for n, r in schema.roles]
-    return F.to_json(F.struct(F.array(*fields).alias("fields"), "narrative"), {"ignoreNullFields": "false"})
+    if not typed:
+        fields = [F.struct(F.lit(n).alias("name"), F.lit(r).alias("role"), text_of(F.col(n), kinds[n]).alias("value")) for n, r in schema.roles]
+        return F.to_json(F.struct(F.array(*fields).alias("fields"), "narrative"), {"ignoreNullFields": "false"})
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), "^\\[|\\]$", "")
+
+    def value(n: str) -> Column:
+        text = text_of(F.col(n), kinds[n])
+        if isinstance(kinds[n], (T.DoubleType, T.FloatType)):
+            out = F.when(text.rlike("nan|inf"), quoted(text)).otherwise(text)  # JSON has no such numbers
+        elif isinstance(kinds[n], (T.NumericType, T.BooleanType)):
+            out = text
+        else:
+            out = quoted(text)
+        return F.coalesce(out, F.lit("null"))
+
+    parts = [F.concat(F.lit(json.dumps({"name": n, "role": r}, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"value":'), value(n), F.lit("}")) for n, r in schema.roles]
+    return F.concat(F.lit('{"fields":['), F.concat_ws(",", *parts), F.lit('],"narrative":'), quoted(F.col("narrative")), F.lit("}"))

@@ -17,6 +17,8 @@ Field = Callable[[str], Column]
 Policy = Callable[[Field], Column]
 Equivalence = Callable[[Column, Column], Column]
 _RESULT = "struct<outcome:string,error:string>"
+#: values that a probe may be given; they travel as one broadcast row, and each is tried on each case
+MOST_CANDIDATES = 100_000
 
 
 def checked(policies: Mapping[str, Policy]) -> dict[str, Policy]:
@@ -53,29 +55,50 @@ def python_policy(function: Callable[..., object], *fields: str) -> Policy:
     return policy
 
 
+def python_equivalence(function: Callable[[object, object], bool]) -> Equivalence:
+    """An equivalence of two outcomes (strings or None) in Python; where it raises, the row has an error and is not equivalent."""
+
+    def run(x, y):
+        try:
+            return bool(function(x, y)), None
+        except Exception as e:  # fails closed
+            return False, f"equivalence raised {type(e).__name__}: {e}"
+
+    udf = F.udf(run, "struct<equal:boolean,error:string>")
+    return lambda x, y: udf(x, y)
+
+
 def _result(policy: Policy, field: Field, kinds: Callable[[Column], str]) -> Column:
     out = policy(field)
     return out if kinds(out).startswith("struct<outcome") else F.struct(out.cast("string").alias("outcome"), F.lit(None).cast("string").alias("error"))
 
 
 def check_invariance(originals: DataFrame, analogues: DataFrame, policies: Mapping[str, Policy], equivalence: Equivalence | Mapping[str, Equivalence] | None = None) -> DataFrame:
-    """(case_id, policy, original_outcome, analogue_outcome, equivalent, error); a null outcome equals a null one."""
+    """(case_id, policy, original_outcome, analogue_outcome, equivalent, error); a null outcome equals a null one.
+
+    A policy that raises (``python_policy``) leaves no outcomes, an equivalence that raises (``python_equivalence``) leaves them; either
+    way the row has an error.  An original without an analogue has a row with that error.
+    """
     policies = checked(policies)
-    both = originals.alias("o").join(analogues.alias("a"), F.col("o.case_id") == F.col("a.case_id"))
+    theirs = analogues.withColumn("veil_there", F.lit(True))
+    both = originals.alias("o").join(theirs.alias("a"), F.col("o.case_id") == F.col("a.case_id"), "left")
     kinds = lambda c: both.select(c.alias("x")).schema["x"].dataType.simpleString()
     rows = []
     for name, policy in policies.items():
         sides = [_result(policy, lambda f, s=s: F.col(f"{s}.{f}"), kinds) for s in "oa"]
         same = equivalence.get(name) if isinstance(equivalence, Mapping) else equivalence
         equal = (same or (lambda x, y: x.eqNullSafe(y)))(sides[0]["outcome"], sides[1]["outcome"])
-        error = F.coalesce(sides[0]["error"], sides[1]["error"])
+        error = F.when(F.col("a.veil_there").isNull(), F.lit("no analogue")).otherwise(F.coalesce(sides[0]["error"], sides[1]["error"]))
+        raised = F.lit(None).cast("string")
+        if both.select(equal.alias("x")).schema["x"].dataType.simpleString().startswith("struct"):
+            equal, raised = equal["equal"], equal["error"]
         rows.append(
             F.struct(
                 F.lit(name).alias("policy"),
                 F.when(error.isNull(), sides[0]["outcome"]).alias("original_outcome"),
                 F.when(error.isNull(), sides[1]["outcome"]).alias("analogue_outcome"),
-                (error.isNull() & F.coalesce(equal, F.lit(False))).alias("equivalent"),
-                error.alias("error"),
+                (error.isNull() & raised.isNull() & F.coalesce(equal, F.lit(False))).alias("equivalent"),
+                F.coalesce(error, raised).alias("error"),
             )
         )
     return both.select(F.col("o.case_id").alias("case_id"), F.inline(F.array(*rows)))
@@ -103,7 +126,10 @@ def sensitivity_probe(cases: DataFrame, schema: CaseSchema, policies: Mapping[st
     # values tried per case travel as one array: the case is read once however many values there are
     pools: dict[str, list[Column]] = {n: [] for n in schema.names}
     if candidates is not None:
-        lists = candidates.where(F.col("field").isin(*schema.names)).groupBy("field").agg(F.sort_array(F.collect_set("v")).alias("v"))
+        given = candidates.where(F.col("field").isin(*schema.names))
+        if given.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+            raise ValueError(f"more than {MOST_CANDIDATES} candidate values")
+        lists = given.groupBy("field").agg(F.sort_array(F.collect_set("v")).alias("v"))
         packed = F.broadcast(lists.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("pool")))  # a list per field of the schema
         base = base.crossJoin(packed)
         for n in schema.names:

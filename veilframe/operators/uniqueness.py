@@ -17,8 +17,12 @@ from ..functions.text import fold
 from .cases import IDENTIFYING, CaseSchema
 
 Matcher = Callable[[Column, Column], Column]
+#: record's key, and the keys at which a case finds its matches: they meet by equality before a matcher decides
+Near = tuple[Callable[[Column], Column], Callable[[Column], Column]]
 #: groups below this size single a case out
 THRESHOLD = 5
+#: the shared scope expands the grouped population by the subsets of fields that occur, 2^fields at most
+MOST_FIELDS = 20
 
 
 def match_key(df: DataFrame, name: str) -> Column:
@@ -44,6 +48,13 @@ def check_inputs(originals: DataFrame, analogues: DataFrame, population: DataFra
         for what, df in (("analogue", analogues), ("original", originals), ("population", population)):
             if q not in df.columns:
                 raise ValueError(f"{q!r} is not in the {what}")
+    if len(qis) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} quasi-identifiers")
+    if "_present" in population.columns:
+        held = population.agg(*[F.bool_or(F.array_contains("_present", q)).alias(f"q{i}") for i, q in enumerate(qis)]).first()
+        for q, any_ in zip(qis, held):
+            if not any_:
+                raise ValueError(f"{q!r} is in no record of the population")
 
 
 def default_qis(schema: CaseSchema) -> tuple[str, ...]:
@@ -60,13 +71,22 @@ def _has(population: DataFrame, qis: Sequence[str]) -> Column:
     return out
 
 
-def count_matches(cases: DataFrame, population: DataFrame, qis: Sequence[str], matchers: Mapping[str, Matcher] | None = None, bands: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def count_matches(
+    cases: DataFrame,
+    population: DataFrame,
+    qis: Sequence[str],
+    matchers: Mapping[str, Matcher] | None = None,
+    bands: Mapping[str, Callable[[Column], Column]] | None = None,
+    near: Mapping[str, Near] | None = None,
+) -> DataFrame:
     """(case_id, k): records that match on all of ``qis``; without any, every record does.
 
     ``bands`` are generalising keys, applied to both sides and joined by equality.  ``matchers`` are free
-    predicates (record value, case value); the population is grouped by its values before they are tried.
+    predicates (record value, case value).  Both sides are grouped by their values before predicates are tried, and
+    ``near`` gives a matcher's field keys by which only close values meet: (key of a record's value, array of
+    keys for a case's value).  Without it every two distinct values meet.
     """
-    matchers, bands = dict(matchers or {}), dict(bands or {})
+    matchers, bands, near = dict(matchers or {}), dict(bands or {}), dict(near or {})
     if not qis:
         total = population.agg(F.count("*").alias("k"))
         return cases.select("case_id").crossJoin(F.broadcast(total))  # one row
@@ -75,12 +95,28 @@ def count_matches(cases: DataFrame, population: DataFrame, qis: Sequence[str], m
     records = population.where(_has(population, qis)).select(*[(F.col(q) if q in free else key(population, q)).alias(f"p_{q}") for q in qis])
     records = records.groupBy(*records.columns).agg(F.count("*").alias("n"))
     own = cases.select("case_id", *[(F.col(q) if q in free else key(cases, q)).alias(f"c_{q}") for q in qis], *[_nan(cases, q).alias(f"z_{q}") for q in qis])
-    on = F.lit(True)
-    for q in qis:
-        on = on & (matchers[q](F.col(f"p_{q}"), F.col(f"c_{q}")) if q in free else F.col(f"p_{q}").eqNullSafe(F.col(f"c_{q}"))) & ~F.col(f"z_{q}")
+    same = [F.col(f"p_{q}").eqNullSafe(F.col(f"c_{q}")) for q in qis if q not in free]
+    if free:
+        values = own.where(~F.greatest(*[F.col(f"z_{q}") for q in qis], F.lit(False))).select(*[f"c_{q}" for q in qis]).distinct()
+        tests = [matchers[q](F.col(f"p_{q}"), F.col(f"c_{q}")) for q in free]
+        for q in (q for q in free if q in near):
+            of_record, of_case = near[q]
+            records = records.withColumn(f"b_{q}", of_record(F.col(f"p_{q}")))
+            values = values.withColumn(f"d_{q}", F.explode(F.array_distinct(of_case(F.col(f"c_{q}")))))
+            same.append(F.col(f"b_{q}") == F.col(f"d_{q}"))
+        found = values.join(records, _all([*same, *tests])).groupBy(*[f"c_{q}" for q in qis]).agg(F.sum("n").alias("n"))
+        records, same = found.select("n", *[F.col(f"c_{q}").alias(f"p_{q}") for q in qis]), [F.col(f"p_{q}").eqNullSafe(F.col(f"c_{q}")) for q in qis]
+    on = _all([*same, *[~F.col(f"z_{q}") for q in qis]])
     return own.join(records, on, "left").groupBy("case_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))
 
 
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def count_shared(originals: DataFrame, analogues: DataFrame, population: DataFrame, qis: Sequence[str]) -> DataFrame:
     """(case_id, shared, k): ``shared`` are the fields on which original and analogue agree; k counts on just those."""
     o = originals.select("case_id", *[match_key(originals, q).alias(f"o_{q}") for q in qis], *[_nan(originals, q).alias(f"z_{q}") for q in qis])
