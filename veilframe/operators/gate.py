@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, substitute, substitution_table, tokenize
+from ..functions.text import STOPWORDS, substitute, substitute_by_row, substitution_table, tokenize
 from .cases import CaseSchema, render, with_digest, with_keyed_digest
 
 NOTICE = "The case below is fictional. Names, places and dates stand for others."
@@ -81,14 +81,61 @@ def releasable(records: DataFrame, analogues: DataFrame, schema: CaseSchema) ->
     return now.join(ok, (now.case_id == ok.case_id) & (F.col("digest_now") == F.col("analogue_digest")), "left_semi").drop("digest_now")
 
 
-def release(records: DataFrame, analogues: DataFrame, schema: CaseSchema, send: Callable[[str], str], question: str = "") -> DataFrame:
-    """(case_id, answer): calls ``send`` once for each releasable case, on the driver, since tasks may be repeated.
+def refusals(records: DataFrame, analogues: DataFrame, schema: CaseSchema) -> DataFrame:
+    """(case_id, reasons) of the records that may not go out now: not cleared, changed since, or not signed off."""
+    now = with_digest(analogues, schema, "digest_now").select("case_id", "digest_now")
+    why = F.array(
+        F.when(F.col("status") != "cleared", F.concat(F.lit("status "), F.col("status"))),
+        F.when(F.col("digest_now").isNull(), F.lit("no analogue")).when(F.col("digest_now") != F.col("analogue_digest"), F.lit("analogue changed since clearance")),
+        F.when(F.col("signoff") != "approved", F.concat(F.lit("sign-off "), F.col("signoff"))),
+    )
+    out = records.join(now, "case_id", "left").select("case_id", F.filter(why, lambda r: r.isNotNull()).alias("reasons"))
+    return out.where(F.size("reasons") > 0)
+
 
-    Rows come one partition at a time; refused cases never reach ``send``.
+def release(records: DataFrame, analogues: DataFrame, schema: CaseSchema, send: Callable[[str], str], path: str, question: str = "", batch: int = 100) -> DataFrame:
+    """Calls ``send`` once for each releasable case and logs (case_id, analogue_digest, sent_text, answer) at ``path``; returns the log.
+
+    It runs on the driver, since tasks may be repeated, over one partition at a time.  Answers are appended
+    as they come, ``batch`` at a time and at the latest when ``send`` fails, so none that was paid for is lost, and a case
+    whose present analogue is in the log already is not sent again.  Refused cases (``refusals``) never reach ``send``.
+    """
+    spark, key = records.sparkSession, analogues.schema["case_id"].dataType.simpleString()
+    kinds = f"case_id {key}, analogue_digest string, sent_text string, answer string"
+    ready = releasable(records, analogues, schema)
+    texts = release_text(ready, schema, F.lit(question)).join(with_digest(ready, schema, "analogue_digest").select("case_id", "analogue_digest"), "case_id")
+    spark.createDataFrame([], kinds).write.mode("append").parquet(path)  # the log exists, if empty
+    log = spark.read.schema(kinds).parquet(path)
+    todo, waiting = texts.join(log.select("case_id", "analogue_digest"), ["case_id", "analogue_digest"], "left_anti"), []
+
+    def keep() -> None:
+        if waiting:
+            spark.createDataFrame(waiting, kinds).coalesce(1).write.mode("append").parquet(path)
+            waiting.clear()
+
+    try:
+        for row in todo.toLocalIterator():
+            waiting.append((row.case_id, row.analogue_digest, row.text, send(row.text)))
+            if len(waiting) >= batch:
+                keep()
+    finally:
+        keep()
+    return spark.read.schema(kinds).parquet(path)
+
+
+def back_map_by_case(answers: DataFrame, mappings: DataFrame) -> DataFrame:
+    """``answers`` (case_id, answer, ...) with back_mapped, replacements map<analogue string, times> and residue.
+
+    Each case has its own mapping (case_id, mapping map<analogue, original>); without one, the answer stays as it is.
     """
-    texts = release_text(releasable(records, analogues, schema), schema, F.lit(question))
-    answers = [(row.case_id, send(row.text)) for row in texts.toLocalIterator()]
-    return records.sparkSession.createDataFrame(answers, f"case_id {analogues.schema['case_id'].dataType.simpleString()}, answer string")
+    both = answers.join(mappings.select("case_id", F.col("mapping").alias("veil_map")), "case_id", "left")
+    empty = F.create_map().cast("map<string,string>")
+    both = both.withColumn("veil_map", F.coalesce("veil_map", empty)).withColumn("veil_x", substitute_by_row(F.col("answer"), F.col("veil_map")))
+    folded = lambda part: tokenize(F.array_join(part, " "))
+    left = F.array_except(folded(F.map_keys("veil_map")), folded(F.map_values("veil_map")))
+    content = F.filter(left, lambda t: ~F.array_contains(F.lit(sorted(STOPWORDS)), t) & (F.length(t) > 1))
+    found = F.array_sort(F.array_intersect(content, tokenize(F.col("veil_x.text"))))
+    return both.select(*answers.columns, F.col("veil_x.text").alias("back_mapped"), F.col("veil_x.hits").alias("replacements"), F.coalesce(found, F.array().cast("array<string>")).alias("residue"))
 
 
 def back_map(answer: Column, mapping: Mapping[str, str]) -> Column:
@@ -113,5 +160,5 @@ def shareable(records: DataFrame) -> DataFrame:
 
 
 def local_view(records: DataFrame) -> DataFrame:
-    more = [c for c in ("mapping", "answer", "back_mapped", "residue", "note") if c in records.columns]
+    more = [c for c in ("mapping", "sent_text", "answer", "back_mapped", "replacements", "residue", "note") if c in records.columns]
     return records.select(*[c for c in SHAREABLE if c in records.columns], *more)
