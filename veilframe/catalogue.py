@@ -18,9 +18,11 @@ from .operators import proposals as P
 from .operators import swaps as W
 from .operators import uniqueness as U
 from .plans import audit as A
-from .sources.tables import table
+from .sources.tables import scratch, table
 
 SCHEMA = C.CaseSchema.of({"name": C.IDENTIFYING, "nation": C.CONTEXTUAL, "segment": C.DECISION, "balance": C.DECISION})
+#: tokens that one broadcast row may hold
+FEW_TOKENS = 100_000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -88,29 +90,51 @@ def token_counts(spark, sf_dir):
 SELECT doc_id, item_id FROM d JOIN b ON len(t) > 0 AND contains(h, {_RUN.format('t')})"""
 )
 def contains_run(spark, sf_dir):
-    """Whole items inside documents: candidate pairs share the item's first five tokens, or all of a shorter item, then the run decides."""
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1), lambda p: F.array_join(F.slice("t", p, F.col("k")), " "))
+    """Whole items inside documents: candidates hold the item's longest token, then the run decides.
+
+    Up to ``FEW_TOKENS`` such tokens travel to the documents as one row and nothing is shuffled; more meet the documents' tokens by a join.
+    """
+    longest = F.element_at(F.array_sort(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
+    items = items.select("item_id", longest.alias("token"), X.run_of(F.col("t")).alias("run"))
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize(F.col("text")).alias("n")).where(F.size("n") > 0)
-    items = items.withColumn("k", F.least(F.lit(5), F.size("n")))
-    lengths = F.broadcast(items.select("k").distinct())  # five at most
-    starts = docs.join(lengths, F.size("t") >= F.col("k")).select("doc_id", "k", F.explode(F.array_distinct(grams)).alias("g"))
-    hits = starts.join(items.select("item_id", "n", "k", F.array_join(F.slice("n", F.lit(1), F.col("k")), " ").alias("g")), ["k", "g"]).select("doc_id", "item_id", "n")
-    return hits.join(docs, "doc_id").where(X.contains_run(F.col("t"), F.col("n"))).select("doc_id", "item_id")
+    docs = docs.select("doc_id", X.run_of(F.col("t")).alias("hay"), F.array_distinct("t").alias("t"))
+    tokens = items.select("token").distinct()
+    if tokens.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS:
+        one = F.broadcast(tokens.agg(F.collect_list("token").alias("wanted")))  # counted
+        docs = docs.crossJoin(one).withColumn("t", F.array_intersect("t", "wanted")).where(F.size("t") > 0)
+    return docs.select("doc_id", "hay", F.explode("t").alias("token")).join(items, "token").where(F.contains("hay", "run")).select("doc_id", "item_id")
 
 
 _SWAPS = {"the": "das", "customer": "client", "of the": "vom", "order": "request"}
 
 
-@_query()
+def _marked() -> str:
+    """Each hit as one control character, the longest key first; twice, since two hits may share the blank between them."""
+    out = "text"
+    for k, key in enumerate(sorted(_SWAPS, key=lambda k: (-len(k), k))):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(?i)(^|[^\\pL\\pN_]){key}($|[^\\pL\\pN_])', '\\1' || chr({k + 1}) || '\\2', 'g')"
+    return out
+
+
+_BY_LENGTH = sorted(_SWAPS, key=lambda k: (-len(k), k))
+_UNMARKED = "t"
+for _k, _key in enumerate(_BY_LENGTH):
+    _UNMARKED = f"replace({_UNMARKED}, chr({_k + 1}), '{_SWAPS[_key]}')"
+
+
+@_query(f"SELECT conv_id, turn, {_UNMARKED} AS swapped FROM (SELECT conv_id, turn, {_marked()} AS t FROM conversations)")
 def swap_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.substitute(F.col("text"), _SWAPS).alias("swapped"))
 
 
-@_query()
+@_query(
+    f"""WITH m AS (SELECT {_marked()} AS t FROM conversations) SELECT word, CAST(n AS BIGINT) AS n FROM ({" UNION ALL ".join(f"SELECT '{key}' AS word, sum(length(t) - length(replace(t, chr({k + 1}), ''))) AS n FROM m" for k, key in enumerate(_BY_LENGTH))}) WHERE n > 0"""
+)
 def swap_counts(spark, sf_dir):
     hits = table(spark, sf_dir, "conversations").select(F.explode(X.substitution_counts(F.col("text"), _SWAPS)).alias("word", "n"))
-    return hits.groupBy("word").agg(F.sum("n").alias("n"))
+    return hits.groupBy("word").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 # ---- cases
@@ -190,6 +214,38 @@ def case_json(spark, sf_dir):
     return o.select("case_id", C.to_json(o, SCHEMA).alias("json"))
 
 
+_DOUBLES = C.CaseSchema.of({"name": C.IDENTIFYING, "tiny": C.DECISION, "plain": C.DECISION, "huge": C.CONTEXTUAL, "gold": C.CONTEXTUAL})
+
+
+def _doubles(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    bal = F.col("c_acctbal")
+    c = c.select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("name"), (bal * 1e-12).alias("tiny"), (bal / 7).alias("plain"), (F.round(bal) * 1e15).alias("huge"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3 == 1).alias("gold"))
+    return C.as_cases(c, _DOUBLES)
+
+
+_DOUBLES_SQL = "SELECT c_custkey AS case_id, c_name AS name, c_acctbal * 1e-12 AS tiny, c_acctbal / 7 AS plain, round(c_acctbal) * 1e15 AS huge, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 = 1 END AS gold FROM customer"
+
+
+@_query(
+    f"""WITH o AS ({_DOUBLES_SQL}) SELECT case_id, sha256('{{"f":[{{"n":"gold","r":"contextual","t":"boolean","z":' || CASE WHEN gold IS NULL THEN 'true' ELSE 'false' END || ',"v":"' || coalesce(CAST(gold AS VARCHAR), '') || '"}},{{"n":"huge","r":"contextual","t":"double","z":false,"v":"' || CAST(huge AS VARCHAR)
+|| '"}},{{"n":"name","r":"identifying","t":"string","z":false,"v":"' || name || '"}},{{"n":"plain","r":"decision_relevant","t":"double","z":false,"v":"' || CAST(plain AS VARCHAR)
+|| '"}},{{"n":"tiny","r":"decision_relevant","t":"double","z":false,"v":"' || CAST(tiny AS VARCHAR) || '"}}],"s":""}}') AS digest FROM o"""
+)
+def case_digest_doubles(spark, sf_dir):
+    """Doubles of every size: any change of a value changes the digest."""
+    return C.with_digest(_doubles(spark, sf_dir), _DOUBLES).select("case_id", "digest")
+
+
+@_query(
+    f"""WITH o AS ({_DOUBLES_SQL}) SELECT case_id, '{{"fields":[{{"name":"name","role":"identifying","value":"' || name || '"}},{{"name":"tiny","role":"decision_relevant","value":' || CAST(tiny AS VARCHAR)
+|| '}},{{"name":"plain","role":"decision_relevant","value":' || CAST(plain AS VARCHAR) || '}},{{"name":"huge","role":"contextual","value":' || CAST(huge AS VARCHAR) || '}},{{"name":"gold","role":"contextual","value":' || coalesce(CAST(gold AS VARCHAR), 'null') || '}}],"narrative":""}}' AS json FROM o"""
+)
+def case_json_typed(spark, sf_dir):
+    o = _doubles(spark, sf_dir)
+    return o.select("case_id", C.to_json(o, _DOUBLES, typed=True).alias("json"))
+
+
 # ---- invariance
 
 POLICIES: dict[str, I.Policy] = {
@@ -232,6 +288,40 @@ def invariance_error_rows(spark, sf_dir):
     return found.select("case_id", "error", "equivalent")
 
 
+@_query(
+    f"""WITH {_WITH} SELECT o.case_id, CAST(o.balance AS VARCHAR) AS original_outcome, CASE WHEN o.balance < 0 THEN 'equivalence raised ValueError: negative' END AS error, o.balance >= 0 AND abs(o.balance - a.balance) <= 2000 AS equivalent FROM o JOIN a USING (case_id)"""
+)
+def invariance_equivalence_error(spark, sf_dir):
+    """An equivalence that raises fails its row and keeps the outcomes."""
+
+    def near(x, y):
+        if x.startswith("-"):
+            raise ValueError("negative")
+        return abs(int(x) - int(y)) <= 2000
+
+    found = I.check_invariance(originals(spark, sf_dir), analogues(spark, sf_dir), {"amount": lambda f: f("balance")}, I.python_equivalence(near))
+    return found.select("case_id", "original_outcome", "error", "equivalent")
+
+
+@_query(
+    f"""WITH {_WITH}, p AS (SELECT case_id, balance, v FROM o, (SELECT unnest([-5, 0, 6000]) AS v) WHERE balance >= 0 AND v <> balance),
+f AS (SELECT case_id, count(*) AS probed_values, count(CASE WHEN v < 0 OR v // 1000 <> balance // 1000 THEN 1 END) AS n_flips, count(CASE WHEN v < 0 THEN 1 END) AS n_errors FROM p GROUP BY case_id)
+SELECT case_id, coalesce(probed_values, 0) AS probed_values, coalesce(n_flips, 0) AS n_flips, coalesce(n_errors, 0) AS n_errors FROM o LEFT JOIN f USING (case_id)"""
+)
+def probe_error_flips(spark, sf_dir):
+    """A Python policy's error on a changed case is a flip; one on the case itself leaves it without probes."""
+
+    def thousands(balance):
+        if balance < 0:
+            raise ValueError("negative")
+        return balance // 1000
+
+    tries = spark.createDataFrame([("balance", "0"), ("balance", "6000"), ("balance", "-5")], "field string, v string")
+    probes = I.sensitivity_probe(originals(spark, sf_dir), SCHEMA, {"thousands": I.python_policy(thousands, "balance")}, tries).where("field = 'balance'")
+    errors = F.size(F.filter("flips", lambda x: x["outcome"] == "<error: ValueError>")).cast("bigint")
+    return probes.select("case_id", "probed_values", "n_flips", errors.alias("n_errors"))
+
+
 def _probes(spark, sf_dir):
     tries = spark.createDataFrame([("balance", "0"), ("balance", "6000"), ("segment", "BUILDING"), ("segment", "FURNITURE")], "field string, v string")
     return I.sensitivity_probe(originals(spark, sf_dir), SCHEMA, POLICIES, tries, analogues(spark, sf_dir))
@@ -385,6 +475,15 @@ def k_theta_matcher(spark, sf_dir):
     return U.count_matches(parts, parts.drop("case_id"), ["p_size"], {"p_size": lambda r, c: F.abs(r - c) <= 2})
 
 
+@_query("SELECT a.p_partkey AS case_id, (SELECT count(*) FROM part b WHERE abs(b.p_retailprice - a.p_retailprice) <= 1 AND b.p_brand = a.p_brand) AS k FROM part a")
+def k_near_matcher(spark, sf_dir):
+    """A predicate whose values meet by bands of its width."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), "p_retailprice", "p_brand")
+    band = lambda c: F.floor(c)
+    near = {"p_retailprice": (band, lambda c: F.array(band(c) - 1, band(c), band(c) + 1))}
+    return U.count_matches(parts, parts.drop("case_id"), ["p_retailprice", "p_brand"], {"p_retailprice": lambda r, c: F.abs(r - c) <= 1}, near=near)
+
+
 @_query(f"WITH {_WITH}, p AS (SELECT segment, count(*) AS k FROM o GROUP BY ALL) SELECT a.case_id, coalesce(p.k, 0) AS k FROM a LEFT JOIN p USING (segment)")
 def k_subset_qis(spark, sf_dir):
     return U.count_matches(analogues(spark, sf_dir), population(spark, sf_dir), ["segment"])
@@ -418,40 +517,72 @@ def leak_audit(spark, sf_dir):
     return audit.select("case_id", "n_findings", "n_blocking", "n_flagged", "passed")
 
 
+@_query(
+    _leak_sql(
+        """SELECT case_id, string_agg('  ' || CASE severity WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END || ' ' || kind || ' in ' || source || ': ' || text || CASE WHEN allowed THEN ' (allowed)' ELSE '' END, chr(10) ORDER BY CASE severity WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END || ' ' || kind || ' in ' || source || ': ' || text || CASE WHEN allowed THEN ' (allowed)' ELSE '' END COLLATE C) AS lines,
+CASE WHEN any_value(n_blocking) = 0 THEN 'leak audit: PASS' ELSE 'leak audit: FAIL' END || chr(10) || 'direct: ' || any_value(n_findings) || ' findings, ' || any_value(n_blocking) || ' blocking' AS head FROM rep LEFT JOIN f USING (case_id) GROUP BY case_id"""
+    ).replace(" COLLATE C", "")
+)
+def audit_summary(spark, sf_dir):
+    audit = A.audit_leaks(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA)
+    lines = F.split("summary", "\n")
+    return audit.select("case_id", F.array_join(F.slice(lines, F.lit(3), F.size(lines) - 3), "\n").alias("lines"), F.array_join(F.slice(lines, 1, 2), "\n").alias("head")).withColumn("lines", F.when(F.col("lines") != "", F.col("lines")))
+
+
 # ---- swaps
 
 _SEGMENTS = {"BUILDING": "HOUSING", "MACHINERY": "TOOLS", "automobile": "CARS"}
 
 
+#: cases are named after their number modulo this, so that a small table has a swap for every name but each tenth
+_NAMED = 60
+
+
+def _cases_by_number(spark, sf_dir):
+    """All cases, named after their number modulo ``_NAMED``, in three spellings."""
+    k = F.col("case_id") % _NAMED
+    name = F.when(k % 3 == 0, F.concat(F.lit("Straße "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("STRASSE "), k.cast("string"))).otherwise(F.concat(F.lit("straSSE "), k.cast("string")))
+    return C.as_cases(originals(spark, sf_dir).withColumn("name", name), SCHEMA)
+
+
 def _swapper(spark, sf_dir, **options):
-    names = {r[0]: f"Name {r[0][-3:]}" for r in originals(spark, sf_dir).where("case_id <= 100").select("name").collect()}  # a hundred table entries
-    return W.RuleBasedTransformer({"name": names, "segment": _SEGMENTS}, **options).transform(originals(spark, sf_dir), SCHEMA)
+    names = {f"Straße {k}": f"Name {k}" for k in range(_NAMED) if k % 10 != 4}
+    return W.RuleBasedTransformer({"name": names, "segment": _SEGMENTS}, **options).transform(_cases_by_number(spark, sf_dir), SCHEMA)
+
+
+@_query(f"WITH {_WITH} SELECT case_id, CASE WHEN case_id % 10 <> 4 THEN 'Name ' || case_id % 60 ELSE CASE case_id % 60 % 3 WHEN 0 THEN 'Straße ' WHEN 1 THEN 'STRASSE ' ELSE 'straSSE ' END || case_id % 60 END AS name, case_id % 10 = 4 AS missing FROM o")
+def swap_casefold(spark, sf_dir):
+    """Keys and values meet case-folded: one entry for ß, SS and ss, over all cases."""
+    found = _swapper(spark, sf_dir).select("case_id", "name", F.coalesce(F.col("error").startswith("no swap"), F.lit(False)).alias("missing"))
+    return found
 
 
 _SWAP_SQL = "CASE lower(segment) WHEN 'building' THEN 'HOUSING' WHEN 'machinery' THEN 'TOOLS' WHEN 'automobile' THEN 'CARS' ELSE segment END"
 
 
 @_query(
-    f"""WITH {_WITH}, s AS (SELECT case_id, case_id <= 100 AS hit, name, nation, segment FROM o)
-SELECT case_id, CASE WHEN hit THEN 'Name ' || right(name, 3) ELSE name END AS name, {_SWAP_SQL} AS segment,
-'Customer ' || CASE WHEN hit THEN 'Name ' || right(name, 3) ELSE name END || ' of nation ' || CAST(nation AS VARCHAR) || ' buys ' || CASE WHEN segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN {_SWAP_SQL} ELSE lower(segment) END || ' goods in bulk.' AS narrative FROM s"""
+    f"""WITH {_WITH} SELECT case_id, {_SWAP_SQL} AS segment,
+'Customer ' || name || ' of nation ' || CAST(nation AS VARCHAR) || ' buys ' || CASE WHEN segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN {_SWAP_SQL} ELSE lower(segment) END || ' goods in bulk.' AS narrative FROM o"""
 )
 def swap_transform(spark, sf_dir):
-    return _swapper(spark, sf_dir, require_identifying=False).select("case_id", "name", "segment", "narrative")
+    swapper = W.RuleBasedTransformer({"segment": _SEGMENTS}, require_identifying=False)
+    return swapper.transform(originals(spark, sf_dir), SCHEMA).select("case_id", "segment", "narrative")
 
 
-@_query(f"WITH {_WITH} SELECT case_id, 'no swap for identifying: name' AS error FROM o WHERE case_id > 100")
+@_query(f"WITH {_WITH} SELECT case_id, 'no swap for identifying: name' AS error FROM o WHERE case_id % 10 = 4")
 def swap_missing_identifying(spark, sf_dir):
     return _swapper(spark, sf_dir).where("error is not null").select("case_id", "error")
 
 
 @_query(
-    """WITH p AS (SELECT s_nationkey AS case_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Alias A' ELSE 'alias a' END AS analogue, s_name AS original FROM supplier WHERE s_suppkey % 4 < 2)
+    """WITH p AS (SELECT s_nationkey AS case_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Alias ' ELSE 'alias ' END || (s_suppkey // 2) % 2 AS analogue, s_name AS original FROM supplier)
 SELECT case_id, lower(analogue) AS analogue, array_to_string(list_sort(list(DISTINCT lower(original))), ',') AS originals FROM p GROUP BY case_id, lower(analogue) HAVING count(DISTINCT lower(original)) > 1"""
 )
 def mapping_conflict(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 < 2")
-    pairs = s.select(F.col("s_nationkey").alias("case_id"), F.when(F.col("s_suppkey") % 2 == 0, "Alias A").otherwise("alias a").alias("analogue"), F.col("s_name").alias("original"))
+    """Every supplier gets one of two aliases within its nation, in two spellings."""
+    k = F.col("s_suppkey")
+    alias = F.concat(F.when(k % 2 == 0, "Alias ").otherwise("alias "), (F.floor(k / 2) % 2).cast("string"))
+    pairs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("case_id"), alias.alias("analogue"), F.col("s_name").alias("original"))
     return W.mapping_conflicts(pairs).select("case_id", "analogue", F.array_join("originals", ",").alias("originals"))
 
 
@@ -468,6 +599,29 @@ def proposal_parse(spark, sf_dir):
     return found.select("case_id", "error", "narrative", "n_mapped")
 
 
+@_query(
+    """SELECT o_orderkey AS case_id, CASE o_orderkey % 5 WHEN 0 THEN 'the replacements are not a list' WHEN 1 THEN 'status: int for str' END AS error,
+CASE WHEN o_orderkey % 5 = 2 THEN 'decision-relevant field changed: priority' WHEN o_orderkey % 5 = 3 THEN 'identifying field unchanged: status,the narrative is missing' WHEN o_orderkey % 5 = 4 THEN 'replacement not found: y,a replacement is malformed' ELSE '' END AS warnings FROM orders"""
+)
+def proposal_warnings(spark, sf_dir):
+    """Replies that are odd or bad in many ways: each fails or warns alone."""
+    k = F.col("o_orderkey") % 5
+    reply = lambda status, priority, rest: F.concat(F.lit('{"fields": {"status": '), status, F.lit(', "priority": '), priority, F.lit(f"}}, {rest}}}"))
+    new = F.lit('"Z"')
+    own = lambda c: F.regexp_replace(F.to_json(F.array(c)), "^\\[|\\]$", "")
+    found = (
+        F.when(k == 0, reply(new, own("o_orderpriority"), '"replacements": 5'))
+        .when(k == 1, reply(F.lit("7"), own("o_orderpriority"), '"narrative": "n"'))
+        .when(k == 2, reply(new, F.lit('"other"'), '"narrative": "n"'))
+        .when(k == 3, reply(own("o_orderstatus"), own("o_orderpriority"), '"narrative": ""'))
+        .otherwise(reply(new, own("o_orderpriority"), '"narrative": "n", "replacements": [["x", "y"], ["story", "n"], [1]]'))
+    )
+    fields = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    roles = F.create_map(F.lit("status"), F.lit(C.IDENTIFYING), F.lit("priority"), F.lit(C.DECISION))
+    replies = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), found.alias("reply"), fields.alias("fields"), F.lit("a story").alias("narrative"), roles.alias("roles"))
+    return P.parse_replies(replies).select("case_id", "error", F.array_join("warnings", ",").alias("warnings"))
+
+
 # ---- gate
 
 
@@ -539,3 +693,39 @@ def residue(spark, sf_dir):
 @_query(f"WITH {_WITH}, {_SIGNED} SELECT case_id, sha256({_CANON}) AS original_digest, signoff FROM o JOIN st USING (case_id)")
 def shareable_view(spark, sf_dir):
     return G.shareable(G.signoff_status(_records(spark, sf_dir), _signoffs(spark, sf_dir))).select("case_id", "original_digest", "signoff")
+
+
+def _release(spark, sf_dir):
+    """Every cleared case answered with its analogue's name; the log lies in a new folder."""
+    ask = lambda text: next(line for line in text.split("\n") if line.startswith("name: ")).replace("name: ", "About ")
+    return G.release(_cleared(spark, sf_dir), analogues(spark, sf_dir), SCHEMA, ask, scratch(spark, "release"), "Grant credit?", 1000)
+
+
+@_query(f"WITH {_WITH}, z AS ({_REASONS}) SELECT case_id, a.name AS answer, o.name AS back_mapped, CAST(CASE WHEN a.name <> o.name THEN 1 ELSE 0 END AS BIGINT) AS n_replaced FROM z JOIN o USING (case_id) JOIN a USING (case_id) WHERE reasons = ''".replace("a.name AS answer, o.name AS", "'About ' || a.name AS answer, 'About ' || o.name AS"))
+def release_log(spark, sf_dir):
+    """Answers of all cleared cases, mapped back by each case's own table."""
+    o, a = originals(spark, sf_dir), analogues(spark, sf_dir)
+    pairs = C.string_pairs(o, a, SCHEMA).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("analogue", "original"))).alias("mapping"))
+    back = G.back_map_by_case(_release(spark, sf_dir), pairs)
+    n = F.aggregate(F.map_values("replacements"), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return back.select("case_id", "answer", "back_mapped", n.alias("n_replaced"))
+
+
+@_query(
+    f"""WITH z AS ({_REASONS}) SELECT case_id, concat_ws('; ', 'status refused', CASE WHEN regexp_matches(reasons, 'sign-off') THEN regexp_extract(reasons, 'sign-off [a-z]+') END) AS reasons FROM z WHERE reasons <> ''"""
+)
+def release_refusals(spark, sf_dir):
+    found = G.refusals(_cleared(spark, sf_dir), analogues(spark, sf_dir), SCHEMA)
+    return found.select("case_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query(
+    f"""WITH {_WITH}, m AS (SELECT o.case_id, o.name AS oname, a.name AS aname, o.segment AS oseg, a.segment AS aseg FROM o JOIN a USING (case_id))
+SELECT case_id, CASE WHEN oname <> aname THEN oname ELSE aname END || ' and ' || CASE WHEN oseg <> aseg THEN oseg ELSE lower(aseg) END || '; a person' AS back_mapped, CASE WHEN oname <> aname THEN 'person' ELSE '' END AS residue FROM m"""
+)
+def back_map_by_case(spark, sf_dir):
+    """Each case's own mapping, and what it leaves of the analogue's words."""
+    o, a = originals(spark, sf_dir), analogues(spark, sf_dir)
+    pairs = C.string_pairs(o, a, SCHEMA).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("analogue", "original"))).alias("mapping"))
+    answers = a.select("case_id", F.concat("name", F.lit(" and "), F.lower("segment"), F.lit("; a person")).alias("answer"))
+    return G.back_map_by_case(answers, pairs).select("case_id", "back_mapped", F.array_join("residue", ",").alias("residue"))
