@@ -6,6 +6,8 @@ for even keys, balance raised for keys divisible by 5, and every seventh keeps t
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +142,27 @@ def swap_counts(spark, sf_dir):
 # ---- cases
 
 
+@_query(
+    f"""WITH {_WITH} SELECT case_id, CAST(0 AS BIGINT) AS pos, 'name' AS field, 'identifying' AS role, 'string' AS vtype, name AS v FROM o
+UNION ALL SELECT case_id, 1, 'nation', 'contextual', 'bigint', CAST(nation AS VARCHAR) FROM o
+UNION ALL SELECT case_id, 2, 'segment', 'decision_relevant', 'string', segment FROM o
+UNION ALL SELECT case_id, 3, 'balance', 'decision_relevant', 'bigint', CAST(balance AS VARCHAR) FROM o"""
+)
+def case_fields(spark, sf_dir):
+    """Names, roles and values of all fields in order, from cases whose schema came from a mapping and went through column metadata."""
+    o = originals(spark, sf_dir)
+    schema = C.schema_of(o)
+    assert all(n in schema and schema.role_of(n) == r for n, r in SCHEMA.roles)
+    return C.to_long(o, schema).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@_query(f"WITH {_WITH} SELECT case_id, balance AS value FROM o")
+def case_column(spark, sf_dir):
+    """A field by its checked name."""
+    o = originals(spark, sf_dir)
+    return o.select("case_id", SCHEMA.column(o, "balance").alias("value"))
+
+
 @_query(f"WITH {_WITH} SELECT case_id, name, nation FROM o")
 def role_projection(spark, sf_dir):
     return C.project(originals(spark, sf_dir), SCHEMA, C.IDENTIFYING, C.CONTEXTUAL)
@@ -469,6 +492,13 @@ def k_banded_matcher(spark, sf_dir):
     return U.count_matches(parts, parts.drop("case_id"), ["p_size"], bands={"p_size": lambda c: F.floor(c / 5)})
 
 
+@_query(f"WITH {_WITH}, p AS (SELECT nation, segment, balance, count(*) AS k FROM o GROUP BY ALL) SELECT a.case_id, coalesce(p.k, 0) AS k FROM a LEFT JOIN p USING (nation, segment, balance)")
+def k_default_qis(spark, sf_dir):
+    """Without quasi-identifiers all fields that do not identify are taken."""
+    found = U.estimate_uniqueness(originals(spark, sf_dir), analogues(spark, sf_dir), population(spark, sf_dir), SCHEMA)
+    return found.where("scope = 'analogue'").select("case_id", "k")
+
+
 @_query("SELECT a.p_partkey AS case_id, (SELECT count(*) FROM part b WHERE abs(b.p_size - a.p_size) <= 2) AS k FROM part a")
 def k_theta_matcher(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), "p_size")
@@ -622,6 +652,39 @@ def proposal_warnings(spark, sf_dir):
     return P.parse_replies(replies).select("case_id", "error", F.array_join("warnings", ",").alias("warnings"))
 
 
+_JSON = """'{{"fields":[{{"name":"name","role":"identifying","value":"' || name || '"}},{{"name":"nation","role":"contextual","value":' || CAST(nation AS VARCHAR)
+|| '}},{{"name":"segment","role":"decision_relevant","value":"' || segment || '"}},{{"name":"balance","role":"decision_relevant","value":' || CAST(balance AS VARCHAR) || '}}],"narrative":"' || narrative || '"}}'""".replace("{{", "{").replace("}}", "}")
+
+
+@_query(f"WITH {_WITH} SELECT case_id, {_JSON} || chr(10) || 'Rules to respect: be brief' AS content FROM o")
+def model_messages(spark, sf_dir):
+    """What a model is asked for each case, beside the fixed instructions."""
+    o = originals(spark, sf_dir)
+    ask = F.udf(lambda case: P.build_messages(case, "be brief")[1]["content"], "string")
+    return o.select("case_id", ask(C.to_json(o, SCHEMA, typed=True)).alias("content"))
+
+
+def _model(url: str, body: dict, timeout: float) -> dict:
+    """Stands for a model on this machine: a new name, the next nation, an odd reply for balances below zero."""
+    case = json.loads(body["messages"][1]["content"])
+    old = {f["name"]: f["value"] for f in case["fields"]}
+    new = old | {"name": f"Person {old['name'][-2:]}", "nation": str(old["nation"] + 1)}
+    if old["balance"] < 0:
+        del new["segment"]
+    return {"message": {"content": json.dumps({"fields": new, "narrative": "A story.", "replacements": [[old["name"], "Person"]]})}}
+
+
+@_query(
+    f"""WITH {_WITH} SELECT case_id, CASE WHEN balance >= 0 THEN 'Person ' || right(name, 2) END AS name, CASE WHEN balance >= 0 THEN nation + 1 ELSE -1 END AS nation,
+CASE WHEN balance < 0 THEN 'ReplyError: field names differ: [''segment'']' END AS error, CAST(CASE WHEN balance >= 0 THEN 2 ELSE 0 END AS BIGINT) AS n_mapped FROM o"""
+)
+def model_proposals(spark, sf_dir):
+    """Analogues proposed by a model; the model is a function here."""
+    found = P.LocalModelTransformer("m", post=_model).transform(originals(spark, sf_dir), SCHEMA)
+    mapped = F.coalesce(F.size(F.map_keys("mapping")).cast("bigint"), F.lit(0))
+    return found.select("case_id", "name", F.coalesce("nation", F.lit(-1)).alias("nation"), "error", F.greatest(mapped, F.lit(0)).alias("n_mapped"))
+
+
 # ---- gate
 
 
@@ -646,6 +709,17 @@ def signoff_status(spark, sf_dir):
     return G.signoff_status(_records(spark, sf_dir), _signoffs(spark, sf_dir)).select("case_id", "signoff")
 
 
+@_query(f"WITH {_WITH} SELECT case_id, 'Kim' AS reviewer, true AS approved, 'read twice' AS note, '2024-05-01T09:00:00Z' AS signed_at FROM o")
+def sign_off_rows(spark, sf_dir):
+    return G.sign_off(_records(spark, sf_dir), "Kim", True, "read twice", "2024-05-01T09:00:00Z").drop("analogue_digest")
+
+
+@_query(f"WITH {_WITH}, {_SIGNED} SELECT st.case_id, 'pending' AS status, signoff, CASE WHEN k IS NOT NULL THEN '' END AS note FROM st LEFT JOIN sg USING (case_id)")
+def local_view(spark, sf_dir):
+    """The reviewer's own view, with the note that the shareable one leaves out."""
+    return G.local_view(G.signoff_status(_records(spark, sf_dir), _signoffs(spark, sf_dir))).select("case_id", "status", "signoff", "note")
+
+
 def _cleared(spark, sf_dir):
     return A.verify(originals(spark, sf_dir), analogues(spark, sf_dir), SCHEMA, POLICIES, _records(spark, sf_dir), _signoffs(spark, sf_dir), population(spark, sf_dir), _QIS, 10, allow=["Customer of nation", "buys", "goods in bulk", "building"])
 
