@@ -14,12 +14,13 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import documents, id_text
-from ._pieces import PieceEncoder
+from ._pieces import PieceEncoder, give_back_memory
 
 #: texts taken at once from an Arrow batch; bounds what a worker holds beside the batch
 SLICE = 256
@@ -235,19 +236,23 @@ class RankQueueBPE:
                 out[k] = flat[a:b]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """Bytes of ids given as little-endian uint32."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode_texts(self, find, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; ``find`` splits one into pre-tokens. Equal pre-tokens are encoded once."""
+        split = [find(t) for t in texts]
+        distinct = list(set().union(*split))
+        known = dict(zip(distinct, self.encode_matches(distinct)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for s in split]
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> tuple[PieceEncoder, RankQueueBPE]:
+def _encoder(path: str, pattern: str) -> PieceEncoder:
     """One encoder for each vocabulary and worker; workers are used for many tasks."""
     if (path, pattern) not in _encoders:
-        bpe = RankQueueBPE(load_ranks(path))
-        _encoders[path, pattern] = PieceEncoder(pattern, bpe.encode_matches), bpe
+        bpe, find = RankQueueBPE(load_ranks(path)), regex.compile(pattern).findall
+        _encoders[path, pattern] = PieceEncoder(lambda texts: bpe.encode_texts(find, texts), bpe.tokens)
+        give_back_memory()
     return _encoders[path, pattern]
 
 
@@ -266,13 +271,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batches):
-        enc, bpe = _encoder(path, pattern)
-        for keys, _, ids in enc.windows(batches):
+        encoder = _encoder(path, pattern)
+        for keys, _, ids in encoder.windows(batches):
             for at in range(0, len(keys), SLICE):
                 some = ids[at : at + SLICE]
                 columns = [pa.array(keys[at : at + SLICE], key_type), pa.array(some, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([bpe.decode(x) for x in some], pa.binary()))
+                    columns.append(pa.array([encoder.decode(np.frombuffer(x, "<u4")).tobytes() for x in some], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "bytes"][: len(columns)])
 
     source = id_text(docs, id_col, text_col)
@@ -285,11 +290,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batches):
-        _, bpe = _encoder(path, pattern)
+        encoder = _encoder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([bpe.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["id", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([encoder.decode(np.frombuffer(x or b"", "<u4")).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["id", "ids", "bytes"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = source.schema["id"].dataType.simpleString()

@@ -1,87 +1,139 @@
-"""Re-Pair grammar compression of id sequences, many rules a round, in numpy.
+"""Re-Pair grammar compression of id sequences in numpy, many rules a round, until no pair pays for a rule.
 
-A round counts adjacent pairs, takes the most frequent ones in which no symbol is both a left and a right
-part, so that their occurrences cannot overlap, and replaces them all at once by new symbols.  A rule's
-expansion length is kept, which lets a reader find and expand any stretch alone.
+A round ranks all pairs that occur ``LEAST`` times or more by their number of occurrences.  An occurrence is
+replaced where its pair ranks above both pairs that it overlaps, so the most frequent pair of a round loses
+all its occurrences, and others are replaced beside it; a pair with fewer than ``LEAST`` such
+places waits for a later round.  Runs of one symbol count and lose every second pair.  A rule costs three numbers (two
+parts and an expansion length) and each place saves one, so rules pay from ``LEAST`` places on; there is no other limit.
+Pairs once below ``LEAST`` stay there, so later rounds sort only what is frequent or new.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: rounds, rules in one round, occurrences that a pair needs
-ROUNDS, RULES, LEAST = 4, 1024, 32
+#: places from which a rule saves more than it costs
+LEAST = 4
+#: rules with expansions up to this length are kept expanded by a reader
+SHORT = 64
 
 
-def _keys(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
-    return left << left.dtype.type(shift) | right
-
-
-def _frequent(keys: np.ndarray, shift: int) -> np.ndarray:
-    """Keys of the most frequent pairs that can be replaced together, most frequent first."""
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    counts = np.diff(first, append=len(keys))
-    often = np.flatnonzero(counts >= LEAST)
-    pairs, counts = keys[first[often]], counts[often]
-    chosen, left_parts, right_parts = [], set(), set()
-    for k in np.argsort(-counts, kind="stable").tolist():
-        key = int(pairs[k])
-        a, b = key >> shift, key & (1 << shift) - 1
-        if a != b and a not in right_parts and b not in left_parts:
-            left_parts.add(a)
-            right_parts.add(b)
-            chosen.append(key)
-            if len(chosen) == RULES:
-                break
-    return np.array(chosen, keys.dtype)
+def _odd_places(at: np.ndarray, symbols: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Mask over pairs of one symbol (``at``, ascending): whether one stands at an odd place of its run."""
+    first = (before[at] < 0) | (symbols[before[at]] != symbols[at])
+    place = np.arange(len(at))
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 1
 
 
 def compress(ids: np.ndarray, end: int, first_new: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k stands for symbol first_new + k and holds two symbols. ``end`` is never part of a pair."""
-    most = first_new + ROUNDS * RULES
-    kind, shift = (np.uint32, 16) if most <= 1 << 16 else (np.uint64, 32)
-    symbols, rules = ids.astype(kind), []
-    is_left, is_right = np.zeros(most, bool), np.zeros(most, bool)
-    for _ in range(ROUNDS):
-        left, right = symbols[:-1], symbols[1:]
-        keys = _keys(left, right, shift)
-        chosen = _frequent(keys[(left != end) & (right != end)], shift) if len(keys) else keys
-        if not len(chosen):
+    n = len(ids)
+    symbols = np.append(ids, end).astype(np.int64)  # a sequence linked both ways; slot n ends it
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    alive, rules, n_rules = np.ones(n, bool), [], 0
+    none = np.int32(2**31 - 1)
+    rank_at = np.full(n + 2, none, np.int32)  # slots n and -1: no pair
+    at = np.flatnonzero((symbols[:-1] != end) & (symbols[1:] != end))  # left ends of pairs that may still be frequent
+    while len(at):
+        left, right = symbols[at], symbols[after[at]]
+        same = np.flatnonzero(left == right)
+        again = at[same]
+        if len(same):
+            keep = np.ones(len(at), bool)
+            keep[same[_odd_places(again, symbols, after, before)]] = False
+            at, left, right = at[keep], left[keep], right[keep]
+        keys = left << 32 | right
+        order = np.argsort(keys)
+        in_order = keys[order]
+        first = np.flatnonzero(np.diff(in_order, prepend=-1))
+        counts = np.diff(first, append=len(keys))
+        often = counts >= LEAST
+        n_often = int(often.sum())
+        if not n_often:
             break
-        parts = np.stack([chosen >> kind(shift), chosen & kind((1 << shift) - 1)], 1)
-        is_left[:] = is_right[:] = False
-        is_left[parts[:, 0]] = True
-        is_right[parts[:, 1]] = True
-        at = np.flatnonzero(is_left[left] & is_right[right])
-        order = np.argsort(chosen)
-        in_order, own = chosen[order], keys[at]
-        found = np.minimum(np.searchsorted(in_order, own), len(chosen) - 1)
-        hit = in_order[found] == own
-        at, which = at[hit], order[found[hit]]
-        symbols[at] = (first_new + len(rules) + which).astype(kind)
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols = symbols[stay]
-        rules += parts.tolist()
-    return symbols, np.array(rules, np.int64).reshape(-1, 2)
+        rank = np.full(len(counts), none, np.int32)
+        by_rank = np.argsort(-counts[often], kind="stable")
+        rank[np.flatnonzero(often)[by_rank]] = np.arange(n_often)
+        own = np.empty(len(at), np.int32)
+        own[order] = np.repeat(rank, counts)
+        frequent = own < none
+        at, own, keys = at[frequent], own[frequent], in_order[first[often]][by_rank]
+        rank_at[at] = own
+        chosen = (own < rank_at[before[at]]) & (own < rank_at[after[at]])
+        rank_at[at] = none
+        places = np.bincount(own[chosen], minlength=n_often)
+        enough = places >= LEAST
+        chosen &= enough[own]
+        where, number = at[chosen], np.cumsum(enough) - 1
+        made = keys[enough]
+        rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
+        symbols[where] = first_new + n_rules + number[own[chosen]]
+        n_rules += len(made)
+        gone = after[where]
+        alive[gone] = False
+        after[where] = follower = after[gone]
+        before[follower] = where
+        # open from now on: what was frequent, what touches a new symbol, and what a run has skipped
+        open_ = np.zeros(n + 1, bool)
+        open_[at] = open_[again] = open_[where] = True
+        open_[before[where]] = True  # slot -1 is cleared below
+        at = np.flatnonzero(open_[:n] & alive)
+        at = at[(symbols[at] != end) & (symbols[after[at]] != end)]
+    found = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return symbols[:n][alive], found
+
+
+def _copy_ranges(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches source[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _levels(rules: np.ndarray, first_new: int):
+    """Per level of rules whose parts are known: (their numbers, sizes of all symbols so far)."""
+    sizes = np.ones(first_new + len(rules), np.int64)
+    sizes[first_new:] = 0
+    waiting = np.arange(len(rules))
+    while len(waiting):
+        parts = sizes[rules[waiting]]
+        ready = parts.all(1)
+        now, waiting = waiting[ready], waiting[~ready]
+        if not len(now):
+            raise ValueError("rules that hold themselves")
+        sizes[first_new + now] = parts[ready].sum(1)
+        yield now, sizes
+    yield np.zeros(0, np.int64), sizes
+
+
+def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
+    """Ids that each symbol, vocabulary and rules, stands for."""
+    for _, sizes in _levels(rules, first_new):
+        pass
+    return sizes
 
 
 class Grammar:
-    """Expands symbols: the expansions of all rules lie in one array, found by offset and length."""
+    """Expands symbols. Expansions up to ``SHORT`` lie in one array; longer rules are opened until only such are left."""
 
     def __init__(self, rules: np.ndarray, first_new: int):
-        self.first_new = first_new
-        expansions: list[np.ndarray] = []
-        for a, b in rules.tolist():
-            parts = [expansions[x - first_new] if x >= first_new else np.array([x], np.int64) for x in (a, b)]
-            expansions.append(np.concatenate(parts))
-        self.flat = np.concatenate([np.arange(first_new), *expansions])
-        sizes = np.array([len(e) for e in expansions], np.int64)
-        self.sizes = np.concatenate([np.ones(first_new, np.int64), sizes])
-        self.starts = np.concatenate([np.arange(first_new), first_new + np.cumsum(sizes) - sizes])
+        self.first_new, self.rules = first_new, rules
+        self.starts = np.arange(first_new + len(rules))
+        self.flat = np.arange(first_new)
+        for now, self.sizes in _levels(rules, first_new):
+            now = now[self.sizes[first_new + now] <= SHORT]
+            lengths = self.sizes[first_new + now]
+            parts = rules[now].ravel()
+            self.starts[first_new + now] = len(self.flat) + np.cumsum(lengths) - lengths
+            self.flat = np.concatenate([self.flat, _copy_ranges(self.flat, self.starts[parts], self.sizes[parts])])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[symbols]
-        shift = np.repeat(self.starts[symbols] - (np.cumsum(sizes) - sizes), sizes)
-        return self.flat[shift + np.arange(len(shift))]
+        symbols = symbols.astype(np.int64)
+        while True:
+            long = self.sizes[symbols] > SHORT
+            if not long.any():
+                return _copy_ranges(self.flat, self.starts[symbols], self.sizes[symbols])
+            at = np.flatnonzero(long)
+            opened = np.repeat(symbols, 1 + long)
+            where = at + np.arange(len(at))
+            opened[where], opened[where + 1] = self.rules[symbols[at] - self.first_new].T
+            symbols = opened

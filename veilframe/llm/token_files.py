@@ -5,14 +5,15 @@ rules, symbols, vocabulary size, symbol width), then document ids and a null mas
 the token offset of each document, the rules, the expansion length of each rule, and the symbols.  No
 rule crosses a document, so any document is expanded alone.  A directory table names the blocks.
 
+A text that is cut between two windows of the encoder is still one document of one block.
+
 Defined results: a null or empty text has the end id only; null ids come first; rows that repeat an id follow
-each other, each with its own start; an empty table gives no rows; other columns are ignored.
+each other in order of their texts, each with its own start; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import documents, id_text, new_folder, stage_table
 from ._files import Appender, Ranges
-from ._pieces import PieceEncoder
-from .repair import Grammar, compress
+from ._pieces import PieceEncoder, give_back_memory
+from .repair import Grammar, compress, expansion_lengths
 
 MAGIC = 0x314B4F544C494556
 END_ID = 2
@@ -31,9 +32,8 @@ END_ID = 2
 FILE_BYTES = 256 << 20
 
 _DIRECTORY = "shard bigint, block bigint, file string, offset bigint, length bigint, documents bigint, tokens bigint"
+#: by path: the encoder and the vocabulary's size
 _encoders: dict[str, tuple[PieceEncoder, int]] = {}
-#: by path: the library's tokenizer and the contents of its added tokens
-_libraries: dict[str, tuple] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -48,34 +48,28 @@ def _byte_letters() -> list[str]:
     return out
 
 
-def _encoder(path: str, pattern: str) -> tuple[PieceEncoder, int]:
+def _encoder(path: str) -> tuple[PieceEncoder, int]:
+    """The library's own encode at its defaults, added tokens included, and the bytes of each id."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, dict(enumerate(_byte_letters()))
-
-        def encode_matches(matches: list[str]) -> list[bytes]:
-            spelled = [m.encode("utf-8", "replace").decode("latin-1").translate(letters) for m in matches]
-            return [array("I", [t.id for t in model.tokenize(m)]).tobytes() for m in spelled]
-
-        _libraries[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _encoders[path] = PieceEncoder(pattern, encode_matches), tokenizer.get_vocab_size()
+        added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
+        tokens = [b""] * tokenizer.get_vocab_size()
+        for i in range(len(tokens)):  # not the whole vocabulary as one dictionary
+            tokens[i] = added[i] if i in added else bytes(map(byte_of.__getitem__, tokenizer.id_to_token(i) or ""))
+        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        _encoders[path] = PieceEncoder(encode, tokens, tuple(b.decode() for b in added.values())), len(tokens)
+        give_back_memory()
     return _encoders[path]
 
 
-def _with_added_tokens(path: str, texts: list[str], ids: list[bytes]) -> list[bytes]:
-    """``ids`` with those of texts that hold an added token, such as ``<|endoftext|>``, from the library's own encode."""
-    tokenizer, contents = _libraries[path]
-    whole = lambda t: array("I", tokenizer.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids).tobytes()
-    return [whole(t) if any(c in t for c in contents) else i for t, i in zip(texts, ids)]
-
-
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def pack(keys: list[int | None], ids: list[bytes], end_id: int, vocabulary_size: int) -> tuple[bytes, int]:
@@ -84,7 +78,7 @@ def pack(keys: list[int | None], ids: list[bytes], end_id: int, vocabulary_size:
     flat = np.frombuffer(end.join([*ids, b""]), "<u4")
     sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
     symbols, rules = compress(flat, end_id, vocabulary_size)
-    grammar_sizes = Grammar(rules, vocabulary_size).sizes
+    grammar_sizes = expansion_lengths(rules, vocabulary_size)
     token_at = np.concatenate([[0], np.cumsum(sizes)])
     symbol_at = np.searchsorted(np.concatenate([[0], np.cumsum(grammar_sizes[symbols])]), token_at)
     width = 2 if vocabulary_size + len(rules) <= 1 << 16 else 4
@@ -123,23 +117,23 @@ class Block:
         return self.grammar.expand(self.symbols).astype("<u4")
 
 
-def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Writes the files; returns their directory (shard, block, file, offset, length, documents, tokens), in id order by shard and block."""
-    path, pattern = vocabulary or default_vocabulary()
+    path = vocabulary or default_vocabulary()
     folder = folder or new_folder(docs.sparkSession, "tokens")
     source = id_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
 
     def work(batches):
-        encoder, size = _encoder(path, pattern)
+        encoder, size = _encoder(path)
         shard, to = TaskContext.get().partitionId(), Appender(folder, ".tokens", FILE_BYTES)
-        for block, (keys, texts, ids) in enumerate(encoder.windows(batches)):
-            data, tokens = pack(keys, _with_added_tokens(path, texts, ids), end_id, size)
+        for block, (keys, _, ids) in enumerate(encoder.windows(batches)):
+            data, tokens = pack(keys, ids, end_id, size)
             row = (shard, block, *to.add(data), len(keys), tokens)
             kinds = [pa.string() if " string" in c else pa.int64() for c in _DIRECTORY.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in _DIRECTORY.split(", ")])
         to.close()
 
-    return stage_table(source.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(work, _DIRECTORY), "tokens")
+    return stage_table(source.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text").mapInArrow(work, _DIRECTORY), "tokens")
 
 
 def read_tokens(directory: DataFrame, id_col: str = "doc_id") -> DataFrame:
