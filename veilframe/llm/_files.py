@@ -7,11 +7,17 @@ import uuid
 from pyarrow import fs
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The pyarrow file system and path of a Hadoop URI; s3a and s3n are names that only Hadoop has for s3."""
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
+
+
 class Appender:
     """Writes files under names of their own: a repeated task never touches what another has written."""
 
     def __init__(self, folder: str, suffix: str, roll_bytes: int):
-        self.fs, self.root = fs.FileSystem.from_uri(folder)
+        self.fs, self.root = file_system(folder)
         self.fs.create_dir(self.root, recursive=True)
         self.folder, self.suffix, self.roll_bytes, self.out = folder, suffix, roll_bytes, None
 
@@ -41,7 +47,7 @@ class Ranges:
     def read(self, name: str, offset: int, length: int) -> bytes:
         if name != self.name:
             self.close()
-            system, path = fs.FileSystem.from_uri(name)
+            system, path = file_system(name)
             self.name, self.file = name, system.open_input_file(path)
         return self.file.read_at(length, offset)
 

@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
 Level two are index lines sorted by reversed-host URL key, in compressed blocks; level one is a sparse
-directory with the first and last key of each block.  A look-up searches the directory, reads one block,
-searches it, and reads just the record's range of the archive.
+directory with the first and last key of each block.  A look-up sends each wanted key to the part of the directory
+that covers it, binary-searches that, reads one block, binary-searches it, and reads just the record's range of the archive.
 
 Pages are put in key order before they are written, so that the records of an index block lie side by
 side and a scan over the index reads each archive front to back.
@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from bisect import bisect_left
 from itertools import groupby
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_folder, stage_table
@@ -30,23 +31,37 @@ BLOCK_LINES = 512
 ARCHIVE_BYTES = 256 << 20
 _DATE = "1970-01-01T00:00:00Z"  # pages carry no date
 _ENTRY = "page_id string, key string, file string, offset bigint, length bigint"
-_DIRECTORY = "first_key string, last_key string, file string, offset bigint, length bigint, captures bigint"
+_DIRECTORY = "shard bigint, first_key string, last_key string, file string, offset bigint, length bigint, captures bigint"
 _RECORD = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
+#: host, path and query of a URL
+_URL = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)(\\?[^#]*)?"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: characters that would end a line or a field of the index
+_ESCAPES = (("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
+
+
 def url_key(url: str | None) -> str:
-    """Reversed host, then path and query: ``com,example)/a?b``. A null url has the empty key."""
-    if not url:
-        return ""
-    try:
-        parts = urlsplit(url)
-        host = (parts.hostname or "").rstrip(".")
-    except ValueError:
-        return url.replace("\t", "%09").replace("\n", "%0A")
-    if host.startswith("www."):
-        host = host[4:]
-    key = ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + ("?" + parts.query if parts.query else "")
-    return key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
+    """Reversed host, then path and query: ``com,example)/a?b``. A null url has the empty key, what is no URL is its own."""
+    key, found = url or "", re.match(_URL, url or "")
+    if found:
+        host = found[1].translate(str.maketrans(_UPPER, _LOWER)).rstrip(".").removeprefix("www.")
+        key = ",".join(reversed(host.split("."))) + ")" + (found[2] or "/") + (found[3] or "")
+    for c, escaped in _ESCAPES:
+        key = key.replace(c, escaped)
+    return key
+
+
+def key_of(url: Column) -> Column:
+    """``url_key`` as an expression."""
+    part = lambda k: F.regexp_extract(url, _URL, k)
+    host = F.regexp_replace(F.regexp_replace(F.translate(part(1), _UPPER, _LOWER), "\\.+$", ""), "^www\\.", "")
+    path = F.when(part(2) == "", F.lit("/")).otherwise(part(2))
+    key = F.when(url.rlike(_URL), F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), path, part(3))).otherwise(F.coalesce(url, F.lit("")))
+    for c, escaped in _ESCAPES:
+        key = F.replace(key, F.lit(c), F.lit(escaped))
+    return key
 
 
 def _gzip(data: bytes) -> bytes:
@@ -110,9 +125,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     digests = stage_table(source.select("id", F.sha1(F.col("html").cast("binary")).alias("sha")), "digests")
     last = stage_table(digests.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last"), "responses")
     marked = source.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(last, "sha", "left")
-    key = F.udf(lambda url: url_key(url), "string")
     revisit = F.when(F.coalesce(F.col("id") < F.col("last"), F.col("last").isNotNull() & F.col("id").isNull()), F.col("last"))
-    ordered = marked.select(F.col("id").cast("string").alias("id"), "url", "html", revisit.cast("string").alias("refers"), key("url").alias("key"))
+    ordered = marked.select(F.col("id").cast("string").alias("id"), "url", "html", revisit.cast("string").alias("refers"), key_of(F.col("url")).alias("key"))
     ordered = ordered.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
     def archive(batches):
@@ -133,7 +147,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
         def block():
             lines = "".join("\t".join((k, f, str(o), str(n))) + "\n" for _, k, f, o, n in held)
-            row = (held[0][1], held[-1][1], *to.add(_gzip(lines.encode())), len(held))
+            row = (TaskContext.get().partitionId(), held[0][1], held[-1][1], *to.add(_gzip(lines.encode())), len(held))
             held.clear()
             return _rows([row], _DIRECTORY)
 
@@ -182,51 +196,73 @@ def _records(ranges: Ranges, captures: list[tuple[str, str, int, int]]):
             yield from read()
 
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """All captures through the index: directory rows to blocks to record ranges, in parallel over blocks."""
-
-    def run(batches):
-        index, data = Ranges(), Ranges()
-        for batch in batches:
-            for _, _, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = list(_records(data, _captures(index, file, offset, length)))
-                for at in range(0, len(rows), 256):
-                    yield _rows(rows[at : at + 256], _RECORD)
-        index.close()
-        data.close()
-
-    blocks = directory.repartition(max(8, directory.sparkSession.sparkContext.defaultParallelism * 2))
-    return blocks.mapInArrow(run, _RECORD)
+def look_up(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """All captures of the wanted ``keys`` (a column ``key``, see ``key_of``): directory search, block search, range reads.
 
+    The directory's shards, one for each task that wrote it, are known by their first and last keys; a binary search sends a key
+    to the shards that cover it, where the shard's own directory rows come first and are held.
+    """
+    shards = directory.groupBy("shard").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    bounds = sorted((low, high, shard) for shard, low, high in shards.collect())  # a row for each task of the index
+    lows, highs = [b[0] for b in bounds], [b[1] for b in bounds]
 
-def look_up(directory: DataFrame, urls: list[str]) -> DataFrame:
-    """Captures of a stated list of URLs: directory search, block search, range reads."""
-    keys = sorted({url_key(u) for u in urls})
-    hit = F.lit(False)
-    for k in keys:
-        hit = hit | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
+    def assign(batches):
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                k = bisect_left(highs, key)
+                while k < len(bounds) and lows[k] <= key:
+                    rows.append((bounds[k][2], key))
+                    k += 1
+            yield _rows(rows, "shard bigint, key string")
+
+    wanted = keys.select("key").distinct().mapInArrow(assign, "shard bigint, key string")
+    wanted = wanted.select("shard", F.lit(1).alias("kind"), "key", *[F.lit(None).cast(t).alias(c) for c, t in (("last_key", "string"), ("file", "string"), ("offset", "bigint"), ("length", "bigint"))])
+    blocks = directory.select("shard", F.lit(0).alias("kind"), F.col("first_key").alias("key"), "last_key", "file", "offset", "length")
+    both = blocks.unionByName(wanted).repartition("shard").sortWithinPartitions("shard", "kind", "key", "last_key")
 
     def run(batches):
         index, data = Ranges(), Ranges()
+        shard, rows, lasts, held, captures = None, [], [], None, []
         for batch in batches:
-            for first, last, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                captures, found = _captures(index, file, offset, length), []
-                for k in keys[bisect_left(keys, first) :]:
-                    if k > last:
-                        break
-                    at = bisect_left(captures, (k,))
-                    while at < len(captures) and captures[at][0] == k:
+            found = []
+            for number, kind, key, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != shard:
+                    shard, rows, lasts, held = number, [], [], None
+                if kind == 0:
+                    rows.append((key, *block[1:]))
+                    lasts.append(block[0])
+                    continue
+                k = bisect_left(lasts, key)
+                while k < len(rows) and rows[k][0] <= key:
+                    if held != k:
+                        held, captures = k, _captures(index, *rows[k][1:])
+                    at = bisect_left(captures, (key,))
+                    while at < len(captures) and captures[at][0] == key:
                         found.append(captures[at])
                         at += 1
-                yield _rows(list(_records(data, found)), _RECORD)
+                    k += 1
+            out = []
+            for record in _records(data, found):
+                out.append(record)
+                if len(out) == 256:
+                    yield _rows(out, _RECORD)
+                    out = []
+            yield _rows(out, _RECORD)
         index.close()
         data.close()
 
-    return directory.where(hit).mapInArrow(run, _RECORD)
+    return both.mapInArrow(run, _RECORD)
+
+
+def look_up_urls(directory: DataFrame, urls: list[str]) -> DataFrame:
+    """``look_up`` of a stated list of URLs."""
+    return look_up(directory, directory.sparkSession.createDataFrame([(url_key(u),) for u in urls], "key string"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_archives(directory).select(
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = look_up(write_archives(pages), pages.select(key_of(F.col("url")).alias("key")))
+    return found.select(
         F.when(F.col("page_id") != "null", F.col("page_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
