@@ -1,8 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison; DataFrame functions only.
 
-Paragraphs (lines with a word) become sparse vectors of hashed word unigrams and bigrams.  A multinomial logistic
-regression, trained on statements of each family and on ordinary prose, gives a family or "unknown".  Its
-scores are calibrated by a temperature fitted on held-out statements, and a family counts only above ``SURE``.
+Paragraphs are lines, and blocks of several short lines between blank ones, since licence texts are often wrapped.  They become
+sparse vectors of hashed word unigrams and bigrams.  A multinomial logistic regression, fitted once in a process
+on the statements of ``licence_texts`` and on ordinary prose, gives a family or "unknown".  Its scores are calibrated by a
+temperature fitted on statements that were held out whole, and a family counts only above ``SURE``.
 A prediction is confirmed if the paragraph also holds most words of one of the family's templates.
 
 Defined results: one row for each id, in which rows that repeat it are taken together; null ids share a row; null and empty
@@ -12,78 +13,134 @@ texts have no paragraphs and no family; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import regex
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents
+from .licence_texts import LEADS, OTHER_LICENCES, PROSE, STATEMENTS, TAILS
 
-#: statements by family; the first ones of each are its templates, further ones only train
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "gpl-3.0": ["licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation"],
-    "cc-by-nc-4.0": ["licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"],
-    "cc-by-4.0": ["licensed under cc by 4.0", "creative commons attribution 4.0 international license"],
-    "bsd": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2.0"],
-    "cc0": ["dedicated to the public domain under cc0 1.0 universal"],
-    "all-rights-reserved": ["all rights reserved"],
-}
-_LEADS = ["", "this work is ", "this file is ", "the software is ", "unless stated otherwise the text is ", "copyright 2021 the authors ", "note ", "see license file ", "content "]
-_TAILS = ["", " you may obtain a copy of it", " see the file for details", " by the authors", " some more words follow here", " 2020", " in all countries"]
-#: ordinary prose, near misses among it
-_PROSE = """the license of the driver was renewed|all rights and duties of the tenant are listed below|she released the album under a new name|the general public was not told
-version 2.0 of the game is out|permission to enter was granted to the visitors|this work is hard and the pay is low|the software crashed again|the foundation published a report
-copyright law is a field of study|the file was copied|the creative team met the common people|a mozilla developer spoke in public|the domain of the function is the set of reals
-the seats are reserved for members|all that was on the table|in the name of the law|das ist nicht die frage|la vie est belle et les jours sont longs|el libro de la casa no es mío
-the terms of the sale were changed|free of charge parking for any person|under the bridge|international trade grew by 4.0 percent|the university of massachusetts|an apache helicopter flew by
-it was the best of times|they and the others came from afar|source and binary stars|the authors thank the editor|non commercial flights were cancelled|by 2020 nothing had changed
-th an er in on re he ti|und der die mit von im zu|que de la el en los ción ado|le les des et un une ment tion|the public license plate was lost|reserved and quiet people|rights of way""".replace("\n", "|").split("|")
 #: hash space of each n-gram size, calibrated probability for a family, share of a template's words for confirmation
-HASH_SIZE, SURE, TEMPLATE_SHARE = 1 << 14, 0.6, 0.75
+HASH_SIZE, SURE, TEMPLATE_SHARE = 1 << 12, 0.6, 0.75
+#: characters up to which a line can be part of a wrapped block
+WRAPPED = 120
+#: training: rounds, step, weight decay
+ROUNDS, STEP, DECAY = 250, 0.05, 3e-4
 UNKNOWN = "unknown"
-FAMILIES = (*TEMPLATES, UNKNOWN)
-
-
-def _statements() -> list[tuple[str, int, int]]:
-    """(text, label, fold): all leads and tails around each statement; fold 0 is held out for calibration."""
-    rows = []
-    for label, family in enumerate(FAMILIES):
-        some = TEMPLATES.get(family, _PROSE)
-        for k, statement in enumerate(some):
-            for i, lead in enumerate(_LEADS):
-                for j, tail in enumerate(_TAILS):
-                    if family != UNKNOWN or (i + j + k) % 3 == 0:
-                        rows.append((lead + statement + tail, label, (3 * i + 5 * j + k) % 5))
-    return rows
-
-
-def _as_table(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
-    packed = F.array(*[F.struct(F.lit(t).alias("paragraph"), F.lit(float(y)).alias("label"), F.lit(f).alias("fold")) for t, y, f in rows])
-    return spark.range(1).select(F.inline(packed))
+FAMILIES = (*STATEMENTS, UNKNOWN)
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _murmur3(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3 (x86, 32 bits, signed), by which Spark's HashingTF hashes a term."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    mixed = lambda k: turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mixed(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & mask
+    if whole < len(data):
+        h ^= mixed(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (h >> 31 << 32)
+
+
+def features_of(text: str) -> set[int]:
+    """Positions that are 1 in a paragraph's vector: hashed words, then hashed pairs of words."""
+    words = words_of(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return {_murmur3(w.encode()) % HASH_SIZE for w in words} | {HASH_SIZE + _murmur3(p.encode()) % HASH_SIZE for p in pairs}
+
+
+def _around(statement: str, k: int) -> list[str]:
+    """A statement alone and with some of the leads and tails."""
+    both = [(lead, tail) for i, lead in enumerate(LEADS) for j, tail in enumerate(TAILS) if (i + j + k) % 4 == 0]
+    return [statement, *[lead + statement + tail for lead, tail in both]]
+
+
+def training_rows() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """(rows to train on, rows to calibrate on): whole statements are in either, with all that is made of them."""
+    train, held = [], []
+    for label, family in enumerate(STATEMENTS):
+        for k, statement in enumerate(STATEMENTS[family]):
+            (held if k == len(STATEMENTS[family]) - 1 else train).extend((t, label) for t in _around(statement, k))
+    unknown = len(FAMILIES) - 1
+    for k, text in enumerate(PROSE):
+        (held if k % 4 == 3 else train).extend((t, unknown) for t in _around(text, k)[:5])
+    for k, text in enumerate(OTHER_LICENCES[: len(OTHER_LICENCES) // 2]):
+        train.extend((t, unknown) for t in _around(text, k)[:8])
+    return train, held
+
+
+@lru_cache(maxsize=1)
+def fitted() -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights by family and position, intercepts, temperature), the same in every process."""
+    train, held = training_rows()
+    seen = sorted(set().union(*(features_of(t) for t, _ in train)))
+    place = {f: i for i, f in enumerate(seen)}
+
+    def matrix(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(rows), len(seen)), np.float32)
+        for r, (text, _) in enumerate(rows):
+            x[r, [place[f] for f in features_of(text) if f in place]] = 1
+        return x, np.array([y for _, y in rows])
+
+    x, y = matrix(train)
+    gold = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    weight = 1 / gold.sum(0)[y][:, None]  # each family weighs alike
+    w, b = np.zeros((len(seen), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
+    for t in range(1, ROUNDS + 1):
+        scores = x @ w + b
+        scores = np.exp(scores - scores.max(1, keepdims=True))
+        error = (scores / scores.sum(1, keepdims=True) - gold) * weight
+        for p, (m, v), g in zip((w, b), moments, (x.T @ error + DECAY * w, error.sum(0))):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    x, y = matrix(held)
+    raw = x @ w + b
+
+    def loss(temperature: float) -> float:
+        s = raw / temperature
+        top = s.max(1, keepdims=True)
+        return float((np.log(np.exp(s - top).sum(1)) + top[:, 0] - s[np.arange(len(y)), y]).mean())
+
+    full = np.zeros((len(FAMILIES), 2 * HASH_SIZE))
+    full[:, seen] = w.T.astype(np.float64).round(6)
+    return full, b.astype(np.float64).round(6), min((t / 20 for t in range(4, 121)), key=loss)
 
 
 class LicenceModel:
-    """Word n-gram features, logistic regression and temperature."""
+    """Word n-gram features and the fitted regression as Spark transformers."""
 
     def __init__(self, spark: SparkSession):
+        weights, intercepts, self.temperature = fitted()
         stages = [RegexTokenizer(inputCol="paragraph", outputCol="veil_words", pattern="[^\\p{L}\\p{N}]+")]
         stages += [NGram(n=2, inputCol="veil_words", outputCol="veil_pairs")]
         stages += [HashingTF(numFeatures=HASH_SIZE, binary=True, inputCol=f"veil_{c}", outputCol=f"veil_tf_{c}") for c in ("words", "pairs")]
         stages += [VectorAssembler(inputCols=["veil_tf_words", "veil_tf_pairs"], outputCol="veil_x")]
-        rows = _as_table(spark, _statements())
-        self.features = Pipeline(stages=stages).fit(rows)
-        seen = self.features.transform(rows).select("veil_x", "label", "fold")
-        learner = LogisticRegression(featuresCol="veil_x", labelCol="label", rawPredictionCol="veil_raw", family="multinomial", regParam=2e-3, maxIter=60)
-        self.model = learner.fit(seen.where("fold <> 0"))
-        held = self.model.transform(seen.where("fold = 0")).select("label", vector_to_array("veil_raw").alias("raw")).collect()  # some hundred statements
-        self.temperature = min((t / 20 for t in range(4, 81)), key=lambda t: _loss(held, t))
+        self.features = PipelineModel(stages)
+        sc = spark.sparkContext
+        matrix = DenseMatrix(*weights.shape, weights.ravel(), isTransposed=True)
+        own = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel("veil_licences", _py2java(sc, matrix), _py2java(sc, DenseVector(intercepts)), len(FAMILIES), True)
+        self.model = LogisticRegressionModel(own).setFeaturesCol("veil_x").setRawPredictionCol("veil_raw")
 
     def scored(self, paragraphs: DataFrame) -> DataFrame:
         """Adds veil_words and veil_p, the calibrated probabilities in order of ``FAMILIES``."""
@@ -95,18 +152,16 @@ class LicenceModel:
         return kept.withColumn("veil_p", F.transform("veil_e", lambda x: x / total)).drop("veil_e")
 
 
-def _loss(held: list, t: float) -> float:
-    out = 0.0
-    for label, raw in held:
-        top = max(raw)
-        out += math.log(sum(math.exp((s - top) / t) for s in raw)) - (raw[int(label)] - top) / t
-    return out
+def paragraphs_of(text: Column) -> Column:
+    """Lines, and each block of several lines between blank ones if all are short, as a wrapped text."""
+    blocks = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n")) & ~b.rlike(f"[^\n]{{{WRAPPED + 1}}}"))
+    return F.concat(F.split(text, "\n"), F.transform(blocks, lambda b: F.translate(b, "\n", " ")))
 
 
 def _confirmed(words: Column, family: str) -> Column:
     parts = []
-    for template in TEMPLATES[family]:
-        own = sorted(set(template.replace(".", " ").split()))
+    for template in STATEMENTS[family]:
+        own = sorted(set(words_of(template)))
         parts.append(F.size(F.array_intersect(words, F.lit(own))) >= math.ceil(TEMPLATE_SHARE * len(own)))
     return reduce(lambda a, b: a | b, parts)
 
@@ -118,21 +173,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     paragraphs with a confirmed family; ``best_p`` is the largest probability of a predicted family, rounded, 0 where there is none.
     """
     model = model or LicenceModel(docs.sparkSession)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    paragraphs = docs.select(F.col(id_col).alias("id"), F.explode(lines).alias("paragraph"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    paragraphs = docs.select(F.col(id_col).alias("id"), F.explode(paragraphs_of(text)).alias("paragraph"))
     scored = model.scored(paragraphs)
     best = F.array_position("veil_p", F.array_max("veil_p"))
     hit = scored.select("id", F.rlike("paragraph", F.lit("[\\p{L}\\p{N}]")).alias("real"), F.when((F.array_max("veil_p") >= SURE) & (best < len(FAMILIES)), best).alias("k"), F.array_max("veil_p").alias("p"), "veil_words")
-    confirmed = reduce(lambda c, k: c.when(F.col("k") == k + 1, _confirmed(F.col("veil_words"), FAMILIES[k])), range(len(TEMPLATES)), F.when(F.col("k").isNull() | ~F.col("real"), F.lit(False)))
+    confirmed = reduce(lambda c, k: c.when(F.col("k") == k + 1, _confirmed(F.col("veil_words"), FAMILIES[k])), range(len(STATEMENTS)), F.when(F.col("k").isNull() | ~F.col("real"), F.lit(False)))
     flags = hit.select("id", "real", F.when(F.col("real"), F.col("k")).alias("k"), "p", confirmed.alias("sure"))
     per_id = flags.groupBy("id").agg(
         F.count_if("real").alias("n_paragraphs"),
         F.count_if("sure").alias("n_licence"),
         F.max(F.when(F.col("k").isNotNull(), F.col("p"))).alias("best"),
-        *[F.bool_or((F.col("k") == k + 1) & F.col("sure")).alias(f"s{k}") for k in range(len(TEMPLATES))],
-        *[F.bool_or(F.coalesce(F.col("k") == k + 1, F.lit(False))).alias(f"p{k}") for k in range(len(TEMPLATES))],
+        *[F.bool_or((F.col("k") == k + 1) & F.col("sure")).alias(f"s{k}") for k in range(len(STATEMENTS))],
+        *[F.bool_or(F.coalesce(F.col("k") == k + 1, F.lit(False))).alias(f"p{k}") for k in range(len(STATEMENTS))],
     )
-    order = sorted(range(len(TEMPLATES)), key=lambda k: FAMILIES[k])
+    order = sorted(range(len(STATEMENTS)), key=lambda k: FAMILIES[k])
     named = lambda c: F.concat_ws(",", *[F.when(F.col(f"{c}{k}"), F.lit(FAMILIES[k])) for k in order])
     return per_id.select(F.col("id").alias(id_col), "n_paragraphs", "n_licence", named("s").alias("families"), named("p").alias("predicted"), F.round(F.coalesce("best", F.lit(0.0)), 4).alias("best_p"))
 
