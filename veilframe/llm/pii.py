@@ -4,8 +4,8 @@ The rules find e-mail, IP, card and phone spans.  A bidirectional LSTM with a CR
 labelled spans, adds other spellings (obfuscated e-mail, oddly spaced numbers) and secrets.  It reads whole
 texts in windows of ``TIME`` characters that overlap by half.  Scores of overlapping windows are blended, the nearer
 to a window's middle the heavier, and a Viterbi path settles them globally.  A found span
-must also fit its kind (digit counts, Luhn, parts) and overlap no rule span.  No text fits a kind that
-has neither a digit nor an at-sign, plain or bracketed; documents without any need not be tagged.
+must also fit its kind (digit counts, Luhn, parts) and overlap no rule span.  No text fits a kind that has neither
+a digit, nor an at-sign, plain or bracketed, nor 16 characters after an equals sign or colon; documents without any need not be tagged.
 
 Defined results: a null or empty text has no spans; a null id is kept; each repeated row is judged alike; an
 empty table gives no rows; other columns are ignored.
@@ -29,11 +29,12 @@ KINDS = (*RULE_KINDS, "secret")
 #: characters of a tagger window
 TIME = 64
 #: training: batches of made-up windows, and windows in each
-BATCHES, ROWS = 260, 48
+BATCHES, ROWS = 340, 48
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, which can only match from where a run of digits starts: linear in long runs
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -86,13 +87,18 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _fits(kind: str, text: str) -> bool:
-    """Whether a tagged span can be of its kind."""
+#: what stands before a value that is assigned to a name for secrets
+_ASSIGNED = re.compile(r"(?:secret|token|key|passw(?:or)?d|passphrase|pwd|auth|credentials?)[\"'`]?\s?[=:]\s?[\"'`]?\Z", re.IGNORECASE)
+_AT, _DOT = r"[\[({]\s*at\s*[\])}]", r"[\[({]\s*dot\s*[\])}]"
+_EMAIL_END = re.compile(rf"(\.|{_DOT}\s*)[a-z]{{2,}}\Z")
+
+
+def _fits(kind: str, text: str, before: str = "") -> bool:
+    """Whether a tagged span can be of its kind; ``before`` is the text that leads to it."""
     d = _digits(text)
     if kind == "email":
         low = text.lower()
-        sign = "@" in text or re.search(r"[\[({]\s*at\s*[\])}]", low)
-        return bool(sign) and bool(re.search(r"\.[a-z]{2,}$|[\[({]\s*dot\s*[\])}]\s*[a-z]{2,}$", low)) and len(text) >= 6
+        return ("@" in text or bool(re.search(_AT, low))) and bool(_EMAIL_END.search(low)) and len(text) >= 6
     if kind == "ip":
         parts = re.split(r"[^0-9]+", text.strip("[](){} "))
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -100,7 +106,7 @@ def _fits(kind: str, text: str) -> bool:
         return 12 <= len(d) <= 19 and luhn(d)
     if kind == "phone":
         return 9 <= len(d) <= 15 and not text[0].isalpha()
-    return len(text) >= 16 and bool(re.search("[A-Za-z]", text)) and len(d) >= 4 and " " not in text
+    return len(text) >= 16 and bool(re.search("[A-Za-z]", text)) and not re.search(r"\s", text) and (len(d) >= 4 or bool(_ASSIGNED.search(before)))
 
 
 def _made_up(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
@@ -120,15 +126,21 @@ def _made_up(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]
         return pick([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"+{pick('123459')}{num(1)} {num(3)} {num(4)} {num(2)}", f"({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(6)}", f"+1.{num(3)}.{num(3)}.{num(4)}"])
 
     def email() -> str:
-        local, host = word() + pick(["", ".", "_"]) + pick([word(), num(2), ""]), pick(["mail", "post", "web"]) + pick(["", num(1)]) + pick([".example.com", ".org", ".net", ".example.de"])
+        local, host = word() + pick(["", ".", "_"]) + pick([word(), num(2), ""]), pick(["mail", "post", "web", word()]) + pick(["", "", num(1)]) + pick([".example.com", ".org", ".net", ".example.de", ".co"])
         local = local.rstrip("._") or "a"
-        return pick([f"{local}@{host}", f"{local}@{host}", f"{local} [at] {host}", f"{local}(at){host.replace('.', '(dot)')}", f"{local} @ {host}"])
+        opened, closed = pick([("[", "]"), ("(", ")"), ("{", "}")])
+        blank = pick(["", " "])
+        at, dot = f"{blank}{opened}at{closed}{blank}", f"{blank}{opened}dot{closed}{blank}"
+        return pick([f"{local}@{host}", f"{local}@{host}", f"{local}{at}{host}", f"{local}{at}{host.replace('.', dot)}", f"{local} @ {host}"])
 
     def ip() -> str:
         sep = pick([".", ".", "[.]", " . "])
         return sep.join(str(int(x)) for x in rng.integers(0, 256, 4))
 
     def secret() -> str:
+        if rng.random() < 0.25:  # a passphrase: told by what it is assigned to
+            made = "".join(word() for _ in range(12)).encode("ascii", "ignore").decode()
+            return (made + "longerthansixteen")[: int(rng.integers(16, 30))]
         abc = pick(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
         return "".join(pick(abc) for _ in range(int(rng.choice([20, 24, 32, 40, 40, 40]))))
 
@@ -140,12 +152,16 @@ def _made_up(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]
         if r < 0.1:
             kind = pick(KINDS)
             if kind == "secret":
-                text += pick(['token = "', 'key="', "secret: ", "password=", "api_key = '"])
+                text += pick(['token = "', 'key="', "secret: ", "password=", "password: ", "api_key = '", 'secret = "', "TOKEN=", "auth: "])
             made = make[kind]()
             spans.append((kind, len(text), len(text) + len(made)))
             text += made + pick([" ", " ", ". ", ", ", '" ', "### "])
         elif r < 0.18:
             text += pick(near_misses)() + pick([" ", ". ", ", "])
+        elif r < 0.2:
+            text += "".join(word() for _ in range(6))[: int(rng.integers(14, 28))] + pick([" ", ". ", ", "])  # a long word
+        elif r < 0.24:
+            text += pick(["to ", "is ", "at ", "mail ", "the ", "an ", "key: ", "note: "])
         else:
             text += word().capitalize() if rng.random() < 0.1 else word()
             text += pick([" "] * 12 + [". ", ", ", "\n", "$$$ ", " | "])
@@ -177,8 +193,8 @@ def trained_tagger() -> CharTagger:
 
 
 _WEIGHT = (1 + np.minimum(np.arange(TIME), np.arange(TIME)[::-1])).astype(np.float32)
-#: what every text that ``_fits`` accepts holds somewhere; a text without it has no span that could be kept
-_NEEDED = re.compile(r"[0-9@]|[\[({]\s*at\s*[\])}]", re.IGNORECASE)
+#: what every text with a span that ``_fits`` accepts holds somewhere: a digit, an at-sign, plain or bracketed, or 16 characters that are assigned
+_NEEDED = re.compile(rf"[0-9@]|{_AT}|[=:]\s?[\"'`]?\S{{16}}", re.IGNORECASE)
 #: characters of a part, and of the overlap in which two parts are joined outside of spans; multiples of half a window
 PART, OVERLAP = 4096, 256
 #: characters of parts tagged together
@@ -227,7 +243,7 @@ def _spans(line: np.ndarray, text: str) -> list[tuple[str, int, int]]:
         while end < len(line) and line[end] == line[t] + 1:
             end += 1
         kind = KINDS[(line[t] - 1) // 2]
-        if _fits(kind, text[t:end]):
+        if _fits(kind, text[t:end], text[max(0, t - 24) : t]):
             out.append((kind, t, end))
     return out
 
