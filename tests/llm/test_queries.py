@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilframe.llm import bpe, decontaminate, html_text, licences, near_dup, pii, quality, substring_dedup, token_files, warc
@@ -54,7 +55,6 @@ def nothing(awkward):
 
 def test_op1(spark, small, awkward, nothing):
     tokenizer, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
-    tokenizer.encode_special_tokens = True
     got = by_id(token_files.op1_token_files(spark, small))
     for doc, text in rows(small):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
@@ -106,11 +106,11 @@ def test_op2(spark, small, awkward, nothing):
     odd = sorted(map(tuple, near_dup.near_duplicates(awkward).collect()), key=str)
     assert odd == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 1, None), (4, 977, 4), (4, 977, 4), (5, 977, 4), (6, 1, 6), (7, 1, 6), (8, 1, 8)], key=str)
     assert near_dup.near_duplicates(nothing).count() == 0
-    assert sorted(r.doc_id for r in near_dup.keep_first(awkward).collect() if r.doc_id) == [1, 2, 3, 4, 4, 6, 8]
+    assert sorted(r.doc_id for r in near_dup.keep_first(awkward).collect() if r.doc_id) == [1, 2, 3, 4, 6, 8]
 
 
 def test_large_groups_of_near_copies_lose_no_link(spark):
-    """A bucket far above ``SMALL_BUCKET``: copies of one text with few to many edits, and a pair apart from it."""
+    """A large bucket: copies of one text with few to many edits, and a pair apart from it."""
     rng = np.random.default_rng(6)
     base = [f"b{i}" for i in range(120)]
     texts = []
@@ -164,10 +164,24 @@ def test_op3(spark, small):
     data = [(1, "http://a.b/x", "<p>", 0), (2, "http://a.b/x", "<p>", 0), (3, None, None, 0), (None, "http://q", "<p>", 0), (5, "http://zz.com/?q=1", "Z" * 300_000, 0), (5, "http://zz.com/?q=1", "Z" * 300_000, 0)]
     odd = spark.createDataFrame(data, "page_id bigint, url string, html string, sha int")
     directory = warc.write_archives(odd)
-    kinds = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(directory).collect())
+    everything = warc.look_up(directory, odd.select(warc.key_of(F.col("url")).alias("key")))
+    kinds = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in everything.collect())
     assert kinds == [("1", 3, "revisit", "2"), ("2", 3, "response", None), ("3", 0, "response", None), ("5", 300_000, "response", None), ("5", 300_000, "response", None), ("null", 3, "revisit", "2")]
-    assert sorted(r.page_id for r in warc.look_up(directory, ["http://a.b/x", "http://zz.com/?q=1", "http://no/"]).collect()) == ["1", "2", "5", "5"]
-    assert warc.read_archives(warc.write_archives(odd.limit(0))).count() == 0
+    assert sorted(r.page_id for r in warc.look_up_urls(directory, ["http://a.b/x", "http://zz.com/?q=1", "http://no/"]).collect()) == ["1", "2", "5", "5"]
+    empty = odd.limit(0)
+    assert warc.look_up(warc.write_archives(empty), empty.select(warc.key_of(F.col("url")).alias("key"))).count() == 0
+
+
+def test_keys_are_the_same_in_both_forms_and_find_every_capture(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    urls = ["http://WWW.Example.com:80/a?b=c#d", "https://u:p@x.org", "x", "", None, "ftp://a.b.c./p\tq\nr", "http://[::1]/z", "http://é.fr/É?é", "http://a.b/x"] + ["http://hot.org/"] * 20
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    keyed = pages.withColumn("key", warc.key_of(F.col("url")))
+    assert {r.page_id: r.key for r in keyed.collect()} == {i: warc.url_key(u) for i, u in enumerate(urls)}
+    assert warc.url_key(urls[0]) == "com,example)/a?b=c"
+    directory = warc.write_archives(pages)
+    assert sorted(int(r.page_id) for r in warc.look_up(directory, keyed).collect()) == list(range(len(urls)))
+    assert sorted(int(r.page_id) for r in warc.look_up_urls(directory, ["http://hot.org/", "http://hot.org/", "x"]).collect()) == [2, *range(9, 29)]
 
 
 def removed_by_brute_force(docs):
@@ -254,6 +268,49 @@ def test_op6(spark, small, awkward, nothing):
     assert featured[1].n_words == featured[2].n_words == featured[3].n_words == 0 and featured[4].n_repeat_words == 60_000
 
 
+def votes_by_hand(text):
+    """The seven rules restated: 0 bad, 1 good, 2 abstains."""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    again = len({k + o for k in range(len(w) - 2) for o in range(3) if grams[tuple(w[k : k + 3])] > 1})
+    n, chars, functions = len(w), sum(map(len, w)), len(set(w) & set(quality.FUNCTION_WORDS))
+    signs, shouts = sum(text.count(c) for c in "#*$%&|<>"), text.count("!")
+    upper = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text)
+    same = len(lines) - len(set(lines))
+    three = lambda bad, good: 0 if bad else 1 if good else 2
+    return n < 50 or 100 * again > 50 * n, (
+        three(signs * 5 > n, signs * 50 <= n),
+        three(same * 10 > 3 * len(lines), same * 20 <= len(lines)),
+        three(chars < 3 * n or chars > 12 * n, 4 * n <= chars <= 9 * n),
+        three(again * 5 > n, again * 20 <= n),
+        three(upper * 10 > 3 * chars, upper * 10 <= chars),
+        three(shouts * 10 > n, shouts == 0),
+        three(functions < 2, functions >= 5),
+    )
+
+
+def test_op6_verdicts_are_those_of_an_em_over_documents(spark, small):
+    """The same model document by document in numpy, not over counts of patterns."""
+    docs = {i: votes_by_hand(t or "") for i, t in rows(small)}
+    ids = [i for i, (failed, _) in docs.items() if not failed]
+    votes = np.array([docs[i][1] for i in ids])
+    one_hot = np.stack([votes == v for v in range(3)], 2).astype(float)  # document, rule, vote
+    good, bad = (votes == 1).sum(1), (votes == 0).sum(1)
+    post = (good + 0.5) / (good + 2 * bad + 1)
+    for _ in range(quality.EM_ROUNDS):
+        side = [post, 1 - post]
+        logs = [np.log((np.einsum("d,drv->rv", p, one_hot) + 1) / (p.sum() + 3)) for p in side]
+        ratio = logs[0] - logs[1]
+        ratio[ratio[:, 1] < ratio[:, 0]] = 0
+        score = np.log((side[0].sum() + 1) / (side[1].sum() + 1)) + np.einsum("drv,rv->d", one_hot, ratio)
+        post = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+    expected = dict(zip(ids, post))
+    got = {r.doc_id: (r.base_failed, r.kept, r.p_good) for r in quality.op6_quality_rules(spark, small).collect()}
+    for i, (failed, _) in docs.items():
+        assert got[i][0] == failed and got[i][1] == (not failed and expected[i] >= 0.5)
+        assert failed or abs(got[i][2] - expected[i]) < 1e-6
+
+
 def test_em_finds_the_reliable_rules():
     counts = [((1, 1, 2), 70), ((1, 0, 1), 5), ((0, 0, 2), 20), ((0, 0, 0), 5)]
     prior, ratios = quality.fit(counts)
@@ -273,6 +330,16 @@ def test_op7(spark, small, awkward, nothing):
     for i, t in rows(small):
         found = {known[x] for x in (t or "").split("\n") if x in known}
         assert got[i][2] == ",".join(sorted(found)), i
+    wrapped = spark.createDataFrame(
+        [
+            (1, "Intro line here.\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the software without restriction.\n\nEnd"),
+            (2, "Plain text.\nLicensed under CC BY-SA 4.0.\n" + "long " * 60),
+            (3, "Licensed under the Microsoft Public License.\nThe driver holds a valid license."),
+            (4, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        ],
+        "doc_id bigint, text string",
+    )
+    assert {r.doc_id: r.families for r in licences.scan(wrapped, model=model).collect()} == {1: "mit", 2: "cc-by-sa-4.0", 3: "", 4: "cc-by-nd-4.0"}
     odd = by_id(licences.scan(awkward, model=model))
     assert len(odd) == 9 and all(v[1] == 0 and v[2] == "" for v in odd.values())
     assert licences.scan(nothing, model=model).count() == 0

@@ -78,6 +78,12 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def without_clashes(docs: DataFrame):
+    """(docs with columns named like our own renamed, function that gives a result its names back)."""
+    names = [f"x{i}_{c}" if c.lower().startswith("veil_") else c for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.toDF(*docs.columns)
+
+
 def split_words(text: str) -> list[bytes]:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text in UTF-8; bytes.split() splits at just these bytes."""
     return text.encode("utf-8", "surrogatepass").split()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stage_table, term_words
+from ._common import documents, stage_table, term_words, without_clashes
 from .fm_index import FMIndex
 
 #: words in a window
@@ -166,7 +166,8 @@ def contaminated(hit: str = "veil_hit"):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    return find_spans(docs, benchmark, id_col, text_col).where(~contaminated()).select(*docs.columns)
+    docs, named_back = without_clashes(docs)
+    return named_back(find_spans(docs, benchmark, id_col, text_col).where(~contaminated()).select(*docs.columns))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

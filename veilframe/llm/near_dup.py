@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, drop_table, id_text, mix64, stage_table, word_hashes
+from ._common import documents, drop_table, id_text, mix64, stage_table, without_clashes, word_hashes
 from .components import components
 
 PERMUTATIONS, BAND = 64, 4
@@ -272,6 +272,7 @@ def _crowd_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps one row, of its smallest id; rows with a null id or no words stay."""
+    docs, named_back = without_clashes(docs)
     found = _judged(docs, id_col, text_col, words, percent).where("group is not null").select("group", F.struct("id", "text_hash").alias("row"))
     found = stage_table(found.groupBy("group", "row").agg(F.count("*").alias("times")), "judged")
     firsts = found.groupBy("group").agg(F.min("row").alias("first"))
@@ -279,12 +280,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stage_table(gone.select(F.col("row.id").alias("veil_gone"), F.col("row.text_hash").alias("veil_text"), (F.col("row") == F.col("first")).alias("veil_again")), "dropped")
     drop_table(found)
     same = (docs[id_col] == gone.veil_gone) & (_text_hash(docs[text_col]) == gone.veil_text)
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")  # what goes grows with the corpus
     again = gone.where("veil_again")
     if again.limit(1).count():  # rows that repeat both id and text: one of each stays
         repeated = docs.join(again, same, "left_semi")
         kept = kept.union(repeated.dropDuplicates([id_col, text_col]))
-    return kept
+    return named_back(kept)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

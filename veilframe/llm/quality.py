@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stage_table
+from ._common import documents, stage_table, without_clashes
 
 #: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
@@ -163,7 +163,8 @@ def judged(featured: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judged(stage_table(with_features(docs, text_col), "quality")).where("veil_kept").select(*docs.columns)
+    docs, named_back = without_clashes(docs)
+    return named_back(judged(stage_table(with_features(docs, text_col), "quality")).where("veil_kept").select(*docs.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
