@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veilframe import catalogue
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted((tuple(None if x is None or x != x else str(x) for x in r) for r in df.itertuples(index=False)), key=str)
+    return sorted((tuple(None if pd.isna(x) else str(x) for x in r) for r in df.itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")

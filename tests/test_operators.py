@@ -17,7 +17,7 @@ from veilframe.operators import leaks as L
 from veilframe.operators import proposals as P
 from veilframe.operators import swaps as W
 from veilframe.operators import uniqueness as U
-from veilframe.plans.audit import audit_leaks
+from veilframe.plans.audit import audit_leaks, verify
 from veilframe.sources.tables import read_cases, write_cases
 from veilframe.streaming.stream import audit_stream
 
@@ -267,6 +267,47 @@ def test_gate(spark, tmp_path):
     assert one(back, "t", G.residue(F.lit("eve and ann"), {"Eve Lee": "Ann Lee"})) == [("Ann is fine", ["eve"])]
 
 
+def test_from_audit_to_answer(spark, tmp_path):
+    """Originals, proposed analogues, audit, clearance, release and the way back, over own cases of which each fails in another way."""
+    people = [(1, "Ann Berg"), (2, "Bob Hale"), (3, "Kim Osei"), (4, "Lea Wolf"), (5, "Tom Reyes")]
+    originals = cases(spark, *[(i, n, "north", 7, "medical", f"{n} of north was away.") for i, n in people])
+    new = {1: ("Eve Stone", "south", 8, "medical"), 2: ("Bob Stone", "south", 8, "medical"), 3: ("Ida Field", "south", 2, "other"), 4: ("Una Hart", "north", 7, "medical"), 5: ("Max Lind", "west", 9, "medical")}
+    analogues = cases(spark, *[(i, *new[i], f"{new[i][0]} of {new[i][1]} was away.") for i, _ in people])
+    # a crowd in the south, four in the north and nobody in the west
+    population = spark.createDataFrame([("south", 8, "medical")] * 10 + [("south", 2, "other")] * 6 + [("north", 7, "medical")] * 4, "team string, weeks int, reason string")
+    options = {"allow": ["was away", "of"]}
+    audit = {r.case_id: r for r in audit_leaks(originals, analogues, SCHEMA, population, **options).collect()}
+    scopes = {(r.case_id, r.scope): (r.k, r.flagged) for r in U.estimate_uniqueness(originals, analogues, population, SCHEMA).collect()}
+    assert scopes[1, "analogue"] == (10, False) and scopes[5, "analogue"] == (0, False) and scopes[4, "analogue"] == (4, True)
+    assert scopes[5, "shared_with_original"] == (14, False) and scopes[1, "original"] == (4, False)
+    assert [audit[i].passed for i in range(1, 6)] == [True, False, True, False, True]
+    records = G.new_records(originals, analogues, SCHEMA, b"key")
+    signoffs = G.sign_off(records.where("case_id <> 5"), "Kim", True, at="1").unionByName(G.sign_off(records.where("case_id = 5"), "Kim", False, at="1"))
+    final = verify(originals, analogues, SCHEMA, POLICIES, records, signoffs, population, **options)
+    reasons = {r.case_id: [x.split(":")[0] for x in r.reasons] for r in final.collect()}
+    assert reasons[1] == [] and reasons[3] == ["invariance failed"] and reasons[5] == ["sign-off rejected"]
+    assert "direct leaks" in reasons[2] and "uniqueness flags" in reasons[4]
+    sent = []
+    log = G.release(final, analogues, SCHEMA, lambda text: sent.append(text) or "Eve Stone may go; ask EVE STONE.", str(tmp_path / "log"), "May they go?")
+    assert len(sent) == 1 and "Ann" not in sent[0] and {r.case_id for r in G.refusals(final, analogues, SCHEMA).collect()} == {2, 3, 4, 5}
+    pairs = C.string_pairs(originals, analogues, SCHEMA).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("analogue", "original"))).alias("mapping"))
+    back = G.back_map_by_case(log, pairs).first()
+    assert back.back_mapped == "Ann Berg may go; ask Ann Berg." and back.replacements == {"eve stone": 2} and back.residue == []
+    assert not {"mapping", "note", "original_fp"} & set(G.shareable(final).columns)
+
+
+def test_requests_are_repeated(spark):
+    def post(url, body, timeout):
+        post.calls = getattr(post, "calls", 0) + 1
+        if post.calls < 3:
+            raise OSError("busy")
+        return {"message": {"content": '{"fields": {"person": "Eve", "team": "t", "weeks": 3, "reason": "flu"}}'}}
+
+    df = cases(spark, (1, "Ann", "crew", 3, "flu", ""))
+    assert P.LocalModelTransformer("m", post=post, pause=0).transform(df, SCHEMA).first().person == "Eve"
+    assert P.LocalModelTransformer("m", post=post, retries=1, pause=0).transform(df, SCHEMA).first().error == "OSError: busy"
+
+
 def test_a_failing_send_keeps_the_answers_before_it(spark, tmp_path):
     pair = [cases(spark, *[(i, n, "x", 7, "m", "") for i in range(5)]) for n in ("Ann", "Eve")]
     records = G.new_records(*pair, SCHEMA).withColumns({"status": F.lit("cleared"), "signoff": F.lit("approved")})
