@@ -6,7 +6,7 @@ all windows are searched backwards at once, occurrences are located by sampled s
 their spans are merged for each document.
 
 The windows travel to the workers while the benchmark is below ``BLOCK_BYTES`` of text, which is counted
-first; a larger benchmark is cut into blocks that are searched one after the other.
+first; a larger benchmark is cut into blocks that are searched one after the other, of which only hits are kept.
 
 Defined results: null, empty and wordless documents have no hits; null and wordless items have no window; a null
 id is kept, a null item id counts as the empty string; items that repeat an id or a text are all looked for; each repeated row is judged alike;
@@ -97,16 +97,6 @@ class Windows:
         return found
 
 
-def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for x, y in sorted(map(tuple, a + b)):
-        if out and x <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], y)
-        else:
-            out.append([x, y])
-    return out
-
-
 _FOUND = "n_words bigint, spans array<array<bigint>>, items array<string>"
 
 
@@ -115,44 +105,48 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    kinds = docs.select("*", F.lit(None).cast(f"struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>").alias("veil_hit"))
-    schema, at_text = kinds.schema, docs.columns.index(text_col)
-    out = kinds
+    if n_blocks == 1:
+        return _with_hits(docs, text_col, [tuple(r) for r in items.collect()], window)
+    # a larger benchmark is read in blocks: each leaves keys and hits only, which meet the documents once
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("n"), text.alias("text"))
+    every = None
     for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
-        rows = [tuple(r) for r in part.collect()]  # BLOCK_BYTES or so, however large the benchmark is
-
-        def run(batches, rows=rows):
-            windows = Windows(rows, window)
-            hit_type = None
-
-            def shard(held):
-                words = [term_words(t or "") for _, _, t in held]
-                out = []
-                for (_, before, _), w, (spans, named) in zip(held, words, windows.find(words)):
-                    if before:
-                        spans, named = _merge(before["spans"], spans), sorted({*before["items"], *named})
-                    out.append({"n_words": len(w), "spans": spans, "items": named})
-                return out
-
-            for batch in batches:
-                hit_type = batch.schema.field("veil_hit").type
-                texts, before = batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                k = 0
-                while k < len(texts):
-                    held, chars = [], 0
-                    first = k
-                    while k < len(texts) and chars < SHARD_CHARS:
-                        held.append((k, before[k], texts[k]))
-                        chars += len(texts[k] or "")
-                        k += 1
-                    columns = [c.slice(first, k - first) for c in batch.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(shard(held), hit_type)], schema=batch.schema)
-
-        out = out.mapInArrow(run, schema)
-        if n_blocks > 1:
-            out = stage_table(out, f"hits{block}")
-    return out
+        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).collect()]  # BLOCK_BYTES or so
+        hits = _with_hits(keyed, "text", rows, window).select("id", "hash", "n", "veil_hit.*")
+        hits = stage_table(hits if block == 0 else hits.where(F.size("spans") > 0), f"hits{block}")
+        every = hits if every is None else every.unionByName(hits)
+    merged = F.aggregate(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))),
+        F.array().cast("array<array<bigint>>"),
+        lambda out, x: F.when((F.size(out) > 0) & (x[0] <= F.get(F.get(out, F.size(out) - 1), F.lit(1))), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(F.get(out, F.size(out) - 1)[0], F.greatest(F.get(out, F.size(out) - 1)[1], x[1]))))).otherwise(F.concat(out, F.array(x))),
+    )
+    found = every.groupBy("id", "hash", "n").agg(F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = stage_table(found.select(F.col("id").alias("veil_id"), F.col("hash").alias("veil_hash"), F.col("n").alias("veil_n"), F.struct("n_words", "spans", "items").alias("veil_hit")), "hits")
+    same = docs[id_col].eqNullSafe(found.veil_id) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found.veil_hash) & (F.length(F.coalesce(docs[text_col], F.lit(""))) == found.veil_n)
+    return docs.join(found.hint("merge"), same).select(*[docs[c] for c in docs.columns], "veil_hit")
+
+
+def _with_hits(docs: DataFrame, text_col: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+    """``docs`` with ``veil_hit`` for the items given."""
+    kinds = docs.select("*", F.lit(None).cast(f"struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>").alias("veil_hit"))
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        windows = Windows(items, window)
+        for batch in batches:
+            texts, k = [t or "" for t in batch.column(at_text).to_pylist()], 0
+            while k < len(texts):
+                first, chars = k, 0
+                while k < len(texts) and chars < SHARD_CHARS:
+                    chars += len(texts[k])
+                    k += 1
+                words = [term_words(t) for t in texts[first:k]]
+                hits = [{"n_words": len(w), "spans": spans, "items": sorted(set(named))} for w, (spans, named) in zip(words, windows.find(words))]
+                columns = [c.slice(first, k - first) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, batch.schema.field("veil_hit").type)], schema=batch.schema)
+
+    return kinds.mapInArrow(run, kinds.schema)
 
 
 def hit_words(spans: str = "veil_hit.spans"):
