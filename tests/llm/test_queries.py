@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilframe.llm import bpe, decontaminate, html_text, licences, near_dup, pii, quality, substring_dedup, token_files, warc
+from veilframe.llm import bpe, decontaminate, html_text, licences, near_dup, pii, quality, queries, substring_dedup, token_files, warc
 from veilframe.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,18 @@ def test_added_tokens_are_read_as_the_library_does(spark):
     assert at == 24
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_registered_sql(spark, small, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    expected = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in expected.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(expected.fetchall(), key=str)
+
+
 def similar(sets, percent):
     ids = sorted(sets)
     parent = {i: i for i in ids}

@@ -362,4 +362,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count("rules", k).alias(f"n_{k}") for k in RULE_KINDS],
         F.sha2(_listed("rules").cast("binary"), 256).alias("base_sha256"),
         _listed("every").alias("spans"),
+        F.size("every").cast("bigint").alias("n_spans"),
     )
