@@ -217,9 +217,14 @@ def digest_order_independent(spark, sf_dir):
     return C.with_digest(other, SCHEMA).where("digest = other").agg(F.count("*").alias("same"))
 
 
-@_query()
+_KEY = b"a key of this query"
+#: the two padded keys of HMAC-SHA-256, as hex
+_INNER, _OUTER = (bytes(x ^ pad for x in _KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@_query(f"WITH {_WITH} SELECT case_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({_CANON})))) AS digest FROM o")
 def keyed_digest(spark, sf_dir):
-    return C.with_keyed_digest(originals(spark, sf_dir), SCHEMA, b"a key of this query").select("case_id", "digest")
+    return C.with_keyed_digest(originals(spark, sf_dir), SCHEMA, _KEY).select("case_id", "digest")
 
 
 @_query(f"WITH {_WITH} SELECT case_id, narrative || chr(10) || chr(10) || 'name: ' || name || chr(10) || 'nation: ' || CAST(nation AS VARCHAR) || chr(10) || 'segment: ' || segment || chr(10) || 'balance: ' || CAST(balance AS VARCHAR) AS text FROM o")
