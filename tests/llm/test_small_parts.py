@@ -47,7 +47,7 @@ def test_pieces_of_odd_texts(monkeypatch, change):
     """Texts cut into many windows, pieces that all share one hash, and a table that has no room."""
     rng = random.Random(7)
     parts = [" ", " ", "  ", "\n", "\n\n", "\t", "a", "The", "é", "ñ ", "'s", "12", ".", ",", "!?", "\u0085", "\u00a0", "\u2003", "—", "”", "“", "\u3000", "\u180e", "\x1f", "\x00", "日本", "😀", "\r\n", "(", ")", ";"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)] + ["word " * 400 + "end"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)] + ["word " * 400 + "end", "a b " + "x" * 3000 + " c d", "end"]
     if change == "windows":
         monkeypatch.setattr(_pieces, "WINDOW_CHARS", 200)
     elif change == "equal hashes":

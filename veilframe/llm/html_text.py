@@ -42,8 +42,8 @@ _ARTICLES = frozenset(("article", "main"))
 _REGIONS = frozenset("html body main article section div center td fieldset details blockquote".split())
 #: words of class and id that mark boilerplate, and those of them that pages also give to an article's frame
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors banner banners cookie cookies consent gdpr sidebar side-bar menu menus nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead siteheader pageheader comment comments reply replies respond newsletter subscribe subscription pagination pager toolbar skiplink login signup".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors banner banners cookie cookies consent gdpr sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer "
+    "masthead siteheader sitefooter pageheader topbar disqus adsbygoogle comment comments reply replies respond newsletter subscribe subscription pagination pager toolbar skiplink login signup".split()
 )
 _MAYBE = frozenset("promo promos promotion notice notices alert popup modal overlay discussion share sharing social related recommended recommendations widget widgets".split())
 #: what follows a marking word in the name of a box of that kind, as in comment-list; other words make it another thing, as in notice-period
@@ -62,6 +62,8 @@ _NO, _PERHAPS, _SURELY = 0, 1, 2
 def _name_mark(name: str) -> int:
     """Mark of one class or id: a marking word at its end, or followed by words for boxes only."""
     words, found = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()), _NO
+    if "".join(words) in _MARKS:
+        return _SURELY
     for w in reversed(words):
         if w in _MARKS:
             return _SURELY
