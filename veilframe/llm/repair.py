@@ -42,9 +42,14 @@ def compress(ids: np.ndarray, end: int, first_new: int) -> tuple[np.ndarray, np.
             keep = np.ones(len(at), bool)
             keep[same[_odd_places(again, symbols, after, before)]] = False
             at, left, right = at[keep], left[keep], right[keep]
-        keys = left << 32 | right
-        order = np.argsort(keys)
-        in_order = keys[order]
+        bits, places = (first_new + n_rules).bit_length(), len(at).bit_length()
+        keys = left << bits | right
+        if 2 * bits + places < 64:  # key and place in one number: sorting numbers is faster than sorting places
+            packed = np.sort(keys << places | np.arange(len(keys)))
+            order, in_order = packed & (1 << places) - 1, packed >> places
+        else:
+            order = np.argsort(keys)
+            in_order = keys[order]
         first = np.flatnonzero(np.diff(in_order, prepend=-1))
         counts = np.diff(first, append=len(keys))
         often = counts >= LEAST
@@ -66,7 +71,7 @@ def compress(ids: np.ndarray, end: int, first_new: int) -> tuple[np.ndarray, np.
         chosen &= enough[own]
         where, number = at[chosen], np.cumsum(enough) - 1
         made = keys[enough]
-        rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
+        rules.append(np.stack([made >> bits, made & (1 << bits) - 1], 1))
         symbols[where] = first_new + n_rules + number[own[chosen]]
         n_rules += len(made)
         gone = after[where]
