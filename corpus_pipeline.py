@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next stage's ``docs``: a lost executor never costs more than the stage it was working on.
 
 Defined results: null and empty texts fail the quality rules and go with them; rows with a null doc_id stay
-unless a stage rejects their text; an empty table gives no rows; further columns of ``documents`` pass through to the last stage.
+unless a stage rejects their text; of rows that repeat an id and a text one stays; an empty table gives no rows; further columns
+of ``documents``, whatever their names, pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL cannot express the stages; tests compare them with brute force
+#: SQL cannot express the stages; the tests hold each against a plain version of it
 ORACLE_SQL = None
 
 

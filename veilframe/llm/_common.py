@@ -11,9 +11,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: bound on memo tables kept by a Python worker (entries); a full table is emptied and refilled
-MEMO_ENTRIES = 400_000
-
 _own_dir: str | None = None
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

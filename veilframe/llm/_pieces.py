@@ -270,6 +270,11 @@ class PieceEncoder:
             while at < len(text):
                 cut = _SAFE_SPACE.search(text, at + WINDOW_CHARS) if len(text) - at > WINDOW_CHARS else None
                 end = cut.start() if cut else len(text)
+                if end - at > 4 * WINDOW_CHARS:  # hardly a space in it: nothing to remember
+                    flush()
+                    out[k].append(self._plainly([text[at:end].encode("utf-8", "replace").decode()])[0].astype("<u4").tobytes())
+                    at = end
+                    continue
                 raws.append(text[at:end].encode("utf-8", "replace"))
                 owners.append(k)
                 chars += end - at

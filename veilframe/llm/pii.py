@@ -32,7 +32,6 @@ TIME = 64
 BATCHES, ROWS = 340, 48
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, which can only match from where a run of digits starts: linear in long runs
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
