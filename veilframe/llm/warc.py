@@ -36,7 +36,7 @@ _RECORD = "page_id string, url string, payload_bytes bigint, payload_digest stri
 
 
 #: host, path and query of a URL
-_URL = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)(\\?[^#]*)?"
+_URL = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\\[\\]]*)(?![^/?#:])(?::[0-9]*)?([^?#]*)(\\?[^#]*)?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: characters that would end a line or a field of the index
 _ESCAPES = (("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
