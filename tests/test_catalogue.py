@@ -45,7 +45,7 @@ def test_contains_run_finds_short_items(spark, tmp_path):
     assert got == normal(con.execute(catalogue.ORACLE_SQL["contains_run"]).df()) and len(got) == 8
 
 
-@pytest.mark.parametrize("name", ["case_digest_doubles"])
+@pytest.mark.parametrize("name", ["case_digest_doubles", "case_json_typed"])
 def test_amounts_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
     amounts = [-0.01, -0.49, -0.5, -0.51, -0.0, 0.0, 0.01, 0.49, 0.5, -1.5, 2.5, 9999.99]
     rows = [(k, f"Customer#{k}", x) for k, x in enumerate(amounts)]
