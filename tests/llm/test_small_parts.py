@@ -122,6 +122,16 @@ def test_runs_and_long_passages_are_compressed():
     assert grammar.expand(symbols).tolist() == np.tile(passage, 2000).tolist() and grammar.sizes[100:].max() > repair.SHORT
 
 
+def test_opening_a_deep_rule_does_not_copy_the_other_symbols(monkeypatch):
+    rules = np.array([[3, 4], *([10 + k, 3 + k % 5] for k in range(499))])
+    symbols, moved, repeat = np.append(np.full(20_000, 5), 10 + len(rules) - 1), [], np.repeat
+    expected = [5] * 20_000 + [3, 4] + [3 + k % 5 for k in range(499)]
+    grammar = repair.Grammar(rules, 10)
+    monkeypatch.setattr(np, "repeat", lambda a, n: moved.append(len(a)) or repeat(a, n))
+    assert grammar.expand(symbols).tolist() == expected
+    assert sum(moved) < 20 * len(symbols)
+
+
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=4), st.lists(st.integers(0, 2), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_matching_statistics(sequences, text):

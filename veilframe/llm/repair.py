@@ -28,62 +28,69 @@ def _odd_places(at: np.ndarray, symbols: np.ndarray, after: np.ndarray, before:
 def compress(ids: np.ndarray, end: int, first_new: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k stands for symbol first_new + k and holds two symbols. ``end`` is never part of a pair."""
     n = len(ids)
-    symbols = np.append(ids, end).astype(np.int64)  # a sequence linked both ways; slot n ends it
+    symbols = np.append(ids, end).astype(np.int32)  # a sequence linked both ways; slot n ends it
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     alive, rules, n_rules = np.ones(n, bool), [], 0
     none = np.int32(2**31 - 1)
     rank_at = np.full(n + 2, none, np.int32)  # slots n and -1: no pair
-    at = np.flatnonzero((symbols[:-1] != end) & (symbols[1:] != end))  # left ends of pairs that may still be frequent
-    while len(at):
-        left, right = symbols[at], symbols[after[at]]
-        same = np.flatnonzero(left == right)
+    at = np.arange(n)  # left ends of pairs that may still be frequent
+    while True:
+        left, right = symbols.take(at), symbols.take(after.take(at))
+        keep = (left != end) & (right != end)
+        same = np.flatnonzero((left == right) & keep)
         again = at[same]
         if len(same):
-            keep = np.ones(len(at), bool)
             keep[same[_odd_places(again, symbols, after, before)]] = False
+        if not keep.all():
             at, left, right = at[keep], left[keep], right[keep]
+        if not len(at):
+            break
         bits, places = (first_new + n_rules).bit_length(), len(at).bit_length()
-        keys = left << bits | right
+        keys = left.astype(np.int64) << bits | right
         if 2 * bits + places < 64:  # key and place in one number: sorting numbers is faster than sorting places
             packed = np.sort(keys << places | np.arange(len(keys)))
             order, in_order = packed & (1 << places) - 1, packed >> places
         else:
-            order = np.argsort(keys)
+            order = np.argsort(keys, kind="stable")
             in_order = keys[order]
-        first = np.flatnonzero(np.diff(in_order, prepend=-1))
+        first = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
         counts = np.diff(first, append=len(keys))
         often = counts >= LEAST
-        n_often = int(often.sum())
-        if not n_often:
+        if not often.any():
             break
-        rank = np.full(len(counts), none, np.int32)
-        by_rank = np.argsort(-counts[often], kind="stable")
-        rank[np.flatnonzero(often)[by_rank]] = np.arange(n_often)
-        own = np.empty(len(at), np.int32)
-        own[order] = np.repeat(rank, counts)
-        frequent = own < none
-        at, own, keys = at[frequent], own[frequent], in_order[first[often]][by_rank]
+        # from here on pair by pair, each pair's places ascending
+        at = at[order[np.repeat(often, counts)]]
+        keys, counts = in_order[first[often]], counts[often]
+        by_rank = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(keys), np.int32)
+        rank[by_rank] = np.arange(len(keys))
+        own = np.repeat(rank, counts)
         rank_at[at] = own
-        chosen = (own < rank_at[before[at]]) & (own < rank_at[after[at]])
+        chosen = (own < rank_at.take(before.take(at))) & (own < rank_at.take(after.take(at)))
         rank_at[at] = none
-        places = np.bincount(own[chosen], minlength=n_often)
+        places = np.add.reduceat(chosen, np.cumsum(counts) - counts, dtype=np.int64)
         enough = places >= LEAST
-        chosen &= enough[own]
-        where, number = at[chosen], np.cumsum(enough) - 1
-        made = keys[enough]
+        chosen &= np.repeat(enough, counts)
+        where, number = at[chosen], np.empty(len(keys), np.int32)
+        number[by_rank] = np.cumsum(enough[by_rank]) - 1
+        made = keys[by_rank][enough[by_rank]]
         rules.append(np.stack([made >> bits, made & (1 << bits) - 1], 1))
-        symbols[where] = first_new + n_rules + number[own[chosen]]
+        symbols[where] = np.repeat(first_new + n_rules + number[enough], places[enough])
         n_rules += len(made)
         gone = after[where]
         alive[gone] = False
         after[where] = follower = after[gone]
         before[follower] = where
         # open from now on: what was frequent, what touches a new symbol, and what a run has skipped
-        open_ = np.zeros(n + 1, bool)
-        open_[at] = open_[again] = open_[where] = True
-        open_[before[where]] = True  # slot -1 is cleared below
-        at = np.flatnonzero(open_[:n] & alive)
-        at = at[(symbols[at] != end) & (symbols[after[at]] != end)]
+        if 16 * (len(at) + len(again)) < n:
+            at = np.sort(np.concatenate([at, again, where, before[where]]))
+            at = at[(at >= 0) & (at != np.concatenate([[-1], at[:-1]]))]
+            at = at[alive[at]]
+        else:
+            open_ = np.zeros(n + 1, bool)
+            open_[at] = open_[again] = open_[where] = True
+            open_[before[where]] = True  # slot -1 is cleared below
+            at = np.flatnonzero(open_[:n] & alive)
     found = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return symbols[:n][alive], found
 
@@ -133,12 +140,19 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
-        while True:
-            long = self.sizes[symbols] > SHORT
-            if not long.any():
-                return _copy_ranges(self.flat, self.starts[symbols], self.sizes[symbols])
-            at = np.flatnonzero(long)
-            opened = np.repeat(symbols, 1 + long)
-            where = at + np.arange(len(at))
-            opened[where], opened[where + 1] = self.rules[symbols[at] - self.first_new].T
-            symbols = opened
+        long = self.sizes.take(symbols) > SHORT
+        if long.any():
+            parts = symbols[long]
+            owners = np.arange(len(parts))
+            while len(at := np.flatnonzero(self.sizes.take(parts) > SHORT)):
+                times = np.ones(len(parts), np.int64)
+                times[at] = 2
+                rules = self.rules[parts[at] - self.first_new]
+                parts, owners = np.repeat(parts, times), np.repeat(owners, times)
+                where = at + np.arange(len(at))
+                parts[where], parts[where + 1] = rules.T
+            times = np.ones(len(symbols), np.int64)
+            times[long] = np.bincount(owners)
+            symbols, long = np.repeat(symbols, times), np.repeat(long, times)
+            symbols[long] = parts
+        return _copy_ranges(self.flat, self.starts.take(symbols), self.sizes.take(symbols))
