@@ -53,3 +53,13 @@ def test_amounts_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert normal(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(con.execute(catalogue.ORACLE_SQL[name]).df())
+
+
+def test_case_json_typed_writes_any_amount_as_its_sql(spark, tmp_path):
+    amounts = [539939.0, -377509.0, 1e8, 2e8, -8.851943143192172e17, 1.4106225656e17, 9.5e-5, 1e16, 5e-324, float("nan"), float("inf"), float("-inf"), 1.7e300, None, 1.0]
+    rows = [(k, f"Customer#{k}", x) for k, x in enumerate(amounts)] + [(99, None, 1.25)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = normal(catalogue.case_json_typed(spark, str(tmp_path)).toPandas())
+    assert got == normal(con.execute(catalogue.ORACLE_SQL["case_json_typed"]).df()) and len(got) == 16

@@ -347,6 +347,20 @@ def test_digests_tell_close_doubles_apart(spark):
     assert texts == [None if v is None else repr(v) for v in values]
 
 
+def test_numbers_have_the_fewest_digits_everywhere(spark):
+    schema = C.CaseSchema.of({"x": C.DECISION, "y": C.CONTEXTUAL})
+    rows = [(1, 5.39939e20, 0.1), (2, 2e23, 1e-5), (3, None, None), (4, float("nan"), float("-inf")), (5, 5e-324, 16777216.0)]
+    df = C.as_cases(spark.createDataFrame(rows, "case_id bigint, x double, y float"), schema)
+    texts = {1: ("5.39939e+20", "0.1"), 2: ("2e+23", "1e-05"), 3: (None, None), 4: ("nan", "-inf"), 5: ("5e-324", "16777216.0")}
+    long = {(r.case_id, r.field): r.v for r in C.to_long(df, schema).collect()}
+    assert long == {(k, f): t for k, both in texts.items() for f, t in zip("xy", both)}
+    assert {r.case_id: r.t for r in df.select("case_id", C.render(df, schema).alias("t")).collect()} == {k: f"x: {x}\ny: {y}" for k, (x, y) in texts.items()}
+    assert C.text_sources(df, schema).count() == 8
+    quoted, bare = ({r.case_id: r.t for r in df.select("case_id", C.to_json(df, schema, typed=True, bare=b).alias("t")).collect()} for b in (False, True))
+    assert quoted[4] == bare[4].replace("nan", '"nan"').replace("-inf", '"-inf"') and quoted[1] == bare[1]
+    assert [f["value"] for f in json.loads(quoted[5])["fields"]] == [5e-324, 16777216.0]
+
+
 def test_swap_tables_fold_both_sides(spark):
     df = cases(spark, (1, "Groß", "crew", 3, "flu", ""), (2, "GROSS", "crew", 3, "flu", ""))
     rows = W.RuleBasedTransformer({"person": {"Groß": "Klein"}}).transform(df, SCHEMA).collect()

@@ -111,16 +111,20 @@ def with_narrative(df: DataFrame, narrative: Column) -> DataFrame:
 
 
 def text_of(column: Column, kind: T.DataType) -> Column:
-    """A value as text. Doubles have all digits that tell them apart: plain from 1e-4 to 1e16, else as 1e-11."""
+    """A value as text. Doubles have the fewest digits that tell them apart: plain from 1e-4 to 1e16, else as 1e-11.
+
+    Python writes them, since the JVM's own text has digits too many before Java 19 (5.3993900000000003E20 for 5.39939e20).
+    """
     if not isinstance(kind, (T.DoubleType, T.FloatType)):
         return column.cast("string")
-    shortest, size = column.cast("string"), F.abs(column)  # like 1.0E-11
-    mantissa, power = F.regexp_replace(shortest, "(\\.0)?E.*$", ""), F.regexp_extract(shortest, "E(-?\\d+)$", 1)
-    places = F.regexp_replace(F.regexp_replace(power, "-", ""), "^(\\d)$", "0$1")
-    scientific = F.concat(mantissa, F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")), places)
-    plain = F.regexp_replace(F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), "0+$", ""), "\\.$", ".0")
-    named = F.when(F.isnan(column), F.lit("nan")).when(column == float("inf"), F.lit("inf")).when(column == float("-inf"), F.lit("-inf"))
-    return F.when(column.isNull(), F.lit(None).cast("string")).when(named.isNotNull(), named).when(size == 0, shortest).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
+    single = isinstance(kind, T.FloatType)
+
+    @F.pandas_udf("string")
+    def shortest(values: pd.Series) -> pd.Series:
+        exact = map(float, map(str, values.to_numpy("float32"))) if single else values.tolist()
+        return pd.Series([repr(x) for x in exact], dtype=object)
+
+    return F.when(column.isNotNull(), shortest(column))  # a null arrives as nan
 
 
 def to_long(df: DataFrame, schema: CaseSchema) -> DataFrame:
@@ -178,8 +182,11 @@ def render(df: DataFrame, schema: CaseSchema, hide: Iterable[str] = ()) -> Colum
     return F.concat_ws("\n", F.when(F.col("narrative") != "", F.concat(F.col("narrative"), F.lit("\n"))), *lines)
 
 
-def to_json(df: DataFrame, schema: CaseSchema, typed: bool = False) -> Column:
-    """A case as JSON; values are texts, or with ``typed`` JSON numbers, booleans, strings and nulls."""
+def to_json(df: DataFrame, schema: CaseSchema, typed: bool = False, bare: bool = False) -> Column:
+    """A case as JSON; values are texts, or with ``typed`` JSON numbers, booleans, strings and nulls.
+
+    JSON has no nan and inf: they are strings, or with ``bare`` stand as numbers do, which not every reader takes.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     if not typed:
         fields = [F.struct(F.lit(n).alias("name"), F.lit(r).alias("role"), text_of(F.col(n), kinds[n]).alias("value")) for n, r in schema.roles]
@@ -189,7 +196,7 @@ def to_json(df: DataFrame, schema: CaseSchema, typed: bool = False) -> Column:
     def value(n: str) -> Column:
         text = text_of(F.col(n), kinds[n])
         if isinstance(kinds[n], (T.DoubleType, T.FloatType)):
-            out = F.when(text.rlike("nan|inf"), quoted(text)).otherwise(text)  # JSON has no such numbers
+            out = text if bare else F.when(text.rlike("nan|inf"), quoted(text)).otherwise(text)
         elif isinstance(kinds[n], (T.NumericType, T.BooleanType)):
             out = text
         else:
