@@ -137,20 +137,31 @@ class CharTagger:
             g |= {f"x{d}": g_x, f"h{d}": g_h, f"b{d}": g_b}
         return loss, g
 
-    def train(self, batches, rate: float = 0.02) -> list[float]:
-        """Adam over an iterable of (idx, gold), both (rows, time)."""
+    def train(self, batches, n_batches: int, rate: float = 0.02) -> list[float]:
+        """Adam over an iterable of ``n_batches`` (idx, gold), both (rows, time).
+
+        The rate falls to zero over the second half and the weights are the mean of the last two fifths of the steps: at a
+        constant rate the last step's weights differ with the rounding of a machine's products, and so do the spans.
+        """
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        total, summed = {k: np.zeros(v.shape) for k, v in self.p.items()}, 0
         losses = []
         for n, (idx, gold) in enumerate(batches, 1):
             loss, g = self._gradients(idx, gold)
             losses.append(loss)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            now, late = rate * min(1.0, 2 * (1 - (n - 1) / n_batches)), n > 0.6 * n_batches
             for k in self.p:
                 x = g[k] * min(1.0, 5 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v2[k] = 0.99 * v2[k] + 0.01 * x * x
-                self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v2[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**n)) / (np.sqrt(v2[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                if late:
+                    total[k] += self.p[k]
+            summed += late
+        if summed:
+            self.p = {k: (v / summed).astype(np.float32) for k, v in total.items()}
         return losses
 
     def best_paths(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:

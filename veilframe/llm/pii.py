@@ -185,9 +185,9 @@ def training_batches(n: int, rows: int, seed: int = 11):
 
 @lru_cache(maxsize=1)
 def trained_tagger() -> CharTagger:
-    """The tagger, trained once in a process; the same seeds give the same weights."""
+    """The tagger, trained once in a process; the same seeds give the same weights but for a machine's rounding."""
     tagger = CharTagger(KINDS)
-    tagger.train(training_batches(BATCHES, ROWS))
+    tagger.train(training_batches(BATCHES, ROWS), BATCHES)
     return tagger
 
 
