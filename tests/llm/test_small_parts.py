@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veilframe.llm import _pieces, bpe, html_text, licence_texts, licences, near_dup, pii, repair, substring_dedup, token_files, warc
+from veilframe.llm import _pieces, bpe, decontaminate, html_text, licence_texts, licences, near_dup, pii, repair, substring_dedup, token_files, warc
 from veilframe.llm._common import range_hashes, split_words, term_words, word_hashes
 from veilframe.llm.automaton import SuffixAutomaton
 from veilframe.llm.char_tagger import CharTagger
@@ -153,6 +154,18 @@ def test_fm_index_counts_and_locates(runs, pattern):
     assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == expected
 
 
+def test_windows_that_occur_at_every_word_take_little_memory():
+    windows, texts = decontaminate.Windows([("x", "a"), ("y", "a a a")], 13), [[b"a"] * 50_000 for _ in range(2)]
+    tracemalloc.start()
+    try:
+        found = windows.find(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [([[0, 50_000]], ["x", "y"])] * 2
+    assert peak < 200 * 100_000  # bytes a word
+
+
 def test_equal_windows_share_their_anchor():
     rng = random.Random(2)
     shared = [f"w{rng.randrange(99)}" for _ in range(70)]

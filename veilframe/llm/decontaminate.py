@@ -31,6 +31,8 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: characters of documents in one shard
 SHARD_CHARS = 4_000_000
+#: occurrences that are located at once
+SOME = 1 << 16
 
 
 class Windows:
@@ -68,32 +70,27 @@ class Windows:
             return found
         index = FMIndex(np.concatenate(pieces))
         run_at, run_doc, shift = np.array([o[0] for o in owners]), np.array([o[1] for o in owners]), np.array(starts)
-        spans, hits = [], []
+        # spans that meet are one, so words are counted as covered; each run ends with a separator, which never is
+        change = np.zeros(size + 1, np.int64)
+        named: dict[int, set[str]] = {}
         for length, windows, items in self.groups:
             low, high = index.search(windows)
-            which = np.repeat(np.arange(len(windows)), high - low)
-            if not len(which):
-                continue
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            at = index.locate(low[which] + offset)
-            run = np.searchsorted(run_at, at, side="right") - 1
-            doc, start = run_doc[run], at - shift[run]
-            spans.append(np.stack([doc, start, start + length], 1))
-            pairs = np.unique(np.stack([doc, which], 1), axis=0)
-            hits += [(d, items[w]) for d, w in pairs.tolist()]
-        if spans:
-            every = np.unique(np.concatenate(spans), axis=0)
-            for d, a, b in every.tolist():
-                own = found[d][0]
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
-            named: dict[int, set[str]] = {}
-            for d, some in hits:
-                named.setdefault(d, set()).update(some)
-            for d, some in named.items():
-                found[d][1].extend(sorted(some))
+            ends = np.cumsum(high - low)
+            for a in range(0, int(ends[-1]), SOME):  # a window may occur at each word
+                occurrence = np.arange(a, min(a + SOME, int(ends[-1])))
+                which = np.searchsorted(ends, occurrence, side="right")
+                at = index.locate(high[which] - ends[which] + occurrence)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + length, -1)
+                doc = run_doc[np.searchsorted(run_at, at, side="right") - 1]
+                for pair in np.unique(doc * len(windows) + which).tolist():
+                    named.setdefault(pair // len(windows), set()).update(items[pair % len(windows)])
+        edges = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False))
+        run = np.searchsorted(run_at, edges[::2], side="right") - 1
+        for d, a, b in zip(run_doc[run].tolist(), (edges[::2] - shift[run]).tolist(), (edges[1::2] - shift[run]).tolist()):
+            found[d][0].append([a, b])
+        for d, some in named.items():
+            found[d][1].extend(sorted(some))
         return found
 
 
@@ -135,13 +132,14 @@ def _with_hits(docs: DataFrame, text_col: str, items: list[tuple[str, str]], win
     def run(batches):
         windows = Windows(items, window)
         for batch in batches:
-            texts, k = [t or "" for t in batch.column(at_text).to_pylist()], 0
+            texts, k = batch.column(at_text), 0
             while k < len(texts):
-                first, chars = k, 0
+                first, chars, words = k, 0, []
                 while k < len(texts) and chars < SHARD_CHARS:
-                    chars += len(texts[k])
+                    text = texts[k].as_py() or ""
+                    words.append(term_words(text))
+                    chars += len(text)
                     k += 1
-                words = [term_words(t) for t in texts[first:k]]
                 hits = [{"n_words": len(w), "spans": spans, "items": sorted(set(named))} for w, (spans, named) in zip(words, windows.find(words))]
                 columns = [c.slice(first, k - first) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, batch.schema.field("veil_hit").type)], schema=batch.schema)
