@@ -65,6 +65,15 @@ def test_op1(spark, small, awkward, nothing):
     assert token_files.read_tokens(token_files.write_tokens(nothing)).count() == 0
 
 
+def test_the_directory_of_token_files_has_few_files(spark):
+    spark = spark.newSession()  # settings of its own
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    directory = token_files.write_tokens(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")))
+    assert directory.count() > 20 and len(directory.inputFiles()) <= token_files.DIRECTORY_FILES + 1
+    assert token_files.read_tokens(directory).select("doc_id", "start").orderBy("doc_id").collect() == [(k, 3 * k) for k in range(400)]
+
+
 def test_added_tokens_are_read_as_the_library_does(spark):
     tokenizer, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
     texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "<|endoftext", "after"]

@@ -4,6 +4,7 @@ import random
 import re
 import time
 import tracemalloc
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -84,6 +85,30 @@ def test_token_ids_match_the_tokenizers_library():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_go_to_the_model_without_a_search_for_matches(monkeypatch):
+    encoder, _ = token_files._encoder(token_files.default_vocabulary())
+    searched, plainly = [], encoder._encode_texts
+    monkeypatch.setattr(encoder, "_table", _pieces._Table())
+    monkeypatch.setattr(encoder, "_encode_texts", lambda texts: searched.extend(texts) or plainly(texts))
+    text = "Überall stehen plain words señor привет žluťoučký ångström end"
+    ids = encoder.encode([text])[0]
+    assert not searched
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(token_files.default_vocabulary()).encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(alphabet="abZ éÿÀ×÷ſπяҁҀЀѿ҂'s.$1\n\u00a0語", max_size=12), max_size=30))
+@settings(max_examples=80, deadline=None)
+def test_words_alone_are_single_matches(parts):
+    raws = [x.encode() for x in parts if x]
+    if raws:
+        starts = np.cumsum([0, *map(len, raws)])[:-1]
+        alone = _pieces.words_alone(np.frombuffer(b"".join(raws), np.uint8), starts).tolist()
+        assert alone == [bool(re.fullmatch(" ?[A-Za-zÀ-ÖØ-öø-\u017f\u0400-\u047f]+", x.decode())) for x in raws]
+    tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
+    encoder, texts = token_files._encoder(token_files.default_vocabulary())[0], ["".join(parts), " ".join(parts)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @given(st.lists(st.lists(st.integers(3, 9), max_size=80), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_grammar_blocks_round_trip(docs):
@@ -113,6 +138,16 @@ def test_rules_are_made_until_none_pays(ids):
     assert max(counts.values(), default=0) < repair.LEAST
 
 
+def test_rules_do_not_hinge_on_how_a_round_is_carried_out():
+    rng, crc = np.random.default_rng(1), 0
+    for k in range(60):
+        ids = rng.integers(0, 1 + k % 7, int(rng.integers(0, 900))).astype("<u4")
+        ids = np.tile(np.repeat(ids, rng.integers(1, 9, len(ids))), 1 + k % 4)
+        for x in repair.compress(ids, 2, 9):
+            crc = zlib.crc32(x.astype("<i8").tobytes(), crc)
+    assert crc == 1052241363  # of rounds over a sequence linked from the start
+
+
 def test_runs_and_long_passages_are_compressed():
     symbols, rules = repair.compress(np.full(5000, 7, "<u4"), 2, 10)
     assert len(symbols) + 3 * len(rules) < 60

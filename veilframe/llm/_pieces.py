@@ -31,6 +31,9 @@ _PLAIN[0x21:0x7F] = True
 _ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = True
 _STOP[list(b'.,;:!?)]}"')] = True
+_LETTER, _PAIR = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_PAIR[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
 #: what a piece starts with: inside a text a space, or something else; a text's start
 _SPACE, _OTHER, _TEXT = 1, 2, 3
 
@@ -81,6 +84,21 @@ def cut_marks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mark
 
 
+def words_alone(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each stretch of UTF-8 ``raw`` (from one start to the next) is letters only, after one space at most: a single match.
+
+    Letters are those of ASCII and of U+00C0 to U+017F and U+0400 to U+047F, where only two signs are none.
+    """
+    pair = _PAIR[raw]
+    second = np.concatenate([[False], pair[:-1]])  # sure to be there: a stretch holds whole characters
+    odd = ~(_LETTER[raw] | pair | second)
+    sign = np.flatnonzero(second & ((raw == 0x97) | (raw == 0xB7)))
+    odd[sign[raw[sign - 1] == 0xC3]] = True
+    space = raw[starts] == 32
+    odd[starts[space]] = False
+    return ~np.logical_or.reduceat(odd, starts) & (np.diff(starts, append=len(raw)) > space)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Record batches a few rows at a time: Python objects are made of no more than that at once."""
     for batch in batches:
@@ -150,10 +168,12 @@ class PieceEncoder:
 
     ``encode_texts`` gives the ids of each of some texts; ``tokens`` holds the bytes of each id.  Texts that hold one of
     the strings ``whole`` are given to it as they are: such strings are ids of their own, found before the pattern.
+    ``encode_matches``, where there is one, gives (ids, their numbers) of stretches of UTF-8, each a single match of the
+    pattern; new pieces that are words alone go to it.
     """
 
-    def __init__(self, encode_texts: Callable[[list[str]], list], tokens: list[bytes], whole: tuple[str, ...] = ()):
-        self._encode_texts, self._table, self._whole = encode_texts, _Table(), whole
+    def __init__(self, encode_texts: Callable[[list[str]], list], tokens: list[bytes], whole: tuple[str, ...] = (), encode_matches: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        self._encode_texts, self._table, self._whole, self._encode_matches = encode_texts, _Table(), whole, encode_matches
         self._flat = np.frombuffer(b"".join(tokens), np.uint8)
         self._lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self._starts = np.cumsum(self._lengths) - self._lengths
@@ -187,12 +207,19 @@ class PieceEncoder:
     def _encode_new(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, sizes in ids). Pieces that start with a space or something else (``kinds``) are joined, others encoded alone."""
         order, ids, counts = [], [], []
+        if self._encode_matches:
+            raw, at = data[ranges(starts, sizes)], np.cumsum(sizes) - sizes
+            alone = words_alone(raw, at)
+            own, kinds = np.flatnonzero(alone), np.where(alone, 0, kinds)
+            for part, to in zip(self._encode_matches(raw[np.repeat(alone, sizes)], sizes[own]), (ids, counts)):
+                to.append(part)
+            order.append(own)
         for kind, line in ((_SPACE, 0), (_OTHER, 1)):
             own = np.flatnonzero(kinds == kind)
             for part, to in zip(self._joined(data, starts[own], sizes[own], line), (ids, counts)):
                 to.append(part)
             order.append(own)
-        own = np.flatnonzero((kinds != _SPACE) & (kinds != _OTHER))
+        own = np.flatnonzero(kinds == _TEXT)
         alone = self._plainly([data[a : a + n].tobytes().decode() for a, n in zip(starts[own].tolist(), sizes[own].tolist())])
         ids, counts = np.concatenate([*ids, *alone]), np.concatenate([*counts, np.fromiter(map(len, alone), np.int64, len(alone))])
         back = np.argsort(np.concatenate([*order, own]))

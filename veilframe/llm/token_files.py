@@ -30,6 +30,10 @@ MAGIC = 0x314B4F544C494556
 END_ID = 2
 #: bytes after which a task starts another file
 FILE_BYTES = 256 << 20
+#: files of the directory table: it has a row for each block, and a Spark file costs an executor some forks
+DIRECTORY_FILES = 8
+#: matches whose tokens are Python objects at once
+MATCHES = 4096
 
 _DIRECTORY = "shard bigint, block bigint, file string, offset bigint, length bigint, documents bigint, tokens bigint"
 #: by path: the encoder and the vocabulary's size
@@ -48,6 +52,27 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _match_encoder(tokenizer):
+    """Ids of single matches by the library's model itself, without its search for matches; None where a tokenizer does more than map bytes to letters."""
+    from tokenizers import models, pre_tokenizers
+
+    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer) is not pre_tokenizers.ByteLevel or tokenizer.pre_tokenizer.add_prefix_space or type(tokenizer.model) is not models.BPE or tokenizer.model.dropout:
+        return None
+    letters, tokenize = np.array(list(map(ord, _byte_letters())), "<u2"), tokenizer.model.tokenize
+
+    def encode(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, ids, counts = letters[raw].tobytes().decode("utf-16-le"), [np.zeros(0, np.int64)], np.empty(len(sizes), np.int64)
+        ends = np.cumsum(sizes)
+        for k in range(0, len(sizes), MATCHES):
+            some = ends[k : k + MATCHES].tolist()
+            found = [tokenize(text[a:b]) for a, b in zip([int(ends[k] - sizes[k]), *some], some)]
+            counts[k : k + MATCHES] = list(map(len, found))
+            ids.append(np.array([t.id for x in found for t in x], np.int64))
+        return np.concatenate(ids), counts
+
+    return encode
+
+
 def _encoder(path: str) -> tuple[PieceEncoder, int]:
     """The library's own encode at its defaults, added tokens included, and the bytes of each id."""
     if path not in _encoders:
@@ -61,7 +86,7 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
         for i in range(len(tokens)):  # not the whole vocabulary as one dictionary
             tokens[i] = added[i] if i in added else bytes(map(byte_of.__getitem__, tokenizer.id_to_token(i) or ""))
         encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        _encoders[path] = PieceEncoder(encode, tokens, tuple(b.decode() for b in added.values())), len(tokens)
+        _encoders[path] = PieceEncoder(encode, tokens, tuple(b.decode() for b in added.values()), _match_encoder(tokenizer)), len(tokens)
         give_back_memory()
     return _encoders[path]
 
@@ -133,7 +158,8 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in _DIRECTORY.split(", ")])
         to.close()
 
-    return stage_table(source.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text").mapInArrow(work, _DIRECTORY), "tokens")
+    rows = source.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text").mapInArrow(work, _DIRECTORY)
+    return stage_table(rows.repartition(DIRECTORY_FILES, F.col("shard") % DIRECTORY_FILES), "tokens")  # by shard: a repeated task's rows go where they went
 
 
 def read_tokens(directory: DataFrame, id_col: str = "doc_id") -> DataFrame:
