@@ -14,6 +14,7 @@ each other in order of their texts, each with its own start; an empty table give
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,6 @@ END_ID = 2
 FILE_BYTES = 256 << 20
 #: files of the directory table: it has a row for each block, and a Spark file costs an executor some forks
 DIRECTORY_FILES = 8
-#: matches whose tokens are Python objects at once
-MATCHES = 4096
 
 _DIRECTORY = "shard bigint, block bigint, file string, offset bigint, length bigint, documents bigint, tokens bigint"
 #: by path: the encoder and the vocabulary's size
@@ -61,14 +60,13 @@ def _match_encoder(tokenizer):
     letters, tokenize = np.array(list(map(ord, _byte_letters())), "<u2"), tokenizer.model.tokenize
 
     def encode(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text, ids, counts = letters[raw].tobytes().decode("utf-16-le"), [np.zeros(0, np.int64)], np.empty(len(sizes), np.int64)
-        ends = np.cumsum(sizes)
-        for k in range(0, len(sizes), MATCHES):
-            some = ends[k : k + MATCHES].tolist()
-            found = [tokenize(text[a:b]) for a, b in zip([int(ends[k] - sizes[k]), *some], some)]
-            counts[k : k + MATCHES] = list(map(len, found))
-            ids.append(np.array([t.id for x in found for t in x], np.int64))
-        return np.concatenate(ids), counts
+        text, ids, counts, at = letters[raw].tobytes().decode("utf-16-le"), array("i"), array("i"), 0
+        for end in np.cumsum(sizes).tolist():
+            found, at = tokenize(text[at:end]), end
+            counts.append(len(found))
+            for token in found:  # a match's tokens go at once: many kept together cost more than they are
+                ids.append(token.id)
+        return np.array(ids, np.int64), np.array(counts, np.int64)
 
     return encode
 
